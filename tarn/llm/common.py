@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterable
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,7 +66,7 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = 8 << 20)
         n = batch.num_rows
         if not n:
             continue
-        lengths = pa.compute.binary_length(batch.column(column)).to_numpy(zero_copy_only=False)
+        lengths = pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False)
         start, size = 0, 0
         for i, x in enumerate(lengths):
             x = 0 if x is None or x != x else int(x)
