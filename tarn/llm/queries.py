@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, media, url_filter
+from . import bpe, chat, decontaminate, lm_score, media, near_dedup, url_filter, warc
 from .common import table
 
 
@@ -17,6 +17,14 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated_pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_captures(url_filter.captures_of(table(spark, sf_dir, "pages")), url_filter.entries_table(spark))
 
@@ -25,6 +33,14 @@ def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digests(table(spark, sf_dir, "documents"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.warc_round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -37,8 +53,8 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_url_filter, op4_media, op7_bpe, op9_chat)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_near_dedup, op3_url_filter, op4_media, op5_warc, op6_lm_score, op7_bpe, op9_chat)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_filter": url_filter.ORACLE_SQL, "op9_chat": chat.ORACLE_SQL}
+    return {"op2_near_dedup": near_dedup.ORACLE_SQL, "op3_url_filter": url_filter.ORACLE_SQL, "op5_warc": warc.ORACLE_SQL, "op9_chat": chat.ORACLE_SQL}
