@@ -182,3 +182,20 @@ def bpe_digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "te
 
     src = docs.select(docs[key].alias("k"), docs[text].alias("v"))
     return _over(src, "text", one, f"{key} long, n_tokens long, ids_sha256 string, decoded_sha256 string", [pa.int64(), pa.int64(), pa.string(), pa.string()], load_spec(path))
+
+
+def with_ids(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """``docs`` with its token ids, their number and the text decoded from them; null counts as empty."""
+    shipped = docs.sparkSession.sparkContext.broadcast(load_spec(path))
+    rest = [c for c in docs.columns if c not in (ids, "n_tokens", decoded)]
+    src = docs.select(*[docs[f"`{c}`"] for c in rest])
+    schema = src.schema.add(ids, "array<int>").add("n_tokens", "long").add(decoded, "string")
+
+    def run(batches):
+        c = codec(shipped.value)
+        for batch in slices(batches, text, 4 << 20):
+            got = [c.encode(x or "") for x in batch.column(text).to_pylist()]
+            new = [pa.array([g.astype(np.int32) for g in got], pa.list_(pa.int32())), pa.array([g.size for g in got], pa.int64()), pa.array([c.decode(g) for g in got], pa.string())]
+            yield pa.RecordBatch.from_arrays([*[batch.column(x) for x in rest], *new], names=[*rest, ids, "n_tokens", decoded])
+
+    return src.mapInArrow(run, schema)

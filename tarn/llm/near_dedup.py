@@ -248,6 +248,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     return done.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept")).distinct()
 
 
+def without_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of ``docs`` of each group of near duplicates, with all its columns; rows without a key stay."""
+    kept = near_duplicates(docs, key, text).filter("kept").select(F.col("doc_id").alias("_kept_id"))
+    one = docs.join(kept, docs[key] == kept["_kept_id"], "left_semi").dropDuplicates([key])
+    return one.unionByName(docs.filter(docs[key].isNull()))
+
+
 #: DuckDB: all pairs that share a shingle, on the exact sets; for small tables.
 ORACLE_SQL = r"""
 WITH RECURSIVE w AS (

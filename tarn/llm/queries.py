@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontaminate, lm_score, media, near_dedup, url_filter, warc
+from . import bpe, chat, decontaminate, html_text, lm_score, media, near_dedup, toxicity, url_filter, warc
 from .common import table
 
 
@@ -45,6 +45,10 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_text(table(spark, sf_dir, "pages"))
+
+
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "\\### Assistant: </turn> ok"
     extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
@@ -52,8 +56,12 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digests(turns.unionByName(extra))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_near_dedup, op3_url_filter, op4_media, op5_warc, op6_lm_score, op7_bpe, op9_chat)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_near_dedup, op3_url_filter, op4_media, op5_warc, op6_lm_score, op7_bpe, op8_html_text, op9_chat, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
