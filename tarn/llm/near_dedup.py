@@ -4,20 +4,21 @@ A document is the set of its distinct five-word shingles (64-bit hashes). Docume
 one class at once. Each class gets ``SKETCH`` minwise tokens. ``TREES`` independent trees then branch the
 classes: at a node, a hash of the node chooses one token slot, and with probability ``BRANCH`` a second;
 a class goes to the child named by its token in that slot. Two sets meet in a node only if they share
-every token on the path, so after ``DEPTH`` levels nodes are small. A node of at most ``SMALL`` classes is
-compared exhaustively. A larger node is compared with its least member first; when all its members turn
-out to be connected, nothing is left to find. Else the members outside the leader's component (few) are
-compared with the whole node, or, where they are many, the node branches on, up to ``ROUNDS`` times; the
-last round compares what is left, so no partner is dropped. Every link is confirmed on the full sets
-(100 * intersection >= 85 * union), and components come from rounds of star contraction; links and
-components stay distributed.
+every token on the path, so after ``DEPTH`` levels nodes are small.
+
+A node's members are compared with its least member first; links join them into components. A node whose
+members are all connected is done. In other nodes, the components that met are compared exhaustively with
+each other, chunk by chunk: sketches choose what the full sets then decide, first each member's ``BEST``
+partners, then all. A node with more than ``FEW`` components branches on instead, up to ``ROUNDS`` times.
+No partner is dropped, and members of one component are never paired among themselves. Every link is
+confirmed on the full sets (100 * intersection >= 85 * union); links and components stay distributed.
 
 ``miss_probability`` gives the chance that a pair of a given similarity shares no leaf: below 1e-6 at the
 threshold for one that sketches as expected, far less above it.
 
 Defined results: null, empty and blank texts have no shingles, link with nothing and stand alone; a text
-of one to four words is one shingle of all its words; ties (equal ids repeated) collapse to one row;
-other columns are ignored.
+of one to four words is one shingle of all its words; equal rows collapse to one; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -34,7 +35,13 @@ SHINGLE = 5
 NUM, DEN = 85, 100
 SKETCH = 128
 TREES, DEPTH, BRANCH = 16, 5, 0.18
-SMALL, ROUNDS, FEW = 40, 3, 64
+ROUNDS, FEW = 3, 64
+#: Equal minwise tokens of SKETCH that a pair at the threshold has fewer of in about 3 of a million cases.
+LEAST_SAME = 91
+#: Partners that a document first tries in a chunk, before all; members a task holds of a component.
+BEST, CHUNK = 3, 2048
+#: Bounds on memory, each with another way beyond: ids that are broadcast, edges that one task joins.
+BROADCAST_IDS, UNION_EDGES = 500_000, 2_000_000
 
 _U = np.uint64
 _RNG = np.random.default_rng(20240229)
@@ -66,7 +73,7 @@ class WordHash(dict):
     """Word to 64-bit hash, kept while it is small."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 250_000:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word)
         return h
@@ -88,14 +95,14 @@ def shingles(text: bytes, known: WordHash) -> np.ndarray:
 
 
 def sketch(s: np.ndarray) -> np.ndarray:
-    """``SKETCH`` minwise tokens of a non-empty set."""
+    """``SKETCH`` minwise tokens of a non-empty set, 16 bits each."""
     low, high = (s & _U(0xFFFFFFFF)).astype(np.uint32), (s >> _U(32)).astype(np.uint32)
     out = np.full(SKETCH, 0xFFFFFFFF, np.uint32)
     for i in range(0, s.size, 2048):
         v = np.multiply.outer(_MUL, low[i : i + 2048])
         v += high[i : i + 2048]
         np.minimum(out, v.min(axis=1), out=out)
-    return out
+    return (out ^ (out >> np.uint32(16))).astype(np.uint16)
 
 
 def _sketches(docs: DataFrame) -> DataFrame:
@@ -130,36 +137,40 @@ def _branch(node: np.ndarray, doc: np.ndarray, tokens: np.ndarray, levels: int,
 
 
 def _paths(rows: DataFrame, levels: int, branch: float, start: str | None = None) -> DataFrame:
-    """(node, rep): leaves ``levels`` below the tree roots, or below the nodes in column ``start``."""
+    """(node, rep, root): leaves ``levels`` below the tree roots, or below the nodes in column ``start``."""
 
     def run(batches):
         roots = mix(np.arange(1, TREES + 1, dtype=np.uint64) * _U(0xA0761D6478BD642F))
         for batch in batches:
             for lo in range(0, batch.num_rows, 2000):
                 part = batch.slice(lo, 2000)
-                tokens = np.frombuffer(b"".join(part.column("tokens").to_pylist()), np.uint32).reshape(-1, SKETCH)
-                reps = part.column("rep").to_numpy(zero_copy_only=False)
+                tokens = np.frombuffer(b"".join(part.column("tokens").to_pylist()), np.uint16).reshape(-1, SKETCH)
+                reps, labels = (part.column(c).to_numpy(zero_copy_only=False) for c in ("rep", "root"))
                 n = len(reps)
                 if start:
                     node, doc = part.column(start).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64).copy(), np.arange(n)
                 else:
                     node, doc = np.tile(roots, n), np.repeat(np.arange(n), TREES)
                 node, doc = _branch(node, doc, tokens, levels, branch)
-                yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.array(reps[doc], pa.int64())], names=["node", "rep"])
+                yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.array(reps[doc], pa.int64()), pa.array(labels[doc], pa.int64())], names=["node", "rep", "root"])
 
-    return rows.mapInArrow(run, "node long, rep long")
+    return rows.select("tokens", "rep", "root", *([start] if start else [])).mapInArrow(run, "node long, rep long, root long")
 
 
-def _linked(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough; only documents in pairs are shingled."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+def _full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, s): the whole shingle sets of the documents named; only they are shingled again."""
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
 
     def sets(batches):
         known = WordHash()
         for batch in slices(batches, "b"):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([shingles(x, known).tobytes() for x in batch.column("b").to_pylist()], pa.binary())], names=["id", "s"])
 
-    full = docs.join(ids, "doc_id", "left_semi").mapInArrow(sets, "id long, s binary")
+    return docs.join(F.broadcast(ids) if few else ids, docs["doc_id"] == ids["rep"], "left_semi").mapInArrow(sets, "id long, s binary")
+
+
+def _linked(pairs: DataFrame, full: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough."""
 
     def confirm(batches):
         for batch in batches:
@@ -180,17 +191,52 @@ def _linked(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return wide.select("a", "b", "sa", "sb").mapInArrow(confirm, "a long, b long")
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, root): the least id reachable, for nodes that have edges; alternating star contraction."""
-    now = stage(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct(), "edges")
+def union_find(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, least node reachable) of the edges a - b; pointer jumping in numpy."""
+    names, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: a.size], at[a.size :]
+    label = np.arange(names.size)
+    while True:
+        low = np.minimum(label[x], label[y])
+        new = label.copy()
+        np.minimum.at(new, label[x], low)
+        np.minimum.at(new, label[y], low)
+        while True:
+            jump = new[new]
+            if (jump == new).all():
+                break
+            new = jump
+        if (new == label).all():
+            return names, names[label]
+        label = new
+
+
+def components(edges: DataFrame, small: int | None = None, max_rounds: int = 60) -> DataFrame:
+    """(node, root): the least id reachable, for nodes that have edges.
+
+    Up to ``small`` edges (a bound on memory) one task joins them; more go through alternating star
+    contraction, whose rounds stay distributed. Both give the same result.
+    """
+    small = UNION_EDGES if small is None else small
+    now = stage(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v"), "edges")
+    if now.count() <= small:
+
+        def one(batches):
+            parts = [(x.column("u").to_numpy(zero_copy_only=False), x.column("v").to_numpy(zero_copy_only=False)) for x in batches]
+            if parts:
+                node, root = union_find(*(np.concatenate(c) for c in zip(*parts)))
+                yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(root, pa.int64())], names=["node", "root"])
+
+        return stage(now.coalesce(1).mapInArrow(one, "node long, root long"), "roots")
+    now = stage(now.distinct(), "edges")
     before = None
     for _ in range(max_rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        after = stage(small, "edges")
+        star = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()
+        after = stage(star, "edges")
         unstage(now)
         now = after
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -199,51 +245,92 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         before = state
     else:
         raise RuntimeError("components did not settle")
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    own = now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
+    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(own)
+
+
+def _met(members: DataFrame, pairs: DataFrame, each: int) -> DataFrame:
+    """Pairs (a, b) of members of two components that may be similar, by their sketches.
+
+    ``pairs`` (x, y) names components. The smaller side's members go to every chunk of the larger side's,
+    so no task holds more than a chunk of it; each sends its ``each`` best partners of a chunk (0: all).
+    """
+    size = members.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
+    known = pairs.join(size.withColumnsRenamed({"root": "x", "n": "nx"}), "x").join(size.withColumnsRenamed({"root": "y", "n": "ny"}), "y")
+    swap = F.col("nx") > F.col("ny")
+    known = known.select(F.when(swap, F.col("y")).otherwise(F.col("x")).alias("few"), F.when(swap, F.col("x")).otherwise(F.col("y")).alias("many"), F.ceil(F.greatest("nx", "ny") / CHUNK).cast("int").alias("chunks"))
+    many = members.join(known.select(F.col("many").alias("root"), "chunks").distinct(), "root").select(F.col("root").alias("many"), F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int").alias("chunk"), "rep", "tokens")
+    few = known.join(members.withColumnRenamed("root", "few"), "few").select("many", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "rep", "tokens")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def compare(left, right):
+        if not left.num_rows or not right.num_rows:
+            return schema.empty_table()
+        take = lambda t: (np.array(t.column("rep").to_pylist(), np.int64), np.frombuffer(b"".join(t.column("tokens").to_pylist()), np.uint16).reshape(-1, SKETCH))
+        (xs, tx), (ys, ty) = take(left), take(right)
+        a, b = [], []
+        for i, own in zip(xs, tx):
+            same = (ty == own).sum(axis=1)
+            at = np.flatnonzero(same >= LEAST_SAME)
+            if each and at.size > each:
+                at = at[np.argsort(-same[at], kind="stable")[:each]]
+            a.append(np.full(at.size, i))
+            b.append(ys[at])
+        a, b = np.concatenate(a), np.concatenate(b)
+        return pa.table([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=schema)
+
+    return few.groupBy("many", "chunk").cogroup(many.groupBy("many", "chunk")).applyInArrow(compare, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every distinct document id."""
     src = docs.select(docs[key].cast("long").alias("doc_id"), utf8(docs[text]).alias("b"))
-    base = stage(_sketches(src), "sketch")
-    of_set = base.filter("set_key is not null").groupBy("set_key")
-    reps = stage(of_set.agg(F.min("doc_id").alias("rep"), F.first("tokens").alias("tokens"), F.count(F.lit(1)).alias("copies")), "reps")
-    frontier = _paths(reps, DEPTH, BRANCH)
-    links: list[DataFrame] = []
-    roots = None
+    sketched = stage(_sketches(src), "sketch")
+    base = sketched.select("doc_id", "n_shingles", "set_key")
+    reps = stage(sketched.filter("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("tokens").alias("tokens")), "reps")
+
+    # each node's members against its least member
+    paths = _paths(reps.withColumn("root", F.col("rep")), DEPTH, BRANCH).select("node", "rep")
+    sizes = paths.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("leader")).filter("n > 1")
+    star = stage(paths.join(sizes, "node").filter("rep != leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
+    ids = stage(star.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "ids")
+    full = stage(_full_sets(src, ids), "sets")
+    links = stage(_linked(star, full), "links")
+    roots = components(links)
+    tokens = reps.select("rep", "tokens").join(ids, "rep", "left_semi")
+    nodes = None
     for turn in range(ROUNDS):
+        members = stage(tokens.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("root", "rep").alias("root"), "tokens"), "members")
+        if nodes is None:
+            paths = _paths(members, DEPTH, BRANCH)
+        else:
+            paths = _paths(nodes.join(members, "rep"), DEPTH, 2 * BRANCH, "at")
+        # the components in each node; a node of one component is done
+        held = stage(paths.groupBy("node", "root").agg(F.count(F.lit(1)).alias("m")), "held")
+        opened = held.groupBy("node").agg(F.count(F.lit(1)).alias("r")).filter("r > 1")
         last = turn == ROUNDS - 1
-        sizes = frontier.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("leader")).filter("n > 1")
-        held = stage(frontier.join(sizes, "node"), "nodes")
-        few = held.filter(F.col("n") <= SMALL).groupBy("node").agg(F.array_sort(F.collect_set("rep")).alias("m"))
-        inside = few.select(F.explode(F.expr("flatten(transform(m, (x, i) -> transform(slice(m, i + 2, size(m)), y -> struct(x AS a, y AS b))))")).alias("p")).select("p.a", "p.b")
-        star = held.filter((F.col("n") > SMALL) & (F.col("rep") != F.col("leader"))).select(F.col("leader").alias("a"), F.col("rep").alias("b"))
-        links.append(stage(_linked(inside.unionByName(star).distinct(), src), "links"))
-        edges = links[0]
-        for x in links[1:]:
-            edges = edges.unionByName(x)
-        roots = components(edges)
-        large = held.filter(F.col("n") > SMALL)
-        if not large.head(1):
-            break
-        placed = large.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-        mine = placed.filter("rep = leader").select("node", F.col("root").alias("main"))
-        out = placed.join(mine, "node").withColumn("out", (F.col("root") != F.col("main")).cast("int"))
-        opened = out.groupBy("node").agg(F.sum("out").alias("outs")).filter("outs > 0")
-        rest = stage(out.join(opened, "node"), "rest")
-        near = rest if last else rest.filter(F.col("outs") <= FEW)
-        o = near.filter((F.col("out") == 1)).select("node", F.col("rep").alias("x"), F.col("root").alias("rx"))
-        across = o.join(near.select("node", F.col("rep").alias("y"), F.col("root").alias("ry"), "leader"), "node").filter("rx != ry and y != leader")
-        links.append(stage(_linked(across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), src), "links"))
-        roots = components(edges.unionByName(links[-1]))
-        deeper = rest.filter(F.col("outs") > FEW)
-        if last or not deeper.head(1):
+        shallow = opened if last else opened.filter(F.col("r") <= FEW)
+        inside = held.join(shallow, "node").select("node", "root")
+        pairs = stage(inside.select("node", F.col("root").alias("x")).join(inside.select("node", F.col("root").alias("y")), "node").filter("x < y").select("x", "y").distinct(), "roots")
+        for each in (BEST, 0):
+            if pairs.isEmpty():
+                break
+            more = stage(_linked(_met(members, pairs, each), full), "links")
+            if not more.isEmpty():
+                links = links.unionByName(more)
+                roots = components(links)
+                names = roots.withColumnRenamed("node", "id").select("id", F.col("root").alias("to"))
+                for side in ("x", "y"):
+                    pairs = pairs.join(names, pairs[side] == names["id"], "left").withColumn(side, F.coalesce("to", side)).drop("id", "to")
+                pairs = stage(pairs.filter("x != y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "roots")
+                members = stage(tokens.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("root", "rep").alias("root"), "tokens"), "members")
+        deep = opened.filter(F.col("r") > FEW)
+        if last or deep.isEmpty():
             break
-        frontier = _paths(deeper.select(F.col("node").alias("at"), "rep").join(reps.select("rep", "tokens"), "rep"), DEPTH, 2 * BRANCH, "at")
+        nodes = stage(paths.join(deep, "node").select(F.col("node").alias("at"), "rep"), "deep")
     classes = reps.select("set_key", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("root", "rep").alias("component_id"))
-    named = base.select("doc_id", "n_shingles", "set_key")
-    alone = named.filter("set_key is null").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"))
-    done = named.join(classes, "set_key").select("doc_id", "n_shingles", "component_id").unionByName(alone)
+    alone = base.filter("set_key is null").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"))
+    done = base.join(classes, "set_key").select("doc_id", "n_shingles", "component_id").unionByName(alone)
     component = F.coalesce("component_id", "doc_id")
     return done.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept")).distinct()
 
