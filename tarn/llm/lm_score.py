@@ -40,7 +40,7 @@ MIX = 0.3
 CONTEXTS = 8_000_000
 SHARD_BYTES = 64 << 20
 #: Tokens that a task gathers before it sends blocks; a bound on memory.
-FLUSH = 3_000_000
+FLUSH = 1_500_000
 
 _U = np.uint64
 END = xxhash.xxh64_intdigest(b"")
@@ -77,30 +77,32 @@ def levels_of(count: np.ndarray) -> np.ndarray:
     return 1 + np.floor(np.log(count / LEAST) / math.log(BASE) + 1e-9).astype(np.int64)
 
 
-class Segment:
-    """One bucket's part of the filter."""
+class Filter:
+    """Segments of the filter side by side, one a bucket: bits, and each bucket's first bit and size."""
 
-    def __init__(self, size: int, bits: np.ndarray | None = None):
-        self.size = size
-        self.bits = np.zeros((size + 7) // 8, np.uint8) if bits is None else bits
+    def __init__(self, sizes: np.ndarray, bits: np.ndarray | None = None):
+        self.sizes = sizes.astype(np.uint64)
+        whole = (sizes + 7) // 8 * 8
+        self.first = (np.cumsum(whole) - whole).astype(np.uint64)
+        self.bits = np.zeros(int(whole.sum()) // 8, np.uint8) if bits is None else bits
 
-    def _places(self, h: np.ndarray, level: np.ndarray, probe: int) -> np.ndarray:
-        x = mix(h ^ (level.astype(np.uint64) * _U(0xD6E8FEB86659FD93)) ^ _U(probe << 56))
-        return ((x >> _U(32)) * _U(self.size)) >> _U(32) if self.size < 1 << 32 else x % _U(self.size)
+    def _places(self, h: np.ndarray, bucket: np.ndarray, level: int | np.ndarray, probe: int) -> np.ndarray:
+        x = mix(h ^ (np.asarray(level, np.uint64) * _U(0xD6E8FEB86659FD93)) ^ _U(probe << 56))
+        return self.first[bucket] + ((x >> _U(32)) * self.sizes[bucket] >> _U(32))
 
-    def insert(self, h: np.ndarray, level: np.ndarray) -> None:
+    def insert(self, h: np.ndarray, bucket: np.ndarray, level: np.ndarray) -> None:
+        flat = np.zeros(self.bits.size * 8, bool)
         for p in range(PROBES):
-            at = self._places(h, level, p)
-            np.bitwise_or.at(self.bits, (at >> _U(3)).astype(np.int64), np.left_shift(np.uint8(1), (at & _U(7)).astype(np.uint8)))
+            flat[self._places(h, bucket, level, p)] = True
+        self.bits |= np.packbits(flat, bitorder="little")
 
-    def has(self, h: np.ndarray, level: int) -> np.ndarray:
-        left = np.arange(h.size)
+    def has(self, h: np.ndarray, bucket: np.ndarray, level: int) -> np.ndarray:
+        """Places of the hashes that the filter holds at a level."""
+        left = np.flatnonzero(self.sizes[bucket])
         for p in range(PROBES):
-            at = self._places(h[left], np.full(left.size, level), p)
-            left = left[(self.bits[(at >> _U(3)).astype(np.int64)] >> (at & _U(7)).astype(np.uint8)) & 1 == 1]
-        out = np.zeros(h.size, bool)
-        out[left] = True
-        return out
+            at = self._places(h[left], bucket[left], level, p)
+            left = left[(self.bits[at >> _U(3)] >> (at & _U(7)).astype(np.uint8)) & 1 == 1]
+        return left
 
 
 def _block(h: np.ndarray, buckets: int, first: int, count: np.ndarray | None = None):
@@ -162,9 +164,9 @@ def _learn(train: DataFrame, buckets: int) -> DataFrame:
         else:
             h, c = h[c >= LEAST], c[c >= LEAST]
             q = levels_of(c) if c.size else np.empty(0, np.int64)
-            segment = Segment(max(64, math.ceil(float(q.sum()) * BITS)))
-            segment.insert(np.repeat(h, q), np.arange(int(q.sum())) - np.repeat(np.cumsum(q) - q, q) + 1)
-            row = (bucket, segment.size, int(h.size), segment.bits.tobytes(), b"")
+            segment = Filter(np.array([max(64, math.ceil(float(q.sum()) * BITS))]))
+            segment.insert(np.repeat(h, q), np.zeros(int(q.sum()), np.int64), np.arange(int(q.sum())) - np.repeat(np.cumsum(q) - q, q) + 1)
+            row = (bucket, int(segment.sizes[0]), int(h.size), segment.bits.tobytes(), b"")
         return pa.table({"bucket": pa.array([row[0]], pa.int32()), "size": pa.array([row[1]], pa.int64()), "total": pa.array([row[2]], pa.int64()), "a": pa.array([row[3]], pa.binary()), "b": pa.array([row[4]], pa.binary())})
 
     blocks = train.mapInArrow(run, "bucket int, hashes binary, place binary, count binary")
@@ -213,9 +215,11 @@ def lm_scores(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
         room += bits
     passes = []
     for number, shard in enumerate(shards):
-        rows = learned.filter(F.col("bucket").between(shard[0], shard[-1]) if shard else F.lit(False)).filter(F.col("bucket") >= buckets).select("bucket", "size", "a").collect()
+        rows = learned.filter(F.col("bucket").between(shard[0], shard[-1]) if shard else F.lit(False)).select("bucket", "size", "a").collect()
         filters = sc.broadcast({r["bucket"] - buckets: (r["size"], bytes(r["a"])) for r in rows})
+        del rows
         passes.append(stage(_score_pass(src, frequent, filters, buckets, norm, number), "pass"))
+        filters.unpersist()
     return _combine(passes, counts, buckets, norm, total, key)
 
 
@@ -233,7 +237,10 @@ def _score_pass(src: DataFrame, frequent, filters, buckets: int, norm: float, nu
     def run(batches):
         known = WordHash()
         hot, hot_count = frequent.value
-        segments = {b: Segment(size, np.frombuffer(raw, np.uint8)) for b, (size, raw) in filters.value.items()}
+        size = np.zeros(buckets, np.int64)
+        for b, (bits, _) in filters.value.items():
+            size[b] = bits
+        held_bits = Filter(size, np.frombuffer(b"".join(filters.value[b][1] for b in sorted(filters.value)), np.uint8))
         uid = TaskContext.get().partitionId() << 36
         tail: list[tuple] = []
         held = 0
@@ -261,24 +268,17 @@ def _score_pass(src: DataFrame, frequent, filters, buckets: int, norm: float, nu
             at = np.minimum(np.searchsorted(hot, h), max(0, hot.size - 1))
             is_hot = hot[at] == h if hot.size else np.zeros(h.size, bool)
             c = np.where(is_hot, hot_count[at] if hot.size else 0, 0)
-            at = np.minimum(np.searchsorted(hot, before), max(0, hot.size - 1))
-            context = np.where(hot[at] == before, hot_count[at], 0) if hot.size else np.zeros(h.size, np.int64)
+            context = np.concatenate([c[-1:], c[:-1]])
             # levels of the bigrams of this shard
-            asked = np.flatnonzero(context >= LEAST)
-            pair = pair_hashes(before[asked], h[asked])
+            where = np.flatnonzero(context >= LEAST)
+            pair = pair_hashes(before[where], h[where])
             bucket = ((pair >> _U(32)) * _U(buckets) >> _U(32)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            asked, pair, bucket = asked[order], pair[order], bucket[order]
-            level = np.zeros(h.size, np.int64)
-            edges = np.searchsorted(bucket, np.arange(buckets + 1))
-            for b, segment in segments.items():
-                lo, hi = edges[b], edges[b + 1]
-                where, mine, q = asked[lo:hi], pair[lo:hi], 1
-                while where.size:
-                    ok = segment.has(mine, q)
-                    where, mine = where[ok], mine[ok]
-                    level[where] = q
-                    q += 1
+            level, q = np.zeros(h.size, np.int64), 1
+            while where.size:
+                got = held_bits.has(pair, bucket, q)
+                where, pair, bucket = where[got], pair[got], bucket[got]
+                level[where] = q
+                q += 1
             seen = np.minimum(_level_count(level), context)
             extra = np.where(context > 0, MIX * seen / np.maximum(context, 1), 0.0)
             p0 = (c + 0.1) / norm
@@ -294,16 +294,16 @@ def _score_pass(src: DataFrame, frequent, filters, buckets: int, norm: float, nu
             uid += n.size
             rare = np.flatnonzero(~is_hot) if first else np.flatnonzero(~is_hot & (extra > 0))
             if rare.size:
-                # one entry a document and word where no bigram helps; one a token where one does
+                # one entry a document, word and kind of use; tokens that a bigram helps stand alone
                 marked = np.where(extra[rare] > 0, extra[rare], np.where(context[rare] >= LEAST, 0.0, -1.0))
-                key = np.rec.fromarrays([row[rare], h[rare], marked], names="r,h,e")
-                key, times = np.unique(key, return_counts=True)
-                tail.append((key["h"].astype(np.uint64), ids[key["r"]].astype(np.int64), times.astype(np.uint32), key["e"].astype(np.float64)))
-                held += key.size
+                same = mix(h[rare] ^ mix(row[rare].astype(np.uint64) * _U(4) + (marked < 0))) ^ np.where(marked > 0, mix(np.arange(rare.size, dtype=np.uint64) + _U(1)), _U(0))
+                _, one, times = np.unique(same, return_index=True, return_counts=True)
+                tail.append((h[rare[one]], ids[row[rare[one]]].astype(np.int64), times.astype(np.uint32), marked[one].astype(np.float32)))
+                held += one.size
             data = [np.full(n.size, -1, np.int32), ids, pa.array(keys, pa.int64()), pa.array([held_out(k) for k in keys]), n, known_sum.astype(np.int64), base_sum, score_sum]
             blank = pa.nulls(n.size, pa.binary())
             yield pa.RecordBatch.from_arrays([*[x if isinstance(x, pa.Array) else pa.array(x) for x in data], blank, blank, blank, blank], schema=pa.schema(list(zip(names, types))))
-            if held > 1_000_000:
+            if held > 500_000:
                 yield from send()
         yield from send()
 
@@ -328,7 +328,7 @@ def _combine(passes: list[DataFrame], counts: DataFrame, buckets: int, norm: flo
         c0 = np.frombuffer(right.column("b")[0].as_py(), np.int64) if right.num_rows else np.empty(0, np.int64)
         got = []
         for number, h, d, n, e in zip(*[left.column(x).to_pylist() for x in ("pass", "hashes", "docs", "counts", "extra")]):
-            h, d, n, e = np.frombuffer(h, np.uint64), np.frombuffer(d, np.int64), np.frombuffer(n, np.uint32).astype(np.int64), np.frombuffer(e, np.float64)
+            h, d, n, e = np.frombuffer(h, np.uint64), np.frombuffer(d, np.int64), np.frombuffer(n, np.uint32).astype(np.int64), np.frombuffer(e, np.float32).astype(np.float64)
             at = np.minimum(np.searchsorted(h0, h), max(0, h0.size - 1))
             c = np.where(h0[at] == h, c0[at], 0) if h0.size else np.zeros(h.size, np.int64)
             p0 = (c + 0.1) / norm
