@@ -4,7 +4,8 @@ Examples are a bounded sample of the labelled rows that may be learned from: at
 label, those of least hash, near copies collapsed so that no group of copies dominates. Terms are whole
 words and word beginnings; those whose document frequency in the examples tells the labels apart
 (likelihood ratio of ``LEAST_G`` or more, toward label 1) make up the vector space, at most ``MAX_TERMS``.
-The index holds postings by term, examples in blocks of ``BLOCK``, and each block's greatest weight by
+The texts' other words count together as one more term, so that a lone term in a long text weighs less. The
+index holds postings by term, examples in blocks of ``BLOCK``, and each block's greatest weight by
 term. A document visits blocks in order of their upper bounds and stops when the bound cannot beat the
 ``NEIGHBOURS``-th best cosine, which is exact. Votes weigh the squared cosine and the class's share in the
 sample; a monotone fit to the leave-one-out votes of the examples turns them into probabilities. The
@@ -36,7 +37,7 @@ MAX_TERMS = 4000
 LEAST_G, LEAST_SEEN = 25.0, 6
 BLOCK = 64
 NEIGHBOURS = 25
-PRIOR_VOTES = 1.0
+PRIOR_VOTES = 0.1
 THRESHOLD = 0.3
 STARTS = range(4, 10)
 
@@ -69,7 +70,7 @@ class Model:
     """Terms, weights and the block-max index of the examples."""
 
     def __init__(self, terms: dict[bytes, int], idf: np.ndarray, ids: list[int], toxic: np.ndarray, share: np.ndarray, vectors: list[dict[int, int]]):
-        self.terms, self.idf = terms, idf
+        self.terms, self.idf = terms, np.append(idf, 1.0)  # the words without terms: a term of every text
         unit = [self.vector(v) for v in vectors]
         has = [i for i, (t, _) in enumerate(unit) if t.size]
         empty = [i for i, (t, _) in enumerate(unit) if not t.size]
@@ -82,8 +83,8 @@ class Model:
         self.toxic, self.share = toxic[has].astype(float), share[has]
         n = len(has)
         self.blocks = -(-n // BLOCK)
-        self.most = np.zeros((len(terms), self.blocks), np.float32)
-        postings: list[list[tuple[int, float]]] = [[] for _ in terms]
+        self.most = np.zeros((len(terms) + 1, self.blocks), np.float32)
+        postings: list[list[tuple[int, float]]] = [[] for _ in range(len(terms) + 1)]
         for place, i in enumerate(has):
             for t, w in zip(*unit[i]):
                 postings[t].append((place, w))
@@ -238,10 +239,17 @@ class TermIds(dict):
         return out
 
     def counts(self, text: bytes) -> dict[int, int]:
+        """Term counts; all words without terms count as one more term, the last, which every text has."""
         out: dict[int, int] = {}
+        rest = 0
         for w in term_words(text):
-            for i in self[w]:
+            ids = self[w]
+            if not ids:
+                rest += 1
+            for i in ids:
                 out[i] = out.get(i, 0) + 1
+        if out and rest:
+            out[len(self.terms)] = rest
         return out
 
 
