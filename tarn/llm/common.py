@@ -2,17 +2,25 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: ASCII bytes lower-cased, as ``bytes.lower`` does.
-WORD_SPLIT_NOTE = "bytes.split() splits on exactly 0x20 and 0x09-0x0D"
+# White space between words, and ASCII capitals with their small letters.
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+_GAP = re.compile(rb"[\x20\x09-\x0D]")
+_WEIGHTS = np.random.default_rng(20240301).integers(1, 2**63, 1 << 12, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Bytes hashed at once.
+_PIECE = 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -50,9 +58,56 @@ def unstage(*dfs: DataFrame) -> None:
             p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def words(text: bytes) -> list[bytes]:
-    """Lower-case A-Z and take the runs of bytes other than 0x20 and 0x09-0x0D."""
-    return text.lower().split()
+def mix(x: np.ndarray) -> np.ndarray:
+    """A 64-bit finaliser."""
+    x = x.astype(np.uint64, copy=True)
+    x ^= x >> np.uint64(30)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
+
+
+def _piece_words(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first byte, hash) of the words of a piece of lower-case text: a weighted sum of bytes and length, mixed."""
+    inside = ~_SPACE[b]
+    edge = np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8))
+    first, length = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    if not first.size:
+        return first, np.empty(0, np.uint64)
+    length = length - first
+    offset = np.cumsum(length) - length
+    place = np.arange(int(length.sum()), dtype=np.int64) - np.repeat(offset, length)
+    weight = _WEIGHTS[place & (_WEIGHTS.size - 1)]
+    if length.max() > _WEIGHTS.size:
+        weight = weight ^ mix((place // _WEIGHTS.size).astype(np.uint64)) << np.uint64(1)
+    value = (b[inside].astype(np.uint64) + np.uint64(1)) * weight
+    return first, mix(np.add.reduceat(value, offset) + length.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hashes of all words in order, number of words of each text).
+
+    Words are runs of bytes other than 0x20 and 0x09-0x0D, with A-Z in lower case. Memory follows
+    ``_PIECE`` and the result, not the texts: long ones are cut between words.
+    """
+    whole = b" ".join(texts).translate(_LOWER)
+    begins = np.cumsum([0] + [len(t) + 1 for t in texts])[:-1]
+    buffer = np.frombuffer(whole, np.uint8)
+    firsts, hashes, at = [], [], 0
+    while at < len(whole):
+        gap = _GAP.search(whole, at + _PIECE)
+        end = gap.start() if gap else len(whole)
+        first, h = _piece_words(buffer[at:end])
+        firsts.append(first + at)
+        hashes.append(h)
+        at = end
+    if not firsts:
+        return np.empty(0, np.uint64), np.zeros(len(texts), np.int64)
+    cut = np.searchsorted(np.concatenate(firsts), begins)
+    h = np.concatenate(hashes)
+    return h, np.diff(np.append(cut, h.size))
 
 
 def utf8(col) -> "F.Column":

@@ -6,12 +6,13 @@ classes: at a node, a hash of the node chooses one token slot, and with probabil
 a class goes to the child named by its token in that slot. Two sets meet in a node only if they share
 every token on the path, so after ``DEPTH`` levels nodes are small.
 
-A node's members are compared with its least member first; links join them into components. A node whose
-members are all connected is done. In other nodes, the components that met are compared exhaustively with
-each other, chunk by chunk: sketches choose what the full sets then decide, first each member's ``BEST``
-partners, then all. A node with more than ``FEW`` components branches on instead, up to ``ROUNDS`` times.
-No partner is dropped, and members of one component are never paired among themselves. Every link is
-confirmed on the full sets (100 * intersection >= 85 * union); links and components stay distributed.
+A node's members are compared with its most central one first (the member that collides most over all
+nodes), which links a group of copies to its origin; links join them into components. A node whose members
+are all connected is done. In every other node of at most ``CHUNK`` members, all pairs of different
+components are compared: sketches choose what the full sets then decide. A larger node branches on, up to
+``ROUNDS`` levels of ``DEPTH``; what is still large then is compared component by component, in chunks. No
+partner is dropped, and members of one component are never paired among themselves. Every link is confirmed
+on the full sets (100 * intersection >= 85 * union); links and components stay distributed.
 
 ``miss_probability`` gives the chance that a pair of a given similarity shares no leaf: below 1e-6 at the
 threshold for one that sketches as expected, far less above it.
@@ -29,17 +30,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, stage, unstage, utf8, words
+from .common import mix, slices, stage, unstage, utf8, word_hashes
 
 SHINGLE = 5
 NUM, DEN = 85, 100
 SKETCH = 128
 TREES, DEPTH, BRANCH = 16, 5, 0.18
-ROUNDS, FEW = 3, 64
-#: Equal minwise tokens of SKETCH that a pair at the threshold has fewer of in about 3 of a million cases.
-LEAST_SAME = 91
-#: Partners that a document first tries in a chunk, before all; members a task holds of a component.
-BEST, CHUNK = 3, 2048
+ROUNDS = 3
+#: Equal minwise tokens of SKETCH that a pair at the threshold falls short of in 3 of 10,000 cases; such a
+#: pair is lost only if neither a star nor any other link connects it.
+LEAST_SAME = 95
+#: Members of a node that a task compares; a larger node branches on, and at last is compared in chunks.
+CHUNK = 2048
 #: Bounds on memory, each with another way beyond: ids that are broadcast, edges that one task joins.
 BROADCAST_IDS, UNION_EDGES = 500_000, 2_000_000
 
@@ -58,34 +60,11 @@ def miss_probability(similarity: float, depth: int = DEPTH, trees: int = TREES,
     return q**trees
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finaliser."""
-    x = x.astype(np.uint64, copy=True)
-    x ^= x >> _U(30)
-    x *= _U(0xBF58476D1CE4E5B9)
-    x ^= x >> _U(27)
-    x *= _U(0x94D049BB133111EB)
-    x ^= x >> _U(31)
-    return x
-
-
-class WordHash(dict):
-    """Word to 64-bit hash, kept while it is small."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 250_000:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
-
-
-def shingles(text: bytes, known: WordHash) -> np.ndarray:
-    """Sorted distinct 64-bit shingle hashes of a text."""
-    w = words(text)
-    n = len(w)
+def shingles(h: np.ndarray) -> np.ndarray:
+    """Sorted distinct 64-bit shingle hashes of a text's word hashes."""
+    n = h.size
     if not n:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(known.__getitem__, w), np.uint64, n)
+        return h
     if n < SHINGLE:
         return mix(np.array([(h * _ODD[:n]).sum() + _U(n)], np.uint64))
     total = h[: n - SHINGLE + 1] * _ODD[0]
@@ -94,6 +73,12 @@ def shingles(text: bytes, known: WordHash) -> np.ndarray:
     return np.unique(mix(total + _U(SHINGLE)))
 
 
+def text_sets(texts: list[bytes]) -> list[np.ndarray]:
+    """The shingle set of each text."""
+    h, n = word_hashes(texts)
+    return [shingles(x) for x in np.split(h, np.cumsum(n)[:-1])] if texts else []
+
+
 def sketch(s: np.ndarray) -> np.ndarray:
     """``SKETCH`` minwise tokens of a non-empty set, 16 bits each."""
     low, high = (s & _U(0xFFFFFFFF)).astype(np.uint32), (s >> _U(32)).astype(np.uint32)
@@ -109,11 +94,9 @@ def _sketches(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, set_key (128-bit hash of the set), tokens."""
 
     def run(batches):
-        known = WordHash()
         for batch in slices(batches, "b"):
             ids, n, keys, toks = batch.column("doc_id"), [], [], []
-            for raw in batch.column("b").to_pylist():
-                s = shingles(raw, known)
+            for s in text_sets(batch.column("b").to_pylist()):
                 n.append(s.size)
                 keys.append(xxhash.xxh128_digest(s.tobytes()) if s.size else None)
                 toks.append(sketch(s).tobytes() if s.size else None)
@@ -157,14 +140,21 @@ def _paths(rows: DataFrame, levels: int, branch: float, start: str | None = None
     return rows.select("tokens", "rep", "root", *([start] if start else [])).mapInArrow(run, "node long, rep long, root long")
 
 
+def _stars(met: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each node's members with the one that collides most over all nodes: the likeliest centre."""
+    central = met.groupBy("rep").agg(F.sum(F.col("n") - 1).alias("score"))
+    scored = met.select("node", "rep").join(central, "rep")
+    centre = scored.groupBy("node").agg(F.max(F.struct("score", F.negative("rep").alias("neg"))).alias("c")).select("node", F.negative("c.neg").alias("centre"))
+    return met.join(centre, "node").filter("rep != centre").select(F.least("centre", "rep").alias("a"), F.greatest("centre", "rep").alias("b")).distinct()
+
+
 def _full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """(id, s): the whole shingle sets of the documents named; only they are shingled again."""
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
 
     def sets(batches):
-        known = WordHash()
         for batch in slices(batches, "b"):
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([shingles(x, known).tobytes() for x in batch.column("b").to_pylist()], pa.binary())], names=["id", "s"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([s.tobytes() for s in text_sets(batch.column("b").to_pylist())], pa.binary())], names=["id", "s"])
 
     return docs.join(F.broadcast(ids) if few else ids, docs["doc_id"] == ids["rep"], "left_semi").mapInArrow(sets, "id long, s binary")
 
@@ -249,11 +239,55 @@ def components(edges: DataFrame, small: int | None = None, max_rounds: int = 60)
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(own)
 
 
-def _met(members: DataFrame, pairs: DataFrame, each: int) -> DataFrame:
-    """Pairs (a, b) of members of two components that may be similar, by their sketches.
+def _alike(tokens: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j), i < j, of members of different components whose sketches agree enough."""
+    a, b = [], []
+    for i in range(len(root) - 1):
+        at = np.flatnonzero(root[i + 1 :] != root[i]) + i + 1
+        if at.size:
+            at = at[(tokens[at] == tokens[i]).sum(axis=1) >= LEAST_SAME]
+            a.append(np.full(at.size, i))
+            b.append(at)
+    return (np.concatenate(a), np.concatenate(b)) if a else (np.empty(0, np.int64),) * 2
+
+
+def _inside(rows: DataFrame) -> DataFrame:
+    """Candidate pairs (a, b) within each node of rows (node, rep, root, tokens), nodes being small.
+
+    Nodes stream past in order, so a task holds one node and one batch.
+    """
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            part = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("node", "rep", "root")] + [np.frombuffer(b"".join(batch.column("tokens").to_pylist()), np.uint16).reshape(-1, SKETCH)]
+            if held is not None:
+                part = [np.concatenate(x) for x in zip(held, part)]
+            edges = np.flatnonzero(np.diff(part[0])) + 1
+            cut = int(edges[-1]) if edges.size else 0
+            if cut:
+                yield from compare([x[:cut] for x in part], edges[:-1])
+            held = [x[cut:] for x in part]
+        if held is not None and len(held[0]):
+            yield from compare(held, np.empty(0, np.int64))
+
+    def compare(part, edges):
+        a, b = [], []
+        for lo, hi in zip([0, *edges.tolist()], [*edges.tolist(), len(part[0])]):
+            i, j = _alike(part[3][lo:hi], part[2][lo:hi])
+            a.append(part[1][lo + i])
+            b.append(part[1][lo + j])
+        a, b = np.concatenate(a), np.concatenate(b)
+        if a.size:
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    return rows.repartition("node").sortWithinPartitions("node").mapInArrow(run, "a long, b long").distinct()
+
 
-    ``pairs`` (x, y) names components. The smaller side's members go to every chunk of the larger side's,
-    so no task holds more than a chunk of it; each sends its ``each`` best partners of a chunk (0: all).
+def _across(members: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Candidate pairs (a, b) between the components x and y of each of ``pairs``.
+
+    The smaller side's members go to every chunk of the larger side's, so no task holds more than a chunk.
     """
     size = members.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
     known = pairs.join(size.withColumnsRenamed({"root": "x", "n": "nx"}), "x").join(size.withColumnsRenamed({"root": "y", "n": "ny"}), "y")
@@ -268,15 +302,8 @@ def _met(members: DataFrame, pairs: DataFrame, each: int) -> DataFrame:
             return schema.empty_table()
         take = lambda t: (np.array(t.column("rep").to_pylist(), np.int64), np.frombuffer(b"".join(t.column("tokens").to_pylist()), np.uint16).reshape(-1, SKETCH))
         (xs, tx), (ys, ty) = take(left), take(right)
-        a, b = [], []
-        for i, own in zip(xs, tx):
-            same = (ty == own).sum(axis=1)
-            at = np.flatnonzero(same >= LEAST_SAME)
-            if each and at.size > each:
-                at = at[np.argsort(-same[at], kind="stable")[:each]]
-            a.append(np.full(at.size, i))
-            b.append(ys[at])
-        a, b = np.concatenate(a), np.concatenate(b)
+        hits = [np.flatnonzero((ty == own).sum(axis=1) >= LEAST_SAME) for own in tx]
+        a, b = np.repeat(xs, [h.size for h in hits]), ys[np.concatenate(hits)]
         return pa.table([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=schema)
 
     return few.groupBy("many", "chunk").cogroup(many.groupBy("many", "chunk")).applyInArrow(compare, "a long, b long").distinct()
@@ -289,45 +316,38 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     base = sketched.select("doc_id", "n_shingles", "set_key")
     reps = stage(sketched.filter("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("tokens").alias("tokens")), "reps")
 
-    # each node's members against its least member
+    # each node's members against its most central one
     paths = _paths(reps.withColumn("root", F.col("rep")), DEPTH, BRANCH).select("node", "rep")
-    sizes = paths.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("leader")).filter("n > 1")
-    star = stage(paths.join(sizes, "node").filter("rep != leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
-    ids = stage(star.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "ids")
+    sizes = paths.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    met = stage(paths.join(sizes, "node"), "nodes")
+    star = stage(_stars(met), "pairs")
+    ids = stage(met.select("rep").distinct(), "ids")
     full = stage(_full_sets(src, ids), "sets")
     links = stage(_linked(star, full), "links")
     roots = components(links)
     tokens = reps.select("rep", "tokens").join(ids, "rep", "left_semi")
     nodes = None
     for turn in range(ROUNDS):
-        members = stage(tokens.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("root", "rep").alias("root"), "tokens"), "members")
-        if nodes is None:
-            paths = _paths(members, DEPTH, BRANCH)
-        else:
-            paths = _paths(nodes.join(members, "rep"), DEPTH, 2 * BRANCH, "at")
-        # the components in each node; a node of one component is done
-        held = stage(paths.groupBy("node", "root").agg(F.count(F.lit(1)).alias("m")), "held")
-        opened = held.groupBy("node").agg(F.count(F.lit(1)).alias("r")).filter("r > 1")
         last = turn == ROUNDS - 1
-        shallow = opened if last else opened.filter(F.col("r") <= FEW)
-        inside = held.join(shallow, "node").select("node", "root")
-        pairs = stage(inside.select("node", F.col("root").alias("x")).join(inside.select("node", F.col("root").alias("y")), "node").filter("x < y").select("x", "y").distinct(), "roots")
-        for each in (BEST, 0):
-            if pairs.isEmpty():
-                break
-            more = stage(_linked(_met(members, pairs, each), full), "links")
-            if not more.isEmpty():
-                links = links.unionByName(more)
-                roots = components(links)
-                names = roots.withColumnRenamed("node", "id").select("id", F.col("root").alias("to"))
-                for side in ("x", "y"):
-                    pairs = pairs.join(names, pairs[side] == names["id"], "left").withColumn(side, F.coalesce("to", side)).drop("id", "to")
-                pairs = stage(pairs.filter("x != y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "roots")
-                members = stage(tokens.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("root", "rep").alias("root"), "tokens"), "members")
-        deep = opened.filter(F.col("r") > FEW)
-        if last or deep.isEmpty():
+        members = stage(tokens.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("root", "rep").alias("root"), "tokens"), "members")
+        paths = _paths(members, DEPTH, BRANCH) if nodes is None else _paths(nodes.join(members, "rep"), DEPTH, 2 * BRANCH, "at")
+        # a node of one component is done
+        opened = stage(paths.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("node", "n"), "opened")
+        near = paths.join(opened.filter(F.col("n") <= CHUNK).select("node"), "node").join(members.select("rep", "tokens"), "rep")
+        found = _inside(near.select("node", "rep", "root", "tokens"))
+        large = opened.filter(F.col("n") > CHUNK)
+        deep = None if large.isEmpty() else stage(paths.join(large.select("node"), "node"), "deep")
+        if deep is not None and last:
+            own = deep.select("node", "root").distinct()
+            meet = own.withColumnRenamed("root", "x").join(own.withColumnRenamed("root", "y"), "node").filter("x < y").select("x", "y").distinct()
+            found = found.unionByName(_across(members, meet)).distinct()
+        more = stage(_linked(stage(found, "pairs"), full), "links")
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            roots = components(links)
+        if deep is None or last:
             break
-        nodes = stage(paths.join(deep, "node").select(F.col("node").alias("at"), "rep"), "deep")
+        nodes = deep.select(F.col("node").alias("at"), "rep")
     classes = reps.select("set_key", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("root", "rep").alias("component_id"))
     alone = base.filter("set_key is null").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"))
     done = base.join(classes, "set_key").select("doc_id", "n_shingles", "component_id").unionByName(alone)
