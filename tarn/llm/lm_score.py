@@ -32,8 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, stage, utf8, words
-from .near_dedup import WordHash, mix
+from .common import mix, slices, stage, utf8, word_hashes
 
 LEAST, BASE, PROBES, BITS = 2, math.sqrt(2.0), 8, 11.6
 MIX = 0.3
@@ -51,11 +50,10 @@ def held_out(key) -> bool:
     return zlib.crc32(str(key).encode()) % 10 == 0
 
 
-def token_hashes(text: bytes, known: WordHash) -> np.ndarray:
-    """Hashes of the words and one end token."""
-    w = words(text)
-    out = np.fromiter(map(known.__getitem__, w), np.uint64, len(w))
-    return np.append(out, _U(END))
+def token_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of the words of all texts, each followed by an end token; tokens of each text)."""
+    h, n = word_hashes(texts)
+    return np.insert(h, np.cumsum(n), _U(END)), n + 1
 
 
 def pair_hashes(context: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -123,7 +121,7 @@ def _learn(train: DataFrame, buckets: int) -> DataFrame:
     names = ["bucket", "hashes", "place", "count"]
 
     def run(batches):
-        known, gathered, pairs, size = WordHash(), [], [], 0
+        gathered, pairs, size = [], [], 0
 
         def send():
             for kind, first in ((gathered, 0), (pairs, buckets)):
@@ -133,16 +131,14 @@ def _learn(train: DataFrame, buckets: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows[lo : lo + 64]), kinds)], names=names)
 
         for batch in slices(batches, "b"):
-            for k, raw in zip(batch.column("k").to_pylist(), batch.column("b").to_pylist()):
-                if held_out(k):
-                    continue
-                h = token_hashes(raw, known)
+            h, _ = token_hashes([raw for k, raw in zip(batch.column("k").to_pylist(), batch.column("b").to_pylist()) if not held_out(k)])
+            if h.size:
                 gathered.append(h)
-                pairs.append(pair_hashes(np.concatenate([h[-1:], h[:-1]]), h))
+                pairs.append(pair_hashes(np.concatenate([h[-1:], h[:-1]]), h))  # an end token stands before each text
                 size += h.size
-                if size >= FLUSH:
-                    yield from send()
-                    size = 0
+            if size >= FLUSH:
+                yield from send()
+                size = 0
         yield from send()
 
     def reduce(key, group):
@@ -235,7 +231,6 @@ def _score_pass(src: DataFrame, frequent, filters, buckets: int, norm: float, nu
     back = math.log10(1 - MIX)
 
     def run(batches):
-        known = WordHash()
         hot, hot_count = frequent.value
         size = np.zeros(buckets, np.int64)
         for b, (bits, _) in filters.value.items():
@@ -260,25 +255,25 @@ def _score_pass(src: DataFrame, frequent, filters, buckets: int, norm: float, nu
 
         for batch in slices(batches, "b", 4 << 20):
             keys, raws = batch.column("k").to_pylist(), batch.column("b").to_pylist()
-            parts = [token_hashes(x, known) for x in raws]
-            n = np.array([p.size for p in parts])
-            h = np.concatenate(parts)
+            h, n = token_hashes(raws)
             row = np.repeat(np.arange(n.size), n)
-            before = np.concatenate([[_U(END)], h[:-1]]).astype(np.uint64)  # an end token stands before each text
-            at = np.minimum(np.searchsorted(hot, h), max(0, hot.size - 1))
-            is_hot = hot[at] == h if hot.size else np.zeros(h.size, bool)
-            c = np.where(is_hot, hot_count[at] if hot.size else 0, 0)
+            # frequencies and bigram levels of the distinct words and bigrams of the batch
+            distinct, same = np.unique(h, return_inverse=True)
+            at = np.minimum(np.searchsorted(hot, distinct), max(0, hot.size - 1))
+            found = hot[at] == distinct if hot.size else np.zeros(distinct.size, bool)
+            c = np.where(found, hot_count[at] if hot.size else 0, 0)[same]
+            is_hot = found[same]
             context = np.concatenate([c[-1:], c[:-1]])
-            # levels of the bigrams of this shard
-            where = np.flatnonzero(context >= LEAST)
-            pair = pair_hashes(before[where], h[where])
+            asked = np.flatnonzero(context >= LEAST)
+            pair, back_to = np.unique(pair_hashes(np.concatenate([h[-1:], h[:-1]])[asked], h[asked]), return_inverse=True)
             bucket = ((pair >> _U(32)) * _U(buckets) >> _U(32)).astype(np.int64)
-            level, q = np.zeros(h.size, np.int64), 1
+            reached, where, q = np.zeros(pair.size, np.int64), np.arange(pair.size), 1
             while where.size:
-                got = held_bits.has(pair, bucket, q)
-                where, pair, bucket = where[got], pair[got], bucket[got]
-                level[where] = q
+                where = where[held_bits.has(pair[where], bucket[where], q)]
+                reached[where] = q
                 q += 1
+            level = np.zeros(h.size, np.int64)
+            level[asked] = reached[back_to]
             seen = np.minimum(_level_count(level), context)
             extra = np.where(context > 0, MIX * seen / np.maximum(context, 1), 0.0)
             p0 = (c + 0.1) / norm
