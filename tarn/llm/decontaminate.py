@@ -35,6 +35,8 @@ from .common import slices, utf8
 Q = 8
 RATIO = 0.10
 WALKS, REPEATS, SAMPLED = 4, 48, 4
+#: Diagonals, those with most common q-grams, that windows are laid on for each item length of a stretch.
+LANES = 3
 BLOCK_BYTES = 4 << 20
 #: Common q-grams looked at together; a bound on memory, not on what is looked at.
 CHUNK = 1 << 20
@@ -111,6 +113,12 @@ def qgrams(b: np.ndarray) -> np.ndarray:
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
+def _runs(x: np.ndarray, gap: int) -> list[tuple[int, int]]:
+    """(first, last) of stretches of sorted numbers without gaps over ``gap``."""
+    cut = np.flatnonzero(np.diff(x) > gap)
+    return list(zip(x[np.append(0, cut + 1)].tolist(), x[np.append(cut, x.size - 1)].tolist()))
+
+
 class Items:
     """One block of items: q-gram index, walks and buckets."""
 
@@ -188,14 +196,14 @@ class Items:
         it, d = it[order], d[order]
         for i in np.unique(it):
             own = d[it == i]
-            need, k, n = int(self.need[i]), int(self.edits[i]), int(self.sizes[i])
-            dense = np.flatnonzero(own[need - 1 :] - own[: own.size - need + 1] <= 2 * k)
-            last = None
-            for j in dense.tolist():
-                start = int(own[j])
-                if last is None or start - last > max(k, 1):
-                    found.setdefault(int(i), []).append(start)
-                    last = start
+            need, k, n = int(self.need[i]), max(1, int(self.edits[i])), int(self.sizes[i])
+            dense = own[np.flatnonzero(own[need - 1 :] - own[: own.size - need + 1] <= 2 * k)]
+            if not dense.size:
+                continue
+            for low, high in _runs(dense, 2 * k):
+                lane, times = np.unique(own[np.searchsorted(own, low) : np.searchsorted(own, high + 2 * k, "right")], return_counts=True)
+                best = np.sort(lane[np.argsort(-times, kind="stable")[: LANES * max(1, -(-(int(high) - int(low)) // max(n, 1)))]])
+                found.setdefault(int(i), []).extend(best.tolist())
         return [(i, s) for i, starts in found.items() for s in starts] if total else []
 
 
