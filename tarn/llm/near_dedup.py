@@ -34,12 +34,12 @@ from .common import mix, slices, stage, unstage, utf8, word_hashes
 
 SHINGLE = 5
 NUM, DEN = 85, 100
-SKETCH = 128
+SKETCH, FINE = 128, 256
 TREES, DEPTH, BRANCH = 16, 5, 0.18
 ROUNDS = 3
-#: Equal minwise tokens of SKETCH that a pair at the threshold falls short of in 3 of 10,000 cases; such a
-#: pair is lost only if neither a star nor any other link connects it.
-LEAST_SAME = 95
+#: Equal tokens of FINE that a pair at the threshold falls short of in 3 of 10,000 cases; such a pair is
+#: lost only if neither a star nor any other link connects it.
+LEAST_SAME = 197
 #: Members of a node that a task compares; a larger node branches on, and at last is compared in chunks.
 CHUNK = 2048
 #: Bounds on memory, each with another way beyond: ids that are broadcast, edges that one task joins.
@@ -48,7 +48,7 @@ BROADCAST_IDS, UNION_EDGES = 500_000, 2_000_000
 _U = np.uint64
 _RNG = np.random.default_rng(20240229)
 _ODD = _RNG.integers(1, 2**63, SHINGLE, dtype=np.uint64) * _U(2) + _U(1)
-_MUL = (_RNG.integers(1, 2**31, SKETCH, dtype=np.uint64) * _U(2) + _U(1)).astype(np.uint32)
+_MUL = (_RNG.integers(1, 2**31, SKETCH + FINE, dtype=np.uint64) * _U(2) + _U(1)).astype(np.uint32)
 
 
 def miss_probability(similarity: float, depth: int = DEPTH, trees: int = TREES, branch: float = BRANCH) -> float:
@@ -79,17 +79,29 @@ def text_sets(texts: list[bytes]) -> list[np.ndarray]:
     return [shingles(x) for x in np.split(h, np.cumsum(n)[:-1])] if texts else []
 
 
-def sketch(s: np.ndarray) -> np.ndarray:
-    """``SKETCH`` minwise tokens of a non-empty set, 16 bits each."""
+def _minima(s: np.ndarray, mul: np.ndarray) -> np.ndarray:
+    """The least value of a non-empty set under each of some hash functions."""
     low, high = (s & _U(0xFFFFFFFF)).astype(np.uint32), (s >> _U(32)).astype(np.uint32)
-    out = np.full(SKETCH, 0xFFFFFFFF, np.uint32)
+    out = np.full(mul.size, 0xFFFFFFFF, np.uint32)
     for i in range(0, s.size, 2048):
-        v = np.multiply.outer(_MUL, low[i : i + 2048])
+        v = np.multiply.outer(mul, low[i : i + 2048])
         v += high[i : i + 2048]
         np.minimum(out, v.min(axis=1), out=out)
+    return out
+
+
+def sketch(s: np.ndarray) -> np.ndarray:
+    """``SKETCH`` minwise tokens of a non-empty set, 16 bits each: what the trees branch on."""
+    out = _minima(s, _MUL[:SKETCH])
     return (out ^ (out >> np.uint32(16))).astype(np.uint16)
 
 
+def fine_sketch(s: np.ndarray) -> np.ndarray:
+    """``FINE`` more minwise tokens, 8 bits each: what candidate pairs are chosen by."""
+    out = _minima(s, _MUL[SKETCH:])
+    return (out ^ (out >> np.uint32(8)) ^ (out >> np.uint32(16)) ^ (out >> np.uint32(24))).astype(np.uint8)
+
+
 def _sketches(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, set_key (128-bit hash of the set), tokens."""
 
@@ -120,7 +132,7 @@ def _branch(node: np.ndarray, doc: np.ndarray, tokens: np.ndarray, levels: int,
 
 
 def _paths(rows: DataFrame, levels: int, branch: float, start: str | None = None) -> DataFrame:
-    """(node, rep, root): leaves ``levels`` below the tree roots, or below the nodes in column ``start``."""
+    """(node, rep): leaves ``levels`` below the tree roots, or below the nodes in column ``start``."""
 
     def run(batches):
         roots = mix(np.arange(1, TREES + 1, dtype=np.uint64) * _U(0xA0761D6478BD642F))
@@ -128,16 +140,16 @@ def _paths(rows: DataFrame, levels: int, branch: float, start: str | None = None
             for lo in range(0, batch.num_rows, 2000):
                 part = batch.slice(lo, 2000)
                 tokens = np.frombuffer(b"".join(part.column("tokens").to_pylist()), np.uint16).reshape(-1, SKETCH)
-                reps, labels = (part.column(c).to_numpy(zero_copy_only=False) for c in ("rep", "root"))
+                reps = part.column("rep").to_numpy(zero_copy_only=False)
                 n = len(reps)
                 if start:
                     node, doc = part.column(start).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64).copy(), np.arange(n)
                 else:
                     node, doc = np.tile(roots, n), np.repeat(np.arange(n), TREES)
                 node, doc = _branch(node, doc, tokens, levels, branch)
-                yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.array(reps[doc], pa.int64()), pa.array(labels[doc], pa.int64())], names=["node", "rep", "root"])
+                yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.array(reps[doc], pa.int64())], names=["node", "rep"])
 
-    return rows.select("tokens", "rep", "root", *([start] if start else [])).mapInArrow(run, "node long, rep long, root long")
+    return rows.select("tokens", "rep", *([start] if start else [])).mapInArrow(run, "node long, rep long")
 
 
 def _stars(met: DataFrame) -> DataFrame:
@@ -149,14 +161,15 @@ def _stars(met: DataFrame) -> DataFrame:
 
 
 def _full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, s): the whole shingle sets of the documents named; only they are shingled again."""
+    """(id, s, fine): whole shingle sets and fine sketches of the documents named; only they are shingled again."""
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
 
     def sets(batches):
         for batch in slices(batches, "b"):
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([s.tobytes() for s in text_sets(batch.column("b").to_pylist())], pa.binary())], names=["id", "s"])
+            made = text_sets(batch.column("b").to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([s.tobytes() for s in made], pa.binary()), pa.array([fine_sketch(s).tobytes() for s in made], pa.binary())], names=["id", "s", "fine"])
 
-    return docs.join(F.broadcast(ids) if few else ids, docs["doc_id"] == ids["rep"], "left_semi").mapInArrow(sets, "id long, s binary")
+    return docs.join(F.broadcast(ids) if few else ids, docs["doc_id"] == ids["rep"], "left_semi").mapInArrow(sets, "id long, s binary, fine binary")
 
 
 def _linked(pairs: DataFrame, full: DataFrame) -> DataFrame:
@@ -239,20 +252,20 @@ def components(edges: DataFrame, small: int | None = None, max_rounds: int = 60)
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(own)
 
 
-def _alike(tokens: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _alike(fine: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places (i, j), i < j, of members of different components whose sketches agree enough."""
     a, b = [], []
     for i in range(len(root) - 1):
         at = np.flatnonzero(root[i + 1 :] != root[i]) + i + 1
         if at.size:
-            at = at[(tokens[at] == tokens[i]).sum(axis=1) >= LEAST_SAME]
+            at = at[(fine[at] == fine[i]).sum(axis=1) >= LEAST_SAME]
             a.append(np.full(at.size, i))
             b.append(at)
     return (np.concatenate(a), np.concatenate(b)) if a else (np.empty(0, np.int64),) * 2
 
 
 def _inside(rows: DataFrame) -> DataFrame:
-    """Candidate pairs (a, b) within each node of rows (node, rep, root, tokens), nodes being small.
+    """Candidate pairs (a, b) within each node of rows (node, rep, root, fine), nodes being small.
 
     Nodes stream past in order, so a task holds one node and one batch.
     """
@@ -260,7 +273,7 @@ def _inside(rows: DataFrame) -> DataFrame:
     def run(batches):
         held = None
         for batch in batches:
-            part = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("node", "rep", "root")] + [np.frombuffer(b"".join(batch.column("tokens").to_pylist()), np.uint16).reshape(-1, SKETCH)]
+            part = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("node", "rep", "root")] + [np.frombuffer(b"".join(batch.column("fine").to_pylist()), np.uint8).reshape(-1, FINE)]
             if held is not None:
                 part = [np.concatenate(x) for x in zip(held, part)]
             edges = np.flatnonzero(np.diff(part[0])) + 1
@@ -293,14 +306,14 @@ def _across(members: DataFrame, pairs: DataFrame) -> DataFrame:
     known = pairs.join(size.withColumnsRenamed({"root": "x", "n": "nx"}), "x").join(size.withColumnsRenamed({"root": "y", "n": "ny"}), "y")
     swap = F.col("nx") > F.col("ny")
     known = known.select(F.when(swap, F.col("y")).otherwise(F.col("x")).alias("few"), F.when(swap, F.col("x")).otherwise(F.col("y")).alias("many"), F.ceil(F.greatest("nx", "ny") / CHUNK).cast("int").alias("chunks"))
-    many = members.join(known.select(F.col("many").alias("root"), "chunks").distinct(), "root").select(F.col("root").alias("many"), F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int").alias("chunk"), "rep", "tokens")
-    few = known.join(members.withColumnRenamed("root", "few"), "few").select("many", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "rep", "tokens")
+    many = members.join(known.select(F.col("many").alias("root"), "chunks").distinct(), "root").select(F.col("root").alias("many"), F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int").alias("chunk"), "rep", "fine")
+    few = known.join(members.withColumnRenamed("root", "few"), "few").select("many", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "rep", "fine")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def compare(left, right):
         if not left.num_rows or not right.num_rows:
             return schema.empty_table()
-        take = lambda t: (np.array(t.column("rep").to_pylist(), np.int64), np.frombuffer(b"".join(t.column("tokens").to_pylist()), np.uint16).reshape(-1, SKETCH))
+        take = lambda t: (np.array(t.column("rep").to_pylist(), np.int64), np.frombuffer(b"".join(t.column("fine").to_pylist()), np.uint8).reshape(-1, FINE))
         (xs, tx), (ys, ty) = take(left), take(right)
         hits = [np.flatnonzero((ty == own).sum(axis=1) >= LEAST_SAME) for own in tx]
         a, b = np.repeat(xs, [h.size for h in hits]), ys[np.concatenate(hits)]
@@ -317,7 +330,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     reps = stage(sketched.filter("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("tokens").alias("tokens")), "reps")
 
     # each node's members against its most central one
-    paths = _paths(reps.withColumn("root", F.col("rep")), DEPTH, BRANCH).select("node", "rep")
+    paths = _paths(reps, DEPTH, BRANCH)
     sizes = paths.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     met = stage(paths.join(sizes, "node"), "nodes")
     star = stage(_stars(met), "pairs")
@@ -325,21 +338,21 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     full = stage(_full_sets(src, ids), "sets")
     links = stage(_linked(star, full), "links")
     roots = components(links)
-    tokens = reps.select("rep", "tokens").join(ids, "rep", "left_semi")
-    nodes = None
+    fine = full.select(F.col("id").alias("rep"), "fine")
+    nodes = met.select("node", "rep")
     for turn in range(ROUNDS):
         last = turn == ROUNDS - 1
-        members = stage(tokens.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("root", "rep").alias("root"), "tokens"), "members")
-        paths = _paths(members, DEPTH, BRANCH) if nodes is None else _paths(nodes.join(members, "rep"), DEPTH, 2 * BRANCH, "at")
+        held = nodes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("node", "rep", F.coalesce("root", "rep").alias("root"))
         # a node of one component is done
-        opened = stage(paths.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("node", "n"), "opened")
-        near = paths.join(opened.filter(F.col("n") <= CHUNK).select("node"), "node").join(members.select("rep", "tokens"), "rep")
-        found = _inside(near.select("node", "rep", "root", "tokens"))
+        opened = stage(held.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("node", "n"), "opened")
+        near = held.join(opened.filter(F.col("n") <= CHUNK).select("node"), "node").join(fine, "rep")
+        found = _inside(near.select("node", "rep", "root", "fine"))
         large = opened.filter(F.col("n") > CHUNK)
-        deep = None if large.isEmpty() else stage(paths.join(large.select("node"), "node"), "deep")
+        deep = None if large.isEmpty() else stage(held.join(large.select("node"), "node"), "deep")
         if deep is not None and last:
             own = deep.select("node", "root").distinct()
             meet = own.withColumnRenamed("root", "x").join(own.withColumnRenamed("root", "y"), "node").filter("x < y").select("x", "y").distinct()
+            members = deep.select("rep", "root").distinct().join(fine, "rep")
             found = found.unionByName(_across(members, meet)).distinct()
         more = stage(_linked(stage(found, "pairs"), full), "links")
         if not more.isEmpty():
@@ -347,7 +360,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
             roots = components(links)
         if deep is None or last:
             break
-        nodes = deep.select(F.col("node").alias("at"), "rep")
+        below = deep.select(F.col("node").alias("at"), "rep").join(reps.select("rep", "tokens"), "rep")
+        nodes = stage(_paths(below, DEPTH, 2 * BRANCH, "at"), "nodes")
     classes = reps.select("set_key", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("root", "rep").alias("component_id"))
     alone = base.filter("set_key is null").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"))
     done = base.join(classes, "set_key").select("doc_id", "n_shingles", "component_id").unionByName(alone)
