@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from .common import slices
 
@@ -189,7 +190,7 @@ def with_ids(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", d
     shipped = docs.sparkSession.sparkContext.broadcast(load_spec(path))
     rest = [c for c in docs.columns if c not in (ids, "n_tokens", decoded)]
     src = docs.select(*[docs[f"`{c}`"] for c in rest])
-    schema = src.schema.add(ids, "array<int>").add("n_tokens", "long").add(decoded, "string")
+    schema = src.schema.add(ids, T.ArrayType(T.IntegerType())).add("n_tokens", "long").add(decoded, "string")
 
     def run(batches):
         c = codec(shipped.value)
