@@ -190,7 +190,7 @@ def with_ids(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", d
     shipped = docs.sparkSession.sparkContext.broadcast(load_spec(path))
     rest = [c for c in docs.columns if c not in (ids, "n_tokens", decoded)]
     src = docs.select(*[docs[f"`{c}`"] for c in rest])
-    schema = src.schema.add(ids, T.ArrayType(T.IntegerType())).add("n_tokens", "long").add(decoded, "string")
+    schema = T.StructType([*src.schema, T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType()), T.StructField(decoded, T.StringType())])
 
     def run(batches):
         c = codec(shipped.value)
