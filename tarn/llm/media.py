@@ -18,6 +18,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from .common import slices, utf8
 
@@ -157,17 +158,17 @@ def payload_of(text: bytes) -> bytes:
 
 def store_media(df: DataFrame, payload: str, out: str = "media", tag: int = MULAW) -> DataFrame:
     """Add ``out``: the binary column ``payload`` as a lossless 8-bit law WAV file (null: empty)."""
-    return _map(df, payload, out, lambda b: wav(b, tag), "binary")
+    return _map(df, payload, out, lambda b: wav(b, tag), T.BinaryType())
 
 
 def decoded_pcm(df: DataFrame, media: str = "media", out: str = "pcm", rate: int = OUT_RATE) -> DataFrame:
     """Add ``out``: each stored file decoded and resampled, as a PCM WAV file; null stays null."""
-    return _map(df, media, out, lambda b: to_pcm(b, rate) if b else None, "binary")
+    return _map(df, media, out, lambda b: to_pcm(b, rate) if b else None, T.BinaryType())
 
 
-def _map(df: DataFrame, source: str, out: str, fn, kind: str) -> DataFrame:
+def _map(df: DataFrame, source: str, out: str, fn, kind: T.DataType) -> DataFrame:
     rest = [c for c in df.columns if c != out]
-    schema = df.select(*[df[f"`{c}`"] for c in rest]).schema.add(out, kind)
+    schema = T.StructType([*(df.schema[c] for c in rest), T.StructField(out, kind)])
 
     def run(batches):
         for batch in slices(batches, source):

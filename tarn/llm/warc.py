@@ -126,6 +126,8 @@ def read_records(archive: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
         un = zlib.decompressobj(31)
         raw = un.decompress(view[at:])
         raw += un.flush()
+        if not un.eof:
+            raise ValueError(f"the member at {at} is cut short")
         head, _, rest = raw.partition(b"\r\n\r\n")
         version, *lines = head.decode().split("\r\n")
         if not version.startswith("WARC/"):

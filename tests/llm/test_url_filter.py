@@ -48,7 +48,8 @@ def test_edges(spark):
     assert u.judge_captures(caps, entries.limit(0)).filter("blocked").count() == 0
 
 
-def test_plan_is_native(spark):
-    caps = u.captures_of(spark.createDataFrame([(1, "http://bad.org", "h")], "page_id long, url string, html string"))
+def test_plan_is_native(spark, tmp_path):
+    spark.createDataFrame([(1, "http://bad.org", "h")], "page_id long, url string, html string").write.parquet(str(tmp_path / "p"))
+    caps = u.captures_of(spark.read.parquet(str(tmp_path / "p")))
     plan = u.judge_captures(caps, u.entries_table(spark))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "html" not in plan
