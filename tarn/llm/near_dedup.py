@@ -9,7 +9,8 @@ every token on the path, so after ``DEPTH`` levels nodes are small.
 A node's members are compared with its most central one first (the member that collides most over all
 nodes), which links a group of copies to its origin; links join them into components. A node whose members
 are all connected is done. In every other node of at most ``CHUNK`` members, all pairs of different
-components are compared: sketches choose what the full sets then decide. A larger node branches on, up to
+components are compared where they meet: sketches choose the members whose full sets are brought there and
+then decide. A larger node branches on, up to
 ``ROUNDS`` levels of ``DEPTH``; what is still large then is compared component by component, in chunks. No
 partner is dropped, and members of one component are never paired among themselves. Every link is confirmed
 on the full sets (100 * intersection >= 85 * union); links and components stay distributed.
@@ -172,6 +173,16 @@ def _full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(ids) if few else ids, docs["doc_id"] == ids["rep"], "left_semi").mapInArrow(sets, "id long, s binary, fine binary")
 
 
+def similar(x: np.ndarray, y: np.ndarray) -> bool:
+    """The link condition on two sorted sets."""
+    small, large = (x, y) if x.size <= y.size else (y, x)
+    if not small.size or DEN * small.size < NUM * large.size:
+        return False
+    at = np.searchsorted(large, small)
+    both = int((large[np.minimum(at, large.size - 1)] == small).sum())
+    return DEN * both >= NUM * (x.size + y.size - both)
+
+
 def _linked(pairs: DataFrame, full: DataFrame) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
 
@@ -180,14 +191,7 @@ def _linked(pairs: DataFrame, full: DataFrame) -> DataFrame:
             for part in slices([batch], "sa"):
                 keep = []
                 for x, y in zip(part.column("sa").to_pylist(), part.column("sb").to_pylist()):
-                    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                    small, large = (x, y) if x.size <= y.size else (y, x)
-                    if not small.size or DEN * small.size < NUM * large.size:
-                        keep.append(False)
-                        continue
-                    at = np.searchsorted(large, small)
-                    both = int((large[np.minimum(at, large.size - 1)] == small).sum())
-                    keep.append(DEN * both >= NUM * (x.size + y.size - both))
+                    keep.append(similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)))
                 yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     wide = pairs.join(full.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(full.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
@@ -264,37 +268,78 @@ def _alike(fine: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(a), np.concatenate(b)) if a else (np.empty(0, np.int64),) * 2
 
 
-def _inside(rows: DataFrame) -> DataFrame:
-    """Candidate pairs (a, b) within each node of rows (node, rep, root, fine), nodes being small.
+def _grouped(batches, names: list[str]):
+    """The columns of each node in turn, from batches sorted by node; one node and one batch are held."""
+    held = None
+    for batch in batches:
+        part = []
+        for name in ("node", *names):
+            column = batch.column(name)
+            if pa.types.is_binary(column.type):
+                values = np.empty(batch.num_rows, object)
+                values[:] = column.to_pylist()
+                part.append(values)
+            else:
+                part.append(column.to_numpy(zero_copy_only=False))
+        if held is not None:
+            part = [np.concatenate(x) for x in zip(held, part)]
+        edges = [0, *(np.flatnonzero(np.diff(part[0])) + 1).tolist()]
+        for lo, hi in zip(edges, edges[1:]):
+            yield [x[lo:hi] for x in part]
+        held = [x[edges[-1] :] for x in part]
+    if held is not None and len(held[0]):
+        yield held
+
+
+def _packed(rows: list[tuple], names: list[str]):
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in zip(*rows)], names=names)
+
+
+def _hopeful(rows: DataFrame) -> DataFrame:
+    """(node, rep, root) of the members that some member of another component may be similar to, by sketches."""
+
+    def run(batches):
+        out, size = [], 0
+        for node, rep, root, fine in _grouped(batches, ["rep", "root", "fine"]):
+            i, j = _alike(np.frombuffer(b"".join(fine), np.uint8).reshape(-1, FINE), root)
+            at = np.unique(np.concatenate([i, j]))
+            if at.size:
+                out.append((node[at], rep[at], root[at]))
+                size += at.size
+            if size > 50_000:
+                yield from _packed(out, ["node", "rep", "root"])
+                out, size = [], 0
+        yield from _packed(out, ["node", "rep", "root"])
+
+    return rows.repartition("node").sortWithinPartitions("node").mapInArrow(run, "node long, rep long, root long")
 
-    Nodes stream past in order, so a task holds one node and one batch.
-    """
+
+def _settled(rows: DataFrame) -> DataFrame:
+    """Links (a, b) inside each node of rows (node, rep, root, fine, s): full sets decide, one link joins two components."""
 
     def run(batches):
-        held = None
-        for batch in batches:
-            part = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("node", "rep", "root")] + [np.frombuffer(b"".join(batch.column("fine").to_pylist()), np.uint8).reshape(-1, FINE)]
-            if held is not None:
-                part = [np.concatenate(x) for x in zip(held, part)]
-            edges = np.flatnonzero(np.diff(part[0])) + 1
-            cut = int(edges[-1]) if edges.size else 0
-            if cut:
-                yield from compare([x[:cut] for x in part], edges[:-1])
-            held = [x[cut:] for x in part]
-        if held is not None and len(held[0]):
-            yield from compare(held, np.empty(0, np.int64))
-
-    def compare(part, edges):
-        a, b = [], []
-        for lo, hi in zip([0, *edges.tolist()], [*edges.tolist(), len(part[0])]):
-            i, j = _alike(part[3][lo:hi], part[2][lo:hi])
-            a.append(part[1][lo + i])
-            b.append(part[1][lo + j])
-        a, b = np.concatenate(a), np.concatenate(b)
-        if a.size:
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-
-    return rows.repartition("node").sortWithinPartitions("node").mapInArrow(run, "a long, b long").distinct()
+        out = []
+        for _, rep, root, fine, s in _grouped(batches, ["rep", "root", "fine", "s"]):
+            sets = [np.frombuffer(x, np.uint64) for x in s]
+            joined = {r: r for r in root.tolist()}
+
+            def find(x, joined=joined):
+                while joined[x] != x:
+                    x = joined[x]
+                return x
+
+            for i, j in zip(*(x.tolist() for x in _alike(np.frombuffer(b"".join(fine), np.uint8).reshape(-1, FINE), root))):
+                x, y = find(int(root[i])), find(int(root[j]))
+                if x != y and similar(sets[i], sets[j]):
+                    joined[x] = y
+                    out.append((rep[i : i + 1], rep[j : j + 1]))
+            if len(out) > 10_000:
+                yield from _packed(out, ["a", "b"])
+                out = []
+        yield from _packed(out, ["a", "b"])
+
+    return rows.repartition("node").sortWithinPartitions("node").mapInArrow(run, "a long, b long")
 
 
 def _across(members: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -346,15 +391,16 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         # a node of one component is done
         opened = stage(held.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("node", "n"), "opened")
         near = held.join(opened.filter(F.col("n") <= CHUNK).select("node"), "node").join(fine, "rep")
-        found = _inside(near.select("node", "rep", "root", "fine"))
+        hopeful = stage(_hopeful(near.select("node", "rep", "root", "fine")), "hopeful")
+        found = _settled(hopeful.join(full.withColumnRenamed("id", "rep"), "rep").select("node", "rep", "root", "fine", "s"))
         large = opened.filter(F.col("n") > CHUNK)
         deep = None if large.isEmpty() else stage(held.join(large.select("node"), "node"), "deep")
         if deep is not None and last:
             own = deep.select("node", "root").distinct()
             meet = own.withColumnRenamed("root", "x").join(own.withColumnRenamed("root", "y"), "node").filter("x < y").select("x", "y").distinct()
             members = deep.select("rep", "root").distinct().join(fine, "rep")
-            found = found.unionByName(_across(members, meet)).distinct()
-        more = stage(_linked(stage(found, "pairs"), full), "links")
+            found = found.unionByName(_linked(_across(members, meet), full))
+        more = stage(found, "links")
         if not more.isEmpty():
             links = links.unionByName(more)
             roots = components(links)
