@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -13,23 +14,32 @@ MAX_LAT = 85.05112878
 UNITS = {"m": 1.0, "km": 1000.0, "ft": 0.3048, "mi": 1609.34}
 DIGITS = "0123456789bcdefghjkmnpqrstuvwxyz"
 STEP = 26
-#: Masks and shifts that spread 26 bits to every other place.
-_SPREAD = [(16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)]
+
+def _spread_byte(b: int) -> int:
+    """The bits of a byte at every other place."""
+    return sum((b >> i & 1) << 2 * i for i in range(8))
+
+
+def _gather_byte(b: int) -> int:
+    """The bits at the even places of a byte, together."""
+    return sum((b >> 2 * i & 1) << i for i in range(4))
+
+
+def _look(table, index: Column) -> Column:
+    """An entry of a table of 256 numbers made from a rule; the table folds into one constant."""
+    return F.element_at(F.expr("array(" + ",".join(f"{table(b)}L" for b in range(256)) + ")"), index.cast("int") + 1)
 
 
 def _spread(x: Column) -> Column:
-    for shift, mask in _SPREAD:
-        x = x.bitwiseOR(F.shiftleft(x, shift)).bitwiseAND(F.lit(mask))
-    return x
+    """A number of 26 bits with its bits at every other place, a byte at a time."""
+    parts = [F.shiftleft(_look(_spread_byte, F.shiftright(x, 8 * i).bitwiseAND(F.lit(255))), 16 * i) for i in range(4)]
+    return reduce(Column.bitwiseOR, parts)
 
 
 def _gather(x: Column) -> Column:
-    x = x.bitwiseAND(F.lit(_SPREAD[-1][1]))
-    masks = [m for _, m in _SPREAD]
-    for i, shift in enumerate((1, 2, 4, 8, 16)):
-        keep = masks[3 - i] if i < 4 else 0x00000000FFFFFFFF
-        x = x.bitwiseOR(F.shiftright(x, shift)).bitwiseAND(F.lit(keep))
-    return x
+    """The bits at the even places of a number of 52 bits."""
+    parts = [F.shiftleft(_look(_gather_byte, F.shiftright(x, 8 * i).bitwiseAND(F.lit(255))), 4 * i) for i in range(7)]
+    return reduce(Column.bitwiseOR, parts)
 
 
 def valid(lon: Column, lat: Column) -> Column:
@@ -55,9 +65,9 @@ def decode(cell: Column) -> tuple[Column, Column]:
 
 def base32(lon: Column, lat: Column) -> Column:
     """The 11-digit standard geohash, of latitudes up to 90; the last digit is 0 as 52 bits hold ten."""
+    digit = lambda i: F.substring(F.lit(DIGITS), (F.call_function("shiftright", cell, 47 - 5 * i).bitwiseAND(F.lit(31)) + 1).cast("int"), F.lit(1))
     cell = encode(lon, lat, 90.0)
-    digits = [F.substring(F.lit(DIGITS), (F.shiftright(cell, 52 - 5 * (i + 1)).bitwiseAND(F.lit(31)) + 1).cast("int"), F.lit(1)) for i in range(10)]
-    return F.concat(*digits, F.lit("0"))
+    return F.concat(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(9)), digit), ""), F.lit("0"))
 
 
 def distance(lon1, lat1, lon2, lat2) -> Column:
@@ -66,7 +76,9 @@ def distance(lon1, lat1, lon2, lat2) -> Column:
     lon1, lat1, lon2, lat2 = map(as_col, (lon1, lat1, lon2, lat2))
     u = F.sin((F.radians(lat2) - F.radians(lat1)) / 2)
     v = F.sin((F.radians(lon2) - F.radians(lon1)) / 2)
-    return 2.0 * RADIUS * F.asin(F.sqrt(F.least(F.lit(1.0), u * u + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * v * v)))
+    part = u * u + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * v * v
+    metres = 2.0 * RADIUS * F.asin(F.sqrt(F.least(F.lit(1.0), part)))
+    return F.when((lon1 + lat1 + lon2 + lat2).isNotNull(), metres)  # least() passes over NULL
 
 
 def in_box(lon: Column, lat: Column, lon0: float, lat0: float, width: float, height: float) -> Column:

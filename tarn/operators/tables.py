@@ -88,7 +88,7 @@ def prepare(table: Table, batch: DataFrame, state: DataFrame, ttl_seconds: int |
         made.append(col.cast(c.spark).alias(c.name))
     seconds = ttl_seconds if ttl_seconds is not None else table.ttl_seconds
     clock = now if now is not None else F.current_timestamp()
-    deadline = F.timestampadd("SECOND", F.lit(seconds), clock) if seconds else F.lit(None).cast("timestamp")
+    deadline = F.timestamp_add("SECOND", F.lit(seconds), clock) if seconds else F.lit(None).cast("timestamp")
     rows = batch.select(*made, deadline.alias(EXPIRES), F.array_compact(F.array(*bad)).alias("_bad") if bad else F.array().cast("array<string>").alias("_bad"))
     key = table.key
     if key.kind == "INT":
@@ -198,7 +198,7 @@ def upsert(table: Table, state: DataFrame, batch: DataFrame, conflict: tuple[str
         match = one if match is None else match & one
     met = typed.join(held, match, "inner")
     seconds = ttl_seconds if ttl_seconds is not None else table.ttl_seconds
-    deadline = F.timestampadd("SECOND", F.lit(seconds), now if now is not None else F.current_timestamp()) if seconds else F.col(f"`_old_{EXPIRES}`")
+    deadline = F.timestamp_add("SECOND", F.lit(seconds), now if now is not None else F.current_timestamp()) if seconds else F.col(f"`_old_{EXPIRES}`")
     updated = met.select(*[(F.col(f"`{c.name}`") if c.name in batch.columns else F.col(f"`_old_{c.name}`")).alias(c.name) for c in table.columns], deadline.alias(EXPIRES))
     fresh = batch.join(current.select(*[F.col(f"`{c}`").alias(f"_k_{c}") for c in on]), _equal(table, batch, on), "left_anti")
     kept = current.join(updated.select(table.key.name), table.key.name, "left_anti")
@@ -237,7 +237,7 @@ def update(table: Table, state: DataFrame, values: Mapping[str, str | None], whe
         changed = changed.withColumn(name, col)
     bad = [F.when(cast_in(F.lit(str(v)), table.column(k).kind, table.column(k).dims).isNull(), F.lit(k)) for k, v in values.items() if v is not None]
     if ttl_seconds:
-        changed = changed.withColumn(EXPIRES, F.timestampadd("SECOND", F.lit(ttl_seconds), now if now is not None else F.current_timestamp()))
+        changed = changed.withColumn(EXPIRES, F.timestamp_add("SECOND", F.lit(ttl_seconds), now if now is not None else F.current_timestamp()))
     rest = state.filter(~hit)
     rows = changed.withColumn("_bad", F.array_compact(F.array(*bad)) if bad else F.array().cast("array<string>"))
     check(violations(table, rows, live(rest, now), others, tables))

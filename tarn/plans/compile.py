@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.similarity import cosine
-from .predicates import column_test, group_test
+from .predicates import column_test, group_test, json_text
 from .spec import Aggregate, AnyOf, DialectError, Member, QuerySpec, Test
 
 SIMILARITY = "_similarity"
@@ -39,16 +39,20 @@ class Scope:
             exact = exact[:1]  # the base table's column, then joined tables in order
         return exact[0][2], exact[0][3]
 
-    def resolve(self, name: str) -> tuple[Column, T.DataType, tuple[str, ...]]:
-        """The column of a name, or the text column and JSON path that it starts with."""
+    def place(self, name: str) -> tuple[str, T.DataType, tuple[str, ...]]:
+        """The physical column of a name, or the text column and JSON path that it starts with."""
         if got := self.find(name):
-            return F.col(f"`{got[0]}`"), got[1], ()
+            return *got, ()
         steps = name.split(".")
         for n in (2, 1):
             if len(steps) > n and (got := self.find(".".join(steps[:n]))):
-                return F.col(f"`{got[0]}`"), got[1], tuple(steps[n:])
+                return *got, tuple(steps[n:])
         raise DialectError(f"unknown column {name!r}")
 
+    def resolve(self, name: str) -> tuple[Column, T.DataType, tuple[str, ...]]:
+        column, kind, path = self.place(name)
+        return F.col(f"`{column}`"), kind, path
+
 
 def apply_members(df: DataFrame, members: list[Member], scope: Scope, tables: Mapping[str, DataFrame]) -> DataFrame:
     """Membership as semi and anti joins: an empty list denies all, an empty negated list admits all."""
@@ -94,7 +98,7 @@ def aggregate(a: Aggregate, scope: Scope) -> Column:
 
 
 def nearest(df: DataFrame, spec: QuerySpec, scope: Scope) -> DataFrame:
-    """Exact top k by cosine, ties by every other column's order being left to the sort; sorted best first."""
+    """Exact top k by cosine, best first, ties by the first column."""
     near = spec.near
     col, kind, path = scope.resolve(near.field)
     if path or not isinstance(kind, T.ArrayType):
@@ -125,7 +129,7 @@ def compile_query(spec: QuerySpec, tables: Mapping[str, DataFrame]) -> DataFrame
         scope.add(alias, base.schema, lambda c: c)
     df = restrict(base, spec.policy, scope, tables)
     # conditions on the base table go below the join, the rest above
-    own, later = [], []
+    own, later, base = [], [], {e[2] for e in scope.entries}
     full = scope
     if spec.joins:
         full = Scope()
@@ -134,7 +138,7 @@ def compile_query(spec: QuerySpec, tables: Mapping[str, DataFrame]) -> DataFrame
             full.add(j.alias, tables[j.table].schema, lambda c, j=j: f"{j.alias}.{c}")
     for g in spec.where:
         fields = [t.field for t in g.tests] if isinstance(g, AnyOf) else [g.field]
-        mine = all(full.resolve(f)[0]._jc.toString() in {F.col(f"`{e[2]}`")._jc.toString() for e in scope.entries} for f in fields)
+        mine = all(full.place(f)[0] in base for f in fields)
         (own if mine else later).append(g)
     df = restrict(df, tuple(own), scope, tables)
     if spec.near:
@@ -165,7 +169,7 @@ def _finish(df: DataFrame, spec: QuerySpec, scope: Scope) -> DataFrame:
             shown = next((i.name for i in spec.columns if i.expr == name or i.expr.rpartition(".")[2] == name.rpartition(".")[2]), name.rpartition(".")[2])
             keys.append((name, col.alias(shown), shown))
         for i in spec.columns:
-            if spec.group_by and not any(i.name == s for _, _, s in keys):
+            if not any(i.name == s for _, _, s in keys):
                 raise DialectError(f"{i.expr!r} is neither grouped nor aggregated")
         made = [aggregate(a, scope) for a in spec.aggregates]
         groups = df.groupBy(*[k for _, k, _ in keys])
@@ -187,7 +191,7 @@ def _finish(df: DataFrame, spec: QuerySpec, scope: Scope) -> DataFrame:
         aliases = {i.alias: i.expr for i in spec.columns if i.alias} if not grouped else {}
         for name, up in spec.order_by:
             col, _, path = scope.resolve(aliases.get(name, name))
-            col = F.variant_get(F.try_parse_json(col), "$." + ".".join(path), "string") if path else col
+            col = json_text(col, path) if path else col
             order.append(col.asc_nulls_first() if up else col.desc_nulls_last())
         df = df.orderBy(*order)
     elif spec.near and not grouped:
@@ -205,7 +209,7 @@ def _finish(df: DataFrame, spec: QuerySpec, scope: Scope) -> DataFrame:
     out = []
     for i in spec.columns:
         col, _, path = scope.resolve(i.expr)
-        out.append((F.try_variant_get(F.try_parse_json(col), "$." + ".".join(path), "string") if path else col).alias(i.name))
+        out.append((json_text(col, path) if path else col).alias(i.name))
     return df.select(*out)
 
 

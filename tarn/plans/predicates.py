@@ -79,6 +79,11 @@ def json_scalar(col: Column, path: tuple[str, ...]) -> Column:
     return F.when(~F.schema_of_variant(value).rlike("^(OBJECT|ARRAY)"), F.try_variant_get(value, "$", "string"))
 
 
+def json_text(col: Column, path: tuple[str, ...]) -> Column:
+    """Text of whatever is at a path."""
+    return F.try_variant_get(json_value(col, path), "$", "string")
+
+
 def loose(col: Column, op: str, text: str) -> Column:
     """Compare a text column with a token: as numbers if both are, else as text."""
     if op in ("LIKE", "ILIKE"):
