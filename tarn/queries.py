@@ -174,16 +174,16 @@ def _series(t: Tables) -> DataFrame:
 
 
 _DAY = 86_400_000
-_S = "(SELECT CAST(user_id AS VARCHAR) AS key, epoch_ms(ts) AS ts, value FROM events)"
+_S = "(SELECT CAST(user_id AS VARCHAR) AS key, (epoch_us(ts) // 1000) AS ts, value FROM events)"
 _DUCK = {"avg": "avg(value)", "sum": "sum(value)", "min": "min(value)", "max": "max(value)", "count": "CAST(count(value) AS DOUBLE)", "first": "arg_min(value, ts)", "last": "arg_max(value, ts)", "range": "max(value) - min(value)", "std.p": "stddev_pop(value)", "std.s": "coalesce(stddev_samp(value), 0)", "var.p": "var_pop(value)", "var.s": "coalesce(var_samp(value), 0)"}
 
 
 def _bucketed(function: str) -> Make:
-    return lambda spark, t: timeseries.aggregate(_samples(t), function, _DAY).withColumn("value", F.round("value", 4))
+    return lambda spark, t: timeseries.aggregate(_samples(t), function, _DAY).withColumn("value", F.round("value", 8))
 
 
 for _i, (_f, _sql) in enumerate(_DUCK.items()):
-    _MADE[f"q{29 + _i}_ts_bucket_{_f.replace('.', '')}"] = (_bucketed(_f), f"SELECT key, (ts // {_DAY}) * {_DAY} AS ts, round({_sql}, 4) AS value FROM {_S} GROUP BY 1, 2")
+    _MADE[f"q{29 + _i}_ts_bucket_{_f.replace('.', '')}"] = (_bucketed(_f), f"SELECT key, (ts // {_DAY}) * {_DAY} AS ts, round({_sql}, 8) AS value FROM {_S} GROUP BY 1, 2")
 
 
 @_add("q41_ts_range_count", f"SELECT key, ts, value FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts) AS n FROM (SELECT key, (ts // 3600000) * 3600000 AS ts, max(value) AS value FROM {_S} WHERE ts BETWEEN 1704412800000 AND 1705017600000 GROUP BY 1, 2)) WHERE n <= 5")
@@ -206,7 +206,7 @@ def _(spark, t):
     return timeseries.info(_samples(t), _series(t)).drop("labels")
 
 
-@_add("q45_ts_last_wins", "SELECT CAST(user_id AS VARCHAR) AS key, (epoch_ms(ts) // 3600000) * 3600000 AS ts, arg_max(value, event_id) AS value FROM events GROUP BY 1, 2")
+@_add("q45_ts_last_wins", "SELECT CAST(user_id AS VARCHAR) AS key, ((epoch_us(ts) // 1000) // 3600000) * 3600000 AS ts, arg_max(value, event_id) AS value FROM events GROUP BY 1, 2")
 def _(spark, t):
     rows = t["events"].select(F.col("user_id").cast("string").alias("key"), timeseries.bucket(_millis(), 3_600_000).alias("ts"), "value", "event_id")
     return timeseries.last_wins(rows, "event_id")
@@ -235,7 +235,7 @@ def _(spark, t):
 
 @_add("q48_vector_threshold", f"SELECT vec_id AS key, round({_COS}, 6) AS similarity FROM embeddings WHERE {_COS} >= 0.1")
 def _(spark, t):
-    return vectors.search(_vectors(t), _PROBE, 1_000_000_000, threshold=0.1).select("key", F.round("similarity", 6).alias("similarity"))
+    return vectors.search(_vectors(t), _PROBE, None, threshold=0.1).select("key", F.round("similarity", 6).alias("similarity"))
 
 
 @_add("q49_vector_filtered", f"SELECT vec_id AS key, round({_COS}, 6) AS similarity FROM embeddings WHERE label = 3 ORDER BY {_COS} DESC, vec_id LIMIT 5")
@@ -540,7 +540,7 @@ def _(spark, t):
     return made.rows.groupBy("grp").agg(F.min("serial").alias("first"), F.max("serial").alias("final"), F.countDistinct("serial").alias("n"))
 
 
-@_add("q81_ttl_live", "SELECT event_id FROM events WHERE epoch_ms(ts) + (event_id % 7) * 86400000 >= 1706000000000 OR event_id % 7 = 0")
+@_add("q81_ttl_live", "SELECT event_id FROM events WHERE (epoch_us(ts) // 1000) + (event_id % 7) * 86400000 >= 1706000000000 OR event_id % 7 = 0")
 def _(spark, t):
     deadline = F.when(F.col("event_id") % 7 != 0, F.timestamp_millis(_millis() + (F.col("event_id") % 7) * _DAY))
     return tables.visible(t["events"].select("event_id", deadline.alias(EXPIRES)), F.timestamp_millis(F.lit(1706000000000)))
@@ -576,7 +576,7 @@ def _stream(t: Tables) -> DataFrame:
     return t["events"].select(F.col("event_type").alias("key"), _millis().alias("ms"), F.col("event_id").alias("seq"), F.create_map(F.lit("user"), F.col("user_id").cast("string")).alias("fields"))
 
 
-_ST = "(SELECT event_type AS key, epoch_ms(ts) AS ms, event_id AS seq, CAST(user_id AS VARCHAR) AS usr FROM events)"
+_ST = "(SELECT event_type AS key, (epoch_us(ts) // 1000) AS ms, event_id AS seq, CAST(user_id AS VARCHAR) AS usr FROM events)"
 
 
 def _flat(df: DataFrame) -> DataFrame:
@@ -638,7 +638,7 @@ def _(spark, t):
     return feeds.receivers(t["events"].select(F.col("event_id").alias("id"), F.col("event_type").alias("channel")), subs)
 
 
-@_add("q90_stream_tumbling", "SELECT event_type AS key, (epoch_ms(ts) // 3600000) * 3600000 AS ts, round(sum(value), 4) AS value FROM events GROUP BY 1, 2")
+@_add("q90_stream_tumbling", "SELECT event_type AS key, ((epoch_us(ts) // 1000) // 3600000) * 3600000 AS ts, round(sum(value), 4) AS value FROM events GROUP BY 1, 2")
 def _(spark, t):
     rows = t["events"].select(F.col("event_type").alias("key"), _millis().alias("ts"), "value")
     return timeseries.aggregate(rows, "sum", 3_600_000).withColumn("value", F.round("value", 4))
