@@ -61,27 +61,26 @@ def like(col: Column, kind: T.DataType, pattern: str, fold: bool) -> Column:
 _COMPARE = {"=": lambda a, b: a == b, ">": lambda a, b: a > b, "<": lambda a, b: a < b, ">=": lambda a, b: a >= b, "<=": lambda a, b: a <= b}
 
 
-def json_value(col: Column, path: tuple[str, ...]) -> Column:
-    """The variant at a path of a JSON text; a numeric step also indexes arrays; NULL if absent or JSON null."""
-    at = F.try_parse_json(col)
+def json_value(parsed: Column, path: tuple[str, ...]) -> Column:
+    """The variant at a path of a parsed JSON text; a numeric step also indexes arrays; NULL if absent or JSON null."""
     ways = [""]
     for step in path:
         key = "['" + step.replace("'", "") + "']"
         ways = [w + k for w in ways for k in ([key, f"[{int(step)}]"] if step.isdigit() else [key])]
-    got = [F.try_variant_get(at, "$" + w, "variant") for w in ways]
+    got = [F.try_variant_get(parsed, "$" + w, "variant") for w in ways]
     value = F.coalesce(*got) if len(got) > 1 else got[0]
     return F.when(~F.is_variant_null(value), value)
 
 
-def json_scalar(col: Column, path: tuple[str, ...]) -> Column:
+def json_scalar(parsed: Column, path: tuple[str, ...]) -> Column:
     """Text of the scalar at a path; NULL for anything else."""
-    value = json_value(col, path)
+    value = json_value(parsed, path)
     return F.when(~F.schema_of_variant(value).rlike("^(OBJECT|ARRAY)"), F.try_variant_get(value, "$", "string"))
 
 
 def json_text(col: Column, path: tuple[str, ...]) -> Column:
-    """Text of whatever is at a path."""
-    return F.try_variant_get(json_value(col, path), "$", "string")
+    """Text of whatever is at a path of a JSON text."""
+    return F.element_at(F.transform(F.array(F.try_parse_json(col)), lambda p: F.try_variant_get(json_value(p, path), "$", "string")), 1)
 
 
 def loose(col: Column, op: str, text: str) -> Column:
@@ -103,21 +102,25 @@ def json_elements(col: Column) -> Column:
 
 
 def _json_test(col: Column, path: tuple[str, ...], test: Test) -> Column:
+    """A condition on a JSON path; the text is parsed once a row and bound, whatever the condition reads of it."""
+    return F.coalesce(F.exists(F.array(F.try_parse_json(col)), lambda p: _parsed_test(p, path, test)), F.lit(False))
+
+
+def _parsed_test(parsed: Column, path: tuple[str, ...], test: Test) -> Column:
     if test.op in ("IS VALID", "IS NOT NULL"):
-        return json_value(col, path).isNotNull()
+        return json_value(parsed, path).isNotNull()
     if test.op in ("IS NOT VALID", "IS NULL"):
-        return json_value(col, path).isNull()
+        return json_value(parsed, path).isNull()
     if test.op == "CONTAINS":
-        items = F.transform(F.try_variant_get(json_value(col, path), "$", "array<variant>"), lambda x: F.try_variant_get(x, "$", "string"))
-        return F.coalesce(F.array_contains(items, test.value), F.lit(False))
-    scalar = json_scalar(col, path)
+        items = F.transform(F.try_variant_get(json_value(parsed, path), "$", "array<variant>"), lambda x: F.try_variant_get(x, "$", "string"))
+        return F.array_contains(items, test.value)
     if test.op == "IN":
-        found = reduce(lambda a, b: a | b, [loose(scalar, "=", v) for v in test.value])
+        found = lambda x: reduce(lambda a, b: a | b, [loose(x, "=", v) for v in test.value])
     elif test.op == "NOT IN":
-        found = reduce(lambda a, b: a & b, [loose(scalar, "!=", v) for v in test.value])
+        found = lambda x: reduce(lambda a, b: a & b, [loose(x, "!=", v) for v in test.value])
     else:
-        found = loose(scalar, test.op, test.value)
-    return scalar.isNotNull() & F.coalesce(found, F.lit(False))
+        found = lambda x: loose(x, test.op, test.value)
+    return F.exists(F.array(json_scalar(parsed, path)), lambda x: x.isNotNull() & F.coalesce(found(x), F.lit(False)))
 
 
 def column_test(test: Test, resolve: Resolve) -> Column:
