@@ -383,6 +383,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     full = stage(_full_sets(src, ids), "sets")
     links = stage(_linked(star, full), "links")
     roots = components(links)
+    used = [met, star, ids, full, links]
     fine = full.select(F.col("id").alias("rep"), "fine")
     nodes = met.select("node", "rep")
     for turn in range(ROUNDS):
@@ -401,6 +402,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
             members = deep.select("rep", "root").distinct().join(fine, "rep")
             found = found.unionByName(_linked(_across(members, meet), full))
         more = stage(found, "links")
+        used += [opened, hopeful, more, *([deep] if deep is not None else [])]
         if not more.isEmpty():
             links = links.unionByName(more)
             roots = components(links)
@@ -408,6 +410,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
             break
         below = deep.select(F.col("node").alias("at"), "rep").join(reps.select("rep", "tokens"), "rep")
         nodes = stage(_paths(below, DEPTH, 2 * BRANCH, "at"), "nodes")
+        used.append(nodes)
+    unstage(*used)  # the result needs the sketches, the classes and the last components only
     classes = reps.select("set_key", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("root", "rep").alias("component_id"))
     alone = base.filter("set_key is null").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"))
     done = base.join(classes, "set_key").select("doc_id", "n_shingles", "component_id").unionByName(alone)
