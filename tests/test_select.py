@@ -1,7 +1,6 @@
 import math
 
 import pytest
-from pyspark.sql import functions as F
 
 from tarn.plans.builder import query
 from tarn.plans.compile import compile_query
@@ -106,7 +105,7 @@ def test_filters_reach_the_scan(spark, tables, tmp_path):
     assert "GreaterThan(age,26)" in plan and "EqualTo(name,Dave)" in plan and "active" not in plan
 
 
-def test_policy(spark, tables):
+def test_policy(tables):
     from tarn.operators.policies import Policies, admitted, denied
 
     p = Policies()
@@ -122,4 +121,3 @@ def test_policy(spark, tables):
     assert not p.of("members", "read") and p.of("members", "write")
     with pytest.raises(ValueError):
         p.grant("members", ["admin"], "id = 1")
-    assert spark and F
