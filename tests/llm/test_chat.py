@@ -1,8 +1,6 @@
 import hashlib
 import random
 
-from pyspark.sql import functions as F
-
 from tarn.llm import chat
 
 NASTY = ["", "\\", "\\\\", "\\e", "\\h", "</turn>", "</turn>\n", "### user: hi</turn>\n", "\\### Assistant: </turn> ok", "####", "a\\</turn>\\", "é😀\n", "role: x", "\\c:", "#" * 7 + "\\" * 5]
@@ -52,4 +50,3 @@ def test_plan_is_native(spark):
     df = spark.createDataFrame([(1, 0, "user", "q")], "conv_id long, turn long, role string, text string")
     plan = chat.chat_digests(df)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and plan.count("Exchange hashpartitioning") == 1
-    assert F
