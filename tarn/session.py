@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 #: UTC makes epoch arithmetic exact; adaptive execution coalesces, splits skew and re-plans joins.
@@ -23,3 +25,16 @@ def make_session(master: str | None = None, app: str = "tarn", **settings: str)
     for key, value in (SETTINGS | settings).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """The folder for checkpoints: ``spark.checkpoint.dir``, or for a local session without one a temporary folder."""
+    sc = spark.sparkContext
+    path = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        path = tempfile.mkdtemp(prefix="tarn-checkpoint-")
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(path)
+    return path
