@@ -6,6 +6,7 @@ order of addition differs.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,7 +20,7 @@ from .plans.builder import query as build
 from .plans.compile import compile_query
 from .plans.dialect import from_params, parse_select, parse_where
 from .plans.schema import EXPIRES, parse_table
-from .streaming import feeds, live
+from .streaming import feeds, live, windows
 
 Make = Callable[[SparkSession, "Tables"], DataFrame]
 _MADE: dict[str, tuple[Make, str | None]] = {}
@@ -644,6 +645,22 @@ def _(spark, t):
     return timeseries.aggregate(rows, "sum", 3_600_000).withColumn("value", F.round("value", 4))
 
 
+@_add("q90b_structured_streaming", "SELECT event_type AS key, ((epoch_us(ts) // 1000) // 3600000) * 3600000 AS ts, round(max(value), 4) AS value FROM events GROUP BY 1, 2")
+def _(spark, t):
+    """The same buckets by Structured Streaming over the events files, run until nothing is left."""
+    path = f"{t.path}/events.parquet"
+    source = spark.readStream.schema(spark.read.parquet(path).schema)
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory():
+        rows = source.parquet(path)
+    else:  # a stream reads directories: the one file of the table's directory
+        rows = source.option("pathGlobFilter", "events.parquet").parquet(t.path)
+    made = windows.tumbling(rows.select(F.col("event_type").alias("key"), _millis().alias("ts"), "value"), "max", 3_600_000)
+    name = f"tumbling_{uuid.uuid4().hex}"
+    made.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name)
+
+
 @_add("q91_policy_owner", "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey = 77 AND o_totalprice > 100000")
 def _(spark, t):
     make = _policy("o_custkey = auth.uid() AND o_totalprice > 100000", "orders", ["o_orderkey", "o_custkey", "o_totalprice"], {"uid": "77"})
