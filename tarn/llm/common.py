@@ -20,7 +20,7 @@ _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _GAP = re.compile(rb"[\x20\x09-\x0D]")
 _WEIGHTS = np.random.default_rng(20240301).integers(1, 2**63, 1 << 12, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Bytes hashed at once.
-_PIECE = 2 << 20
+_PIECE = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,6 +38,13 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Hand Python at most ``rows`` rows at a time: whole texts and sets make wide rows, and batches count rows."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, rows)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, slices, stage, unstage, utf8, word_hashes
+from .common import mix, slices, small_batches, stage, unstage, utf8, word_hashes
 
 SHINGLE = 5
 NUM, DEN = 85, 100
@@ -369,6 +369,7 @@ def _across(members: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every distinct document id."""
+    small_batches(docs.sparkSession)
     src = docs.select(docs[key].cast("long").alias("doc_id"), utf8(docs[text]).alias("b"))
     sketched = stage(_sketches(src), "sketch")
     base = sketched.select("doc_id", "n_shingles", "set_key")
