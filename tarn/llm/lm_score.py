@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, slices, stage, utf8, word_hashes
+from .common import mix, slices, small_batches, stage, utf8, word_hashes
 
 LEAST, BASE, PROBES, BITS = 2, math.sqrt(2.0), 8, 11.6
 MIX = 0.3
@@ -191,6 +191,7 @@ def _frequent(counts: DataFrame, least: float) -> tuple[np.ndarray, np.ndarray]:
 def lm_scores(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
+    small_batches(spark)
     sc = spark.sparkContext
     src = docs.select(docs[key].alias("k"), utf8(docs[text]).alias("b"))
     buckets = max(16, 4 * src._jdf.queryExecution().toRdd().getNumPartitions())
