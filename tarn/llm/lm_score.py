@@ -10,11 +10,13 @@ inserted q times, as (bigram, 1) .. (bigram, q).
 Scoring. Segments are collected and broadcast in shards of at most ``SHARD_BYTES``; a larger filter takes
 more passes over the texts, never a larger broadcast. A bigram's level is found by probing (bigram, 1),
 (bigram, 2), .. until a miss. P(w | h) = MIX * count / c(h) + (1 - MIX) * P0(w), with P0 the unigram
-probability of the base score; the context h must be frequent (``CONTEXTS``), else P(w | h) = P0(w).
+probability of the base score; a context h seen less than ``LEAST`` times gives P(w | h) = P0(w).
 
-Frequent words, those with at least N / CONTEXTS of the N tokens, are broadcast: there are at most
-``CONTEXTS`` of them by that definition. All other words' counts are joined to the documents that need
-them by hash bucket, so every count used is exact (up to 64-bit hash collisions).
+Frequent words, those with at least N / HOT_WORDS of the N tokens, are broadcast: there are at most
+``HOT_WORDS`` of them by that definition. All other words' counts are joined to the documents that need
+them by hash bucket, first where they are contexts, then where they are the words, so every count used is
+exact (up to 64-bit hash collisions) and scores do not depend on what is broadcast. ``CONTEXTS`` can limit
+the model to contexts with at least N / CONTEXTS tokens; by default it does not.
 
 Defined results: null, empty and blank texts have the end token only; each input row gives one row, also
 when ids repeat; with no training rows every count is 0; other columns are ignored.
@@ -27,6 +29,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -36,7 +39,8 @@ from .common import mix, slices, small_batches, stage, utf8, word_hashes
 
 LEAST, BASE, PROBES, BITS = 2, math.sqrt(2.0), 8, 11.6
 MIX = 0.3
-CONTEXTS = 8_000_000
+HOT_WORDS = 8_000_000
+CONTEXTS = math.inf
 SHARD_BYTES = 64 << 20
 #: Tokens that a task gathers before it sends blocks; a bound on memory.
 FLUSH = 1_500_000
@@ -170,7 +174,7 @@ def _learn(train: DataFrame, buckets: int) -> DataFrame:
 
 
 def _frequent(counts: DataFrame, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and counts of the words with at least ``least`` tokens; at most CONTEXTS of them."""
+    """Hashes and counts of the words with at least ``least`` tokens; at most HOT_WORDS of them."""
 
     def run(batches):
         for batch in batches:
@@ -200,7 +204,8 @@ def lm_scores(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     got = counts.agg(F.sum("size").alias("v"), F.sum("total").alias("n")).first()
     kinds, total = int(got["v"] or 0), int(got["n"] or 0)
     norm = total + 0.1 * (kinds + 1)
-    frequent = sc.broadcast(_frequent(counts, max(1.0, total / CONTEXTS)))
+    frequent = sc.broadcast(_frequent(counts, max(1.0, total / min(HOT_WORDS, CONTEXTS))))
+    least = max(LEAST, total / CONTEXTS)
 
     sizes = sorted((r["bucket"], r["size"]) for r in learned.filter(F.col("bucket") >= buckets).select("bucket", "size").collect())
     shards, room = [[]], 0
@@ -215,19 +220,39 @@ def lm_scores(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
         rows = learned.filter(F.col("bucket").between(shard[0], shard[-1]) if shard else F.lit(False)).select("bucket", "size", "a").collect()
         filters = sc.broadcast({r["bucket"] - buckets: (r["size"], bytes(r["a"])) for r in rows})
         del rows
-        passes.append(stage(_score_pass(src, frequent, filters, buckets, norm, number), "pass"))
+        passes.append(stage(_score_pass(src, frequent, filters, buckets, norm, least, number), "pass"))
         filters.unpersist()
-    return _combine(passes, counts, buckets, norm, total, key)
+    return _combine(passes, counts, buckets, norm, least, total, key)
 
 
-def _score_pass(src: DataFrame, frequent, filters, buckets: int, norm: float, number: int) -> DataFrame:
+def _dealt(buckets: int, h: np.ndarray, *more: np.ndarray):
+    """(bucket, bytes of the hashes, of the others) of each bucket that has any."""
+    at = (h >> _U(32)) * _U(buckets) >> _U(32)
+    order = np.argsort(at, kind="stable")
+    edges = np.searchsorted(at[order], np.arange(buckets + 1, dtype=np.uint64))
+    columns = [x[order] for x in (h, *more)]
+    for b in np.flatnonzero(np.diff(edges)).tolist():
+        yield b, *[x[edges[b] : edges[b + 1]].tobytes() for x in columns]
+
+
+def _found(known: np.ndarray, count: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Counts of hashes by the sorted ``known`` ones; 0 for others."""
+    if not known.size:
+        return np.zeros(h.size, np.int64)
+    at = np.minimum(np.searchsorted(known, h), known.size - 1)
+    return np.where(known[at] == h, count[at], 0)
+
+
+def _score_pass(src: DataFrame, frequent, filters, buckets: int, norm: float, least: float, number: int) -> DataFrame:
     """One shard's pass: a row a document (bucket -1), and blocks of what rarer words still need.
 
     The first pass also gives the unigram part. Later passes add only what their bigrams change.
+    Blocks with ``words`` are of rarer contexts: seen bigrams by context, with the count of a frequent word
+    (seen > 0) or the hash of a rarer one (seen < 0); seen = 0 stands for all unseen bigrams of a context.
     """
-    names = ["bucket", "uid", "k", "held_out", "n_tokens", "n_known", "base", "score", "hashes", "docs", "counts", "extra"]
-    schema = "bucket int, uid long, k long, held_out boolean, n_tokens long, n_known long, base double, score double, hashes binary, docs binary, counts binary, extra binary"
-    types = [pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), *[pa.binary()] * 4]
+    names = ["bucket", "uid", "k", "held_out", "n_tokens", "n_known", "base", "score", "hashes", "docs", "counts", "extra", "words"]
+    schema = "bucket int, uid long, k long, held_out boolean, n_tokens long, n_known long, base double, score double, hashes binary, docs binary, counts binary, extra binary, words binary"
+    types = [pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), *[pa.binary()] * 5]
     first = number == 0
     back = math.log10(1 - MIX)
 
@@ -238,35 +263,32 @@ def _score_pass(src: DataFrame, frequent, filters, buckets: int, norm: float, nu
             size[b] = bits
         held_bits = Filter(size, np.frombuffer(b"".join(filters.value[b][1] for b in sorted(filters.value)), np.uint8))
         uid = TaskContext.get().partitionId() << 36
-        tail: list[tuple] = []
+        tails: tuple[list, list] = ([], [])
         held = 0
 
         def send():
             nonlocal held
-            if tail:
-                h, d, n, e = (np.concatenate(x) for x in zip(*tail))
-                tail.clear()
-                held = 0
-                at = (h >> _U(32)) * _U(buckets) >> _U(32)
-                order = np.argsort(at, kind="stable")
-                h, d, n, e, at = h[order], d[order], n[order], e[order], at[order]
-                edges = np.searchsorted(at, np.arange(buckets + 1, dtype=np.uint64))
-                rows = [(b, None, None, None, None, None, None, None, h[i:j].tobytes(), d[i:j].tobytes(), n[i:j].tobytes(), e[i:j].tobytes()) for b, (i, j) in enumerate(zip(edges[:-1], edges[1:])) if j > i]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+            for tail in tails:
+                if tail:
+                    parts = [np.concatenate(x) for x in zip(*tail)]
+                    tail.clear()
+                    rows = [(b, *[None] * 7, *x, *[None] * (5 - len(x))) for b, *x in _dealt(buckets, *parts)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+            held = 0
+
+        def count_of(h):
+            distinct, same = np.unique(h, return_inverse=True)
+            return _found(hot, hot_count, distinct)[same]
 
         for batch in slices(batches, "b", 4 << 20):
             keys, raws = batch.column("k").to_pylist(), batch.column("b").to_pylist()
             h, n = token_hashes(raws)
             row = np.repeat(np.arange(n.size), n)
-            # frequencies and bigram levels of the distinct words and bigrams of the batch
-            distinct, same = np.unique(h, return_inverse=True)
-            at = np.minimum(np.searchsorted(hot, distinct), max(0, hot.size - 1))
-            found = hot[at] == distinct if hot.size else np.zeros(distinct.size, bool)
-            c = np.where(found, hot_count[at] if hot.size else 0, 0)[same]
-            is_hot = found[same]
-            context = np.concatenate([c[-1:], c[:-1]])
-            asked = np.flatnonzero(context >= LEAST)
-            pair, back_to = np.unique(pair_hashes(np.concatenate([h[-1:], h[:-1]])[asked], h[asked]), return_inverse=True)
+            before = np.concatenate([h[-1:], h[:-1]])
+            # bigram levels of the distinct bigrams of the batch that this shard can hold
+            pairs = pair_hashes(before, h)
+            asked = np.flatnonzero(size[((pairs >> _U(32)) * _U(buckets) >> _U(32)).astype(np.int64)])
+            pair, back_to = np.unique(pairs[asked], return_inverse=True)
             bucket = ((pair >> _U(32)) * _U(buckets) >> _U(32)).astype(np.int64)
             reached, where, q = np.zeros(pair.size, np.int64), np.arange(pair.size), 1
             while where.size:
@@ -275,30 +297,48 @@ def _score_pass(src: DataFrame, frequent, filters, buckets: int, norm: float, nu
                 q += 1
             level = np.zeros(h.size, np.int64)
             level[asked] = reached[back_to]
-            seen = np.minimum(_level_count(level), context)
-            extra = np.where(context > 0, MIX * seen / np.maximum(context, 1), 0.0)
+            if first:
+                c = count_of(h)
+                context = np.concatenate([c[-1:], c[:-1]])
+            else:
+                some = np.flatnonzero(level)
+                h, before, row, level = h[some], before[some], row[some], level[some]
+                c, context = np.split(count_of(np.concatenate([h, before])), 2)
+            is_hot, from_hot = c > 0, context > 0
+            usable = from_hot & (context >= least)
+            seen = _level_count(level)
+            extra = np.where(usable, MIX * np.minimum(seen, context) / np.maximum(context, 1), 0.0)
             p0 = (c + 0.1) / norm
-            with np.errstate(divide="ignore"):
-                plain = np.log10(p0)
-                backed = plain + np.where(context >= LEAST, back, 0.0)
-                full = np.where(extra > 0, np.log10(extra + (1 - MIX) * p0), backed)
+            plain = np.log10(p0)
+            backed = plain + np.where(usable, back, 0.0)
+            full = np.where(extra > 0, np.log10(extra + (1 - MIX) * p0), backed)
             gain = full if first else full - backed
-            base_sum = np.bincount(row, np.where(is_hot, plain, 0.0), n.size)
             score_sum = np.bincount(row, np.where(is_hot, gain, 0.0), n.size)
-            known_sum = np.bincount(row, is_hot, n.size)
+            base_sum, known_sum = (np.bincount(row, np.where(is_hot, plain, 0.0), n.size), np.bincount(row, is_hot, n.size)) if first else (np.zeros(n.size), np.zeros(n.size))
             ids = uid + np.arange(n.size)
             uid += n.size
-            rare = np.flatnonzero(~is_hot) if first else np.flatnonzero(~is_hot & (extra > 0))
+            later = ~from_hot & (level > 0)  # scored once the context's count is joined
+            rare = np.flatnonzero(~is_hot & ~later) if first else np.flatnonzero(~is_hot & (extra > 0))
             if rare.size:
                 # one entry a document, word and kind of use; tokens that a bigram helps stand alone
-                marked = np.where(extra[rare] > 0, extra[rare], np.where(context[rare] >= LEAST, 0.0, -1.0))
+                marked = np.where(extra[rare] > 0, extra[rare], np.where(usable[rare], 0.0, -1.0))
                 same = mix(h[rare] ^ mix(row[rare].astype(np.uint64) * _U(4) + (marked < 0))) ^ np.where(marked > 0, mix(np.arange(rare.size, dtype=np.uint64) + _U(1)), _U(0))
                 _, one, times = np.unique(same, return_index=True, return_counts=True)
-                tail.append((h[rare[one]], ids[row[rare[one]]].astype(np.int64), times.astype(np.uint32), marked[one].astype(np.float32)))
+                tails[0].append((h[rare[one]], ids[row[rare[one]]].astype(np.int64), times.astype(np.uint32), marked[one].astype(np.float32)))
                 held += one.size
+            late = np.flatnonzero(later)
+            if late.size:
+                tails[1].append((before[late], ids[row[late]].astype(np.int64), np.ones(late.size, np.uint32), np.where(is_hot[late], seen[late], -seen[late]).astype(np.float32), np.where(is_hot[late], c[late].astype(np.uint64), h[late])))
+                held += late.size
+            late = np.flatnonzero(~from_hot & (level == 0)) if first else late[:0]
+            if late.size:
+                _, one, times = np.unique(mix(before[late] ^ mix(row[late].astype(np.uint64))), return_index=True, return_counts=True)
+                late = late[one]
+                tails[1].append((before[late], ids[row[late]].astype(np.int64), times.astype(np.uint32), np.zeros(late.size, np.float32), np.zeros(late.size, np.uint64)))
+                held += late.size
             data = [np.full(n.size, -1, np.int32), ids, pa.array(keys, pa.int64()), pa.array([held_out(k) for k in keys]), n, known_sum.astype(np.int64), base_sum, score_sum]
             blank = pa.nulls(n.size, pa.binary())
-            yield pa.RecordBatch.from_arrays([*[x if isinstance(x, pa.Array) else pa.array(x) for x in data], blank, blank, blank, blank], schema=pa.schema(list(zip(names, types))))
+            yield pa.RecordBatch.from_arrays([*[x if isinstance(x, pa.Array) else pa.array(x) for x in data], *[blank] * 5], schema=pa.schema(list(zip(names, types))))
             if held > 500_000:
                 yield from send()
         yield from send()
@@ -306,27 +346,62 @@ def _score_pass(src: DataFrame, frequent, filters, buckets: int, norm: float, nu
     return src.mapInArrow(run, schema)
 
 
-def _combine(passes: list[DataFrame], counts: DataFrame, buckets: int, norm: float, total: int, key: str) -> DataFrame:
-    """Join the rarer words' counts by bucket and sum everything by document row."""
+def _combine(passes: list[DataFrame], counts: DataFrame, buckets: int, norm: float, least: float, total: int, key: str) -> DataFrame:
+    """Join the rarer contexts' counts by bucket, then the rarer words', and sum everything by document row."""
     blocks, sums = None, None
     for number, one in enumerate(passes):
-        b = one.filter("bucket >= 0").select("bucket", F.lit(number).alias("pass"), "hashes", "docs", "counts", "extra")
+        b = one.filter("bucket >= 0").select("bucket", F.lit(number).alias("pass"), "hashes", "docs", "counts", "extra", "words")
         s = one.filter("bucket < 0").select("uid", "k", "held_out", *[F.col(c) if number == 0 else F.lit(0).cast("long").alias(c) for c in ("n_tokens", "n_known")], "base" if number == 0 else F.lit(0.0).alias("base"), "score")
         blocks = b if blocks is None else blocks.unionByName(b)
         sums = s if sums is None else sums.unionByName(s)
     back = 1 - MIX
+    block = [("bucket", pa.int32()), ("pass", pa.int32()), *[(x, pa.binary()) for x in ("hashes", "docs", "counts", "extra")]]
+
+    def table_of(right):
+        if not right.num_rows:
+            return np.empty(0, np.uint64), np.empty(0, np.int64)
+        return np.frombuffer(right.column("a")[0].as_py(), np.uint64), np.frombuffer(right.column("b")[0].as_py(), np.int64)
+
+    def entries(left):
+        for number, h, d, n, e in zip(*[left.column(x).to_pylist() for x in ("pass", "hashes", "docs", "counts", "extra")]):
+            yield number, np.frombuffer(h, np.uint64), np.frombuffer(d, np.int64), np.frombuffer(n, np.uint32).astype(np.int64), np.frombuffer(e, np.float32).astype(np.float64)
+
+    def contexts(key, left, right):
+        """Blocks of rarer words, as a pass makes them; what frequent words gain is a block of pass -1 with scores."""
+        if not left.num_rows:
+            return pa.schema(block).empty_table()
+        known = table_of(right)
+        rows, who, gains, words = [], [], [], {}
+        for (number, h, d, n, e), w in zip(entries(left), left.column("words").to_pylist()):
+            w = np.frombuffer(w, np.uint64)
+            c = _found(*known, h)
+            usable = c >= least
+            extra = np.where(usable, MIX * np.minimum(np.abs(e), c) / np.maximum(c, 1), -1.0)
+            hot = (e >= 0) & usable
+            p0 = (w[hot].astype(np.float64) + 0.1) / norm
+            unseen = p0 if number == 0 else back * p0
+            who.append(d[hot])
+            gains.append(n[hot] * np.log10((extra[hot] + back * p0) / unseen))
+            rarer = (e < 0) & (usable | (number == 0))
+            words.setdefault(number, []).append((w[rarer], d[rarer], n[rarer].astype(np.uint32), extra[rarer].astype(np.float32)))
+        for number, parts in words.items():
+            rows += [(b, number, *x) for b, *x in _dealt(buckets, *[np.concatenate(x) for x in zip(*parts)])]
+        who, where = np.unique(np.concatenate(who), return_inverse=True)
+        if who.size:
+            rows.append((key[0].as_py(), -1, b"", who.tobytes(), b"", np.bincount(where, np.concatenate(gains), who.size).tobytes()))
+        return pa.table([pa.array([r[i] for r in rows], t) for i, (_, t) in enumerate(block)], schema=pa.schema(block))
 
     def rare(key, left, right):
         empty = pa.table({"uid": pa.array([], pa.int64()), "n_known": pa.array([], pa.int64()), "base": pa.array([], pa.float64()), "score": pa.array([], pa.float64())})
         if not left.num_rows:
             return empty
-        h0 = np.frombuffer(right.column("a")[0].as_py(), np.uint64) if right.num_rows else np.empty(0, np.uint64)
-        c0 = np.frombuffer(right.column("b")[0].as_py(), np.int64) if right.num_rows else np.empty(0, np.int64)
+        known = table_of(right)
         got = []
-        for number, h, d, n, e in zip(*[left.column(x).to_pylist() for x in ("pass", "hashes", "docs", "counts", "extra")]):
-            h, d, n, e = np.frombuffer(h, np.uint64), np.frombuffer(d, np.int64), np.frombuffer(n, np.uint32).astype(np.int64), np.frombuffer(e, np.float32).astype(np.float64)
-            at = np.minimum(np.searchsorted(h0, h), max(0, h0.size - 1))
-            c = np.where(h0[at] == h, c0[at], 0) if h0.size else np.zeros(h.size, np.int64)
+        for d, e in ((r["docs"], r["extra"]) for r in left.select(["pass", "docs", "extra"]).to_pylist() if r["pass"] < 0):
+            d = np.frombuffer(d, np.int64)
+            got.append((d, np.zeros(d.size, np.int64), np.zeros(d.size), np.frombuffer(e, np.float64)))
+        for number, h, d, n, e in entries(left.filter(pc.greater_equal(left.column("pass"), 0))):
+            c = _found(*known, h)
             p0 = (c + 0.1) / norm
             first = number == 0
             full = np.log10(np.where(e < 0, p0, np.maximum(e, 0) + back * p0))
@@ -336,7 +411,10 @@ def _combine(passes: list[DataFrame], counts: DataFrame, buckets: int, norm: flo
             got.append((who, add(n * (c > 0) * first).astype(np.int64), add(n * np.log10(p0) * first), add(score)))
         return pa.table(dict(zip(("uid", "n_known", "base", "score"), (np.concatenate(x) for x in zip(*got)))))
 
-    extra = blocks.groupBy("bucket").cogroup(counts.groupBy("bucket")).applyInArrow(rare, "uid long, n_known long, base double, score double")
+    by_bucket = counts.groupBy("bucket")
+    joined = blocks.filter("words is not null").groupBy("bucket").cogroup(by_bucket).applyInArrow(contexts, "bucket int, pass int, hashes binary, docs binary, counts binary, extra binary")
+    every = blocks.filter("words is null").drop("words").unionByName(joined)
+    extra = every.groupBy("bucket").cogroup(by_bucket).applyInArrow(rare, "uid long, n_known long, base double, score double")
     tail = extra.groupBy("uid").agg(F.sum("n_known").alias("tk"), F.sum("base").alias("tb"), F.sum("score").alias("ts"))
     if len(passes) > 1:
         sums = sums.groupBy("uid").agg(F.first("k").alias("k"), F.first("held_out").alias("held_out"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "score")])

@@ -105,3 +105,13 @@ def test_edges(spark):
     assert len(out) == len(rows) and sorted(r["n_tokens"] for r in out) == [1, 1, 1, 2, 2, 4, 4, 40001]
     assert all(math.isfinite(r["score"]) and math.isfinite(r["base_score"]) for r in out)
     assert m.lm_scores(df.limit(0)).count() == 0
+
+
+def test_rarer_contexts_count_whatever_is_broadcast(spark, monkeypatch):
+    """The reference has no bound on contexts; words, contexts and both beyond the broadcast go through the joins."""
+    rows = corpus(120, 2)
+    assert m.CONTEXTS == math.inf
+    monkeypatch.setattr(m, "HOT_WORDS", 150)
+    for size in (64 << 20, 300):
+        monkeypatch.setattr(m, "SHARD_BYTES", size)
+        check(spark, rows, 0.3)
