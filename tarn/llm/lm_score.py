@@ -4,12 +4,12 @@ Learning. Each task hashes its tokens to 64 bits and sends, per hash bucket, one
 with counts; buckets are reduced with numpy. Buckets scale with the input's partitions, so no task
 gathers more than about a quarter of a partition's worth of hashes, and a hot token arrives as one
 entry a block. Word counts stay a distributed table. Each bigram bucket becomes a segment of the filter:
-a bigram seen at least ``LEAST`` times with quantised level q = 1 + floor(log(c / LEAST) / log(BASE)) is
-inserted q times, as (bigram, 1) .. (bigram, q).
+every bigram is in it (``LEAST`` is 1). A bigram seen once has level 1, one seen c > 1 times has level
+q = 2 + floor(log(c / 2) / log(BASE)), and it is inserted q times, as (bigram, 0) .. (bigram, q - 1).
 
 Scoring. Segments are collected and broadcast in shards of at most ``SHARD_BYTES``; a larger filter takes
-more passes over the texts, never a larger broadcast. A bigram's level is found by probing (bigram, 1),
-(bigram, 2), .. until a miss. P(w | h) = MIX * count / c(h) + (1 - MIX) * P0(w), with P0 the unigram
+more passes over the texts, never a larger broadcast. A bigram's level is found by probing (bigram, 0),
+(bigram, 1), .. until a miss. P(w | h) = MIX * count / c(h) + (1 - MIX) * P0(w), with P0 the unigram
 probability of the base score; a context h seen less than ``LEAST`` times gives P(w | h) = P0(w).
 
 Frequent words, those with at least N / HOT_WORDS of the N tokens, are broadcast: there are at most
@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .common import mix, slices, small_batches, stage, utf8, word_hashes
 
-LEAST, BASE, PROBES, BITS = 2, math.sqrt(2.0), 8, 11.6
+LEAST, BASE, PROBES, BITS = 1, math.sqrt(2.0), 8, 11.6
 MIX = 0.3
 HOT_WORDS = 8_000_000
 CONTEXTS = math.inf
@@ -65,9 +65,9 @@ def pair_hashes(context: np.ndarray, word: np.ndarray) -> np.ndarray:
 
 
 def _level_count(level: np.ndarray) -> np.ndarray:
-    """The count that a level stands for: the middle of the whole numbers in its bin; 0 for level 0."""
+    """The count that a level of ``levels_of`` stands for: the middle of the whole numbers in its bin; 0 for level 0."""
     top = int(level.max(initial=0))
-    low = [0.0] + [LEAST * BASE ** (q - 1) for q in range(1, top + 2)]
+    low = [0.0] + [2 * BASE ** (q - 1) for q in range(1, top + 2)]
     table = [0.0]
     for q in range(1, top + 1):
         a, b = math.ceil(low[q] - 1e-9), math.ceil(low[q + 1] - 1e-9) - 1
@@ -76,7 +76,17 @@ def _level_count(level: np.ndarray) -> np.ndarray:
 
 
 def levels_of(count: np.ndarray) -> np.ndarray:
-    return 1 + np.floor(np.log(count / LEAST) / math.log(BASE) + 1e-9).astype(np.int64)
+    """Levels, from 1 on, of counts of 2 or more."""
+    return 1 + np.floor(np.log(count / 2) / math.log(BASE) + 1e-9).astype(np.int64)
+
+
+def stored_levels(count: np.ndarray) -> np.ndarray:
+    """Levels as the filter holds them: 1 for a count of 1, then those of ``levels_of``."""
+    return np.where(count > 1, 1 + levels_of(np.maximum(count, 2)), 1)
+
+
+def stored_count(level: np.ndarray) -> np.ndarray:
+    return np.where(level == 1, 1.0, _level_count(np.maximum(level - 1, 0)))
 
 
 class Filter:
@@ -163,9 +173,9 @@ def _learn(train: DataFrame, buckets: int) -> DataFrame:
             row = (bucket, int(h.size), int(c.sum()), h.tobytes(), c.astype(np.int64).tobytes())
         else:
             h, c = h[c >= LEAST], c[c >= LEAST]
-            q = levels_of(c) if c.size else np.empty(0, np.int64)
+            q = stored_levels(c)
             segment = Filter(np.array([max(64, math.ceil(float(q.sum()) * BITS))]))
-            segment.insert(np.repeat(h, q), np.zeros(int(q.sum()), np.int64), np.arange(int(q.sum())) - np.repeat(np.cumsum(q) - q, q) + 1)
+            segment.insert(np.repeat(h, q), np.zeros(int(q.sum()), np.int64), np.arange(int(q.sum())) - np.repeat(np.cumsum(q) - q, q))
             row = (bucket, int(segment.sizes[0]), int(h.size), segment.bits.tobytes(), b"")
         return pa.table({"bucket": pa.array([row[0]], pa.int32()), "size": pa.array([row[1]], pa.int64()), "total": pa.array([row[2]], pa.int64()), "a": pa.array([row[3]], pa.binary()), "b": pa.array([row[4]], pa.binary())})
 
@@ -221,7 +231,7 @@ def lm_scores(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
         filters = sc.broadcast({r["bucket"] - buckets: (r["size"], bytes(r["a"])) for r in rows})
         del rows
         passes.append(stage(_score_pass(src, frequent, filters, buckets, norm, least, number), "pass"))
-        filters.unpersist()
+        filters.destroy()  # the pass is staged
     return _combine(passes, counts, buckets, norm, least, total, key)
 
 
@@ -292,7 +302,7 @@ def _score_pass(src: DataFrame, frequent, filters, buckets: int, norm: float, le
             bucket = ((pair >> _U(32)) * _U(buckets) >> _U(32)).astype(np.int64)
             reached, where, q = np.zeros(pair.size, np.int64), np.arange(pair.size), 1
             while where.size:
-                where = where[held_bits.has(pair[where], bucket[where], q)]
+                where = where[held_bits.has(pair[where], bucket[where], q - 1)]
                 reached[where] = q
                 q += 1
             level = np.zeros(h.size, np.int64)
@@ -306,7 +316,7 @@ def _score_pass(src: DataFrame, frequent, filters, buckets: int, norm: float, le
                 c, context = np.split(count_of(np.concatenate([h, before])), 2)
             is_hot, from_hot = c > 0, context > 0
             usable = from_hot & (context >= least)
-            seen = _level_count(level)
+            seen = stored_count(level)
             extra = np.where(usable, MIX * np.minimum(seen, context) / np.maximum(context, 1), 0.0)
             p0 = (c + 0.1) / norm
             plain = np.log10(p0)

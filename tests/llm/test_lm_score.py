@@ -115,3 +115,18 @@ def test_rarer_contexts_count_whatever_is_broadcast(spark, monkeypatch):
     for size in (64 << 20, 300):
         monkeypatch.setattr(m, "SHARD_BYTES", size)
         check(spark, rows, 0.3)
+
+
+def test_bigrams_seen_once_are_in_the_model(spark):
+    """A phrase that stands in one training document scores above the same words in an order never seen."""
+    assert m.stored_levels(np.arange(1, 6)).tolist() == [1, 2, 3, 4, 4] and m.stored_count(np.arange(5)).tolist() == [0, 1, 2, 3, 4.5]
+    keys = [i for i in range(200) if zlib.crc32(str(i).encode()) % 10]
+    words = [f"w{j}" for j in range(40)]
+    rows = [(k, f"{words[j]} {words[j + 1]}") for k, j in zip(keys, range(0, 40, 2))]
+    new = next(i for i in range(200) if zlib.crc32(str(i).encode()) % 10 == 0)
+    rows += [(new, "w1 w0"), (keys[30], "w0 w1 w2 w3")]
+    check(spark, rows, 0.1)
+    _, pairs = learn(rows)
+    assert list(pairs.values()).count(1) >= 20
+    out = {r["doc_id"]: r["score"] for r in m.lm_scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out[keys[2]] > out[new] + 1
