@@ -1,30 +1,34 @@
 """Main text of web pages: page differencing against the nearest URL, with markup settling what it can.
 
 Each page becomes lines, one a block element, marked by where they stand: inside the article, inside a
-menu, header, footer, sidebar, notice, advert, form or reader comments, or elsewhere. Pages are dealt by
-ranges of (host, path), so a hot host spreads, and sorted; each page pairs with the nearest page before it
-on its host that has other lines (else the nearest after it). Lines are aligned by longest common
+menu, header, footer, sidebar, notice, advert, form or reader comments, or elsewhere. Digests of the lines
+are dealt by ranges of (host, path), so a hot host spreads, and sorted; each page pairs with the nearest page
+before it on its host that has other lines (else the nearest after it). The first and last runs of a range
+meet those of the ranges beside it on the driver, so neighbours do not depend on the ranges. Only pages that
+need them then meet their neighbours' lines, by digest. Lines are aligned by longest common
 subsequence and shared ones are deleted. Markup checks the result both ways: a shared line inside the
 article stays (licence lines and copied pages are text too), and a line of a marked menu and the like goes
-even if it is not shared. Where a page has no article element, differencing alone decides its unmarked lines.
+even if it is not shared. Differencing alone decides unmarked lines, beside an article too.
 
 Defined results: null and empty pages give empty texts; an unfinished tag at the end is markup, an
 unfinished character reference is text if it is none; rows that repeat are each returned; a page with no
-other page of its host in its range is not differenced; null hosts and URLs sort first and form one host;
+other page of its host is not differenced, and its unmarked lines go if it has an article; null hosts and URLs sort first and form one host;
 other columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, utf8
+from .common import slices, stage, utf8
 
 ARTICLE, MARKED, OTHER = 0, 1, 2
 
@@ -186,11 +190,11 @@ def common_lines(a: list[str], b: list[str]) -> set[int]:
 
 def kept_text(lines: list[tuple[int, str]], other: list[tuple[int, str]] | None) -> str:
     """Delete the lines shared with the other page, and marked lines; the article's own lines stay."""
-    if any(z == ARTICLE for z, _ in lines):
-        # unmarked lines beside an article are not the article
-        return "\n\n".join(t for z, t in lines if z == ARTICLE)
     shared = common_lines([t for _, t in lines], [t for _, t in other]) if other else set()
-    return "\n\n".join(t for i, (z, t) in enumerate(lines) if z == OTHER and i not in shared)
+    if not other and any(z == ARTICLE for z, _ in lines):
+        # nothing tells whether unmarked lines beside an article are text
+        return "\n\n".join(t for z, t in lines if z == ARTICLE)
+    return "\n\n".join(t for i, (z, t) in enumerate(lines) if z == ARTICLE or z == OTHER and i not in shared)
 
 
 def _neighbours(rows: Iterator[tuple]) -> Iterator[tuple]:
@@ -216,6 +220,68 @@ def _neighbours(rows: Iterator[tuple]) -> Iterator[tuple]:
     yield from ((r, before) for r in run)
 
 
+def _page_digest(lines: list[tuple[int, str]]) -> bytes:
+    """Names the texts and places of a page's lines; pages of equal lines share it."""
+    return hashlib.blake2b("".join(f"{z}{len(t)}:{t}" for z, t in lines).encode("utf-8", "surrogatepass"), digest_size=16).digest()
+
+
+def _range_neighbours(rows: Iterator[tuple], part: int) -> Iterator[tuple]:
+    """(part, edge, host, runs, row, other) for rows (host, digest, row) of one sorted range.
+
+    ``other`` is the neighbour's digest. The first run of the range's first and last host can have its
+    neighbour in another range: its rows carry an ``edge``. ``runs``, once for each of these two hosts,
+    has its first two and last two digests, unlike digests side by side.
+    """
+    edge = 0
+    held, runs, ends = [], [], []
+
+    def close(last: bool):
+        mark = edge if edge == 0 or last else -1
+        other = runs[1] if len(runs) > 1 else None
+        yield from ((part, mark, host, None, r, other) for r in held)
+        if mark >= 0:
+            yield part, mark, host, [*runs, *ends], None, None
+
+    host = None
+    for row in rows:
+        if runs and row[0] != host:
+            yield from close(False)
+            edge, held, runs, ends = edge + 1, [], [], []
+        host, digest = row[0], row[1]
+        now = (ends or runs or [None])[-1]
+        if digest != now:
+            if len(runs) < 2:
+                runs.append(digest)
+            else:
+                ends = [(ends or runs)[-1], digest]
+        if len(runs) == 1:
+            held.append(row[2])
+        else:
+            before = ends[0] if ends else runs[0]
+            yield part, -1, host, None, row[2], before
+    if runs:
+        yield from close(True)
+
+
+def _over_edges(edges: list[tuple]) -> dict[tuple[int, int], bytes | None]:
+    """(part, edge) to the neighbour of the host's first run in that range, for (part, edge, host, runs) of all ranges."""
+    edges = sorted(edges, key=lambda e: e[:2])
+
+    def last_unlike(order, ahead):
+        out, host, seen = {}, None, []
+        for part, edge, h, runs in order:
+            seen = seen if h == host else []
+            host = h
+            out[part, edge] = next((d for d in reversed(seen) if d != runs[0]), None)
+            for d in runs[::-1] if ahead else runs:
+                if not seen or seen[-1] != d:
+                    seen = [*seen, d][-2:]
+        return out
+
+    before, after = last_unlike(edges, False), last_unlike(edges[::-1], True)
+    return {(p, e): before[p, e] or (runs[1] if len(runs) > 1 else after[p, e]) for p, e, _, runs in edges}
+
+
 def extract_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
     url = F.col("url")
@@ -227,36 +293,79 @@ def extract_text(pages: DataFrame) -> DataFrame:
         utf8(pages["html"]).alias("b"),
     )
     plain = ["page_id", "url", "host", "path"]
+    key = ["host", "path", "page_id", "digest"]
     line = pa.list_(pa.struct([("z", pa.int8()), ("t", pa.string())]))
 
-    def parse(batches):
+    def parsed(batches):
         for batch in slices(batches, "b"):
-            made = []
-            for raw in batch.column("b").to_pylist():
-                made.append([{"z": z, "t": t} for z, t in page_lines(raw.decode("utf-8", "replace"))])
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in plain], pa.array(made, line)], names=[*plain, "lines"])
+            yield batch, [page_lines(raw.decode("utf-8", "replace")) for raw in batch.column("b").to_pylist()]
 
-    lines = src.mapInArrow(parse, "page_id long, url string, host string, path string, lines array<struct<z:tinyint,t:string>>")
-    dealt = lines.repartitionByRange("host", "path", "page_id").sortWithinPartitions("host", "path", "page_id")
+    def sure(lines):
+        """Markup settles every line, so the page's text is the same beside any neighbour."""
+        return all(z != OTHER for z, _ in lines)
 
-    def difference(batches):
+    def name(batches):
+        for batch, made in parsed(batches):
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in key[:3]], pa.array([_page_digest(x) for x in made], pa.binary()), pa.array([sure(x) for x in made])], names=[*key, "sure"])
+
+    def settled(batches):
+        for batch, made in parsed(batches):
+            at = [i for i, x in enumerate(made) if sure(x)]
+            texts = [kept_text(made[i], None) for i in at]
+            one = batch.take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([one.column("page_id"), one.column("url"), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+
+    def lined(keep):
+        def run(batches):
+            for batch, made in parsed(batches):
+                digests = [_page_digest(x) for x in made]
+                at = [i for i, x in enumerate(made) if keep or not sure(x)]
+                one = batch.take(pa.array(at, pa.int64()))
+                yield pa.RecordBatch.from_arrays([*[one.column(c) for c in plain], pa.array([digests[i] for i in at], pa.binary()), pa.array([[{"z": z, "t": t} for z, t in made[i]] for i in at], line)], names=[*plain, "digest", "lines"])
+
+        return run
+
+    out = "page_id long, url string, text string, n_chars long"
+    named = stage(src.drop("url").mapInArrow(name, "host string, path string, page_id long, digest binary, sure boolean"), "pages")
+    done = src.mapInArrow(settled, out)
+    if named.filter("not sure").isEmpty():
+        return done
+
+    def pair(batches):
         def rows():
             for batch in batches:
-                for page, url, host, x in zip(*[batch.column(c).to_pylist() for c in ("page_id", "url", "host", "lines")]):
-                    yield host, [(r["z"], r["t"]) for r in x], page, url
-
-        out, size = [], 0
-        for (_, own, page, url), other in _neighbours(rows()):
-            text = kept_text(own, other)
-            out.append((page, url, text, len(text)))
-            size += len(text)
-            if size > 4 << 20 or len(out) >= 5000:
-                yield pack(out)
-                out, size = [], 0
-        if out:
-            yield pack(out)
-
-    def pack(out):
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.string(), pa.string(), pa.int64()))], names=["page_id", "url", "text", "n_chars"])
-
-    return dealt.mapInArrow(difference, "page_id long, url string, text string, n_chars long")
+                for r in zip(*[batch.column(c).to_pylist() for c in [*key, "sure"]]):
+                    yield r[0], r[3], r
+
+        many = []
+        for got in _range_neighbours(rows(), TaskContext.get().partitionId()):
+            if got[4] is None or not got[4][4]:
+                many.append((*got[:2], *(got[4][:4] if got[4] else (got[2], None, None, None)), got[5], got[3]))
+            if len(many) >= 5000:
+                yield pack(many)
+                many = []
+        if many:
+            yield pack(many)
+
+    def pack(rows):
+        types = (pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.binary()))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["part", "edge", *key, "other", "runs"])
+
+    dealt = named.repartitionByRange(*key).sortWithinPartitions(*key)
+    near = stage(dealt.mapInArrow(pair, "part int, edge int, host string, path string, page_id long, digest binary, other binary, runs array<binary>"), "near")
+    edges = _over_edges([(r["part"], r["edge"], r["host"], [bytes(x) for x in r["runs"]]) for r in near.filter("runs is not null").collect()])
+    over = pages.sparkSession.createDataFrame([(p, e, x) for (p, e), x in edges.items()], "part int, edge int, beyond binary")
+    met = near.filter("runs is null").join(F.broadcast(over), ["part", "edge"], "left").select(*key, F.when(F.col("edge") < 0, F.col("other")).otherwise(F.col("beyond")).alias("other")).distinct()
+    wanted = met.select(F.col("other").alias("digest")).filter("digest is not null").distinct()
+    others = src.mapInArrow(lined(True), "page_id long, url string, host string, path string, digest binary, lines array<struct<z:tinyint,t:string>>")
+    others = others.join(wanted, "digest", "left_semi").groupBy("digest").agg(F.first("lines").alias("else_lines")).withColumnRenamed("digest", "other")
+    left = src.mapInArrow(lined(False), "page_id long, url string, host string, path string, digest binary, lines array<struct<z:tinyint,t:string>>").alias("l")
+    same = [F.col(f"l.{c}").eqNullSafe(F.col(f"m.{c}")) for c in key]
+    both = left.join(met.alias("m"), same[0] & same[1] & same[2] & same[3], "left").select("l.page_id", "l.url", "l.lines", "m.other").join(others, "other", "left")
+
+    def difference(batches):
+        for batch in batches:
+            texts = [kept_text([(r["z"], r["t"]) for r in x], None if y is None else [(r["z"], r["t"]) for r in y]) for x, y in zip(batch.column("lines").to_pylist(), batch.column("else_lines").to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+
+    return done.unionByName(both.select("page_id", "url", "lines", "else_lines").mapInArrow(difference, out))

@@ -73,3 +73,33 @@ def test_pages(spark):
     by = sorted(((r["page_id"] or 0), r["n_chars"], r["text"][:20]) for r in got)
     assert by == [(0, 1, "z"), (1, 6, "Text 1"), (2, 6, "Text 2"), (3, 17, "Menu\n\nText 3\n\nEnd"), (4, 0, ""), (5, 0, ""), (6, 1, "a"), (6, 149998, "w é\n\nw é\n\nw é\n\nw é\n\n"[:20])]
     assert all(r["n_chars"] == len(r["text"]) for r in got) and h.extract_text(df.limit(0)).count() == 0
+
+
+def test_neighbours_do_not_depend_on_ranges(spark):
+    """Any cut of the sorted pages into ranges gives the neighbours of the whole."""
+    rng = random.Random(5)
+    for _ in range(400):
+        rows = sorted((rng.choice("gh"), i) for i in range(rng.randint(1, 14)))
+        rows = [(host, rng.choice([b"a", b"b", b"c"]), (host, i)) for host, i in rows]
+        want = {r[2]: o for r, o in h._neighbours(iter(rows))}
+        cuts = sorted(rng.randint(0, len(rows)) for _ in range(rng.randint(0, 5)))
+        parts = [rows[a:b] for a, b in zip([0, *cuts], [*cuts, len(rows)])]
+        made = [x for k, part in enumerate(parts) for x in h._range_neighbours(iter(part), k)]
+        over = h._over_edges([(p, e, host, runs) for p, e, host, runs, r, _ in made if r is None])
+        assert {r: over[p, e] if e >= 0 else o for p, e, _, _, r, o in made if r is not None} == want
+    df = spark.createDataFrame([(k, f"http://a.com/{k}", f"<div>Menu</div><p>Text {k}</p><div>End</div>") for k in range(60)], "page_id long, url string, html string").repartition(3)
+    for n in ("1", "16"):
+        old = spark.conf.get("spark.sql.shuffle.partitions")
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        got = {r["page_id"]: r["text"] for r in h.extract_text(df).collect()}
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        assert got == {k: f"Text {k}" for k in range(60)}
+
+
+def test_unmarked_lines_beside_an_article_are_differenced(spark):
+    page = lambda k: f"<div>Menu</div><article><p>Short {k}</p></article><div>Long text {k}</div><div>End</div>"
+    assert text(page(1), page(2)) == "Short 1\n\nLong text 1"
+    df = spark.createDataFrame([(k, f"http://a.com/{k}", page(k)) for k in (1, 2)] + [(3, "http://b.com/", "<article>x</article>")], "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in h.extract_text(df).collect()} == {1: "Short 1\n\nLong text 1", 2: "Short 2\n\nLong text 2", 3: "x"}
