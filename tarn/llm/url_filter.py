@@ -10,8 +10,8 @@ an interval condition. The interval side is broadcast only when its counted rows
 The matches of a capture are counted with partial aggregation, so a hot host makes no hot task.
 
 Defined results: a null or unparsable URL or a null fetch time is kept with no match; rows of one pattern
-and date collapse to one, ``drop`` winning; repeated captures give a row each time they appear (their key
-and URL equal: one row); an empty list blocks nothing; other columns are ignored.
+and date collapse to one, ``drop`` winning; repeated captures give a row each time they appear, with
+its own count; an empty list blocks nothing; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,12 +36,12 @@ def host_of(url: Column) -> Column:
 
 
 def keys_of(url: Column) -> Column:
-    """Lookup keys: every host suffix of two labels or more, and the host with every path prefix."""
+    """Lookup keys: every host suffix from the last label on, and the host with every path prefix."""
     host, labels = host_of(url), F.split(host_of(url), r"\.")
     path = F.regexp_extract(F.lower(url), r"^[a-z][a-z0-9+.-]*://[^/?#]*(/[^?#]*)", 1)
     steps = F.filter(F.split(path, "/"), lambda x: x != "")
     n = F.size(labels)
-    suffixes = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.array_join(F.slice(labels, i, n), "."))
+    suffixes = F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(labels, i, n), "."))
     prefixes = F.when(F.size(steps) > 0, F.transform(F.sequence(F.lit(1), F.greatest(F.size(steps), F.lit(1))), lambda i: F.concat(host, F.lit("/"), F.array_join(F.slice(steps, 1, i), "/")))).otherwise(F.array().cast("array<string>"))
     return F.when(host != "", F.array_distinct(F.concat(suffixes, prefixes)))
 
@@ -50,12 +50,13 @@ def judge_captures(captures: DataFrame, entries: DataFrame, key: str = "page_id"
     """captures(key, url, fetched_on) with n_entries, lists, best_pattern and blocked as of the fetch day."""
     spans = validity(entries)
     spans = F.broadcast(spans) if spans.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else spans
-    looked = captures.select(key, "url", "fetched_on", F.explode_outer(keys_of(F.col("url"))).alias("pattern"))
+    rows = captures.select(key, "url", "fetched_on", F.monotonically_increasing_id().alias("capture"))
+    looked = rows.select("capture", key, "url", "fetched_on", F.explode_outer(keys_of(F.col("url"))).alias("pattern"))
     on = (F.col("c.pattern") == F.col("s.pattern")) & (F.col("c.fetched_on") >= F.col("s.valid_from")) & (F.col("c.fetched_on") < F.col("s.valid_to"))
     met = looked.alias("c").join(spans.alias("s"), on, "left")
     best = F.max(F.when(F.col("s.pattern").isNotNull(), F.struct(F.length("s.pattern").alias("n"), F.col("s.pattern").alias("p"))))
     lists = F.array_sort(F.collect_set("s.list"))
-    out = met.groupBy(f"c.{key}", "c.url", "c.fetched_on").agg(F.count("s.pattern").alias("n_entries"), lists.alias("l"), best.alias("b"))
+    out = met.groupBy("c.capture", f"c.{key}", "c.url", "c.fetched_on").agg(F.count("s.pattern").alias("n_entries"), lists.alias("l"), best.alias("b"))
     return out.select(key, "url", host_of(F.col("url")).alias("host"), "fetched_on", "n_entries", F.array_join("l", ",").alias("lists"), F.col("b.p").alias("best_pattern"), (F.col("n_entries") > 0).alias("blocked"))
 
 

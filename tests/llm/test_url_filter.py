@@ -53,3 +53,16 @@ def test_plan_is_native(spark, tmp_path):
     caps = u.captures_of(spark.read.parquet(str(tmp_path / "p")))
     plan = u.judge_captures(caps, u.entries_table(spark))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "html" not in plan
+
+
+def test_repeats_stay_and_one_label_patterns_match(spark):
+    entries = spark.createDataFrame([("l", "zip", "add", D(2024, 1, 1)), ("m", "b.zip", "add", D(2024, 1, 1))], "list string, pattern string, action string, day date")
+    day = D(2024, 2, 1)
+    rows = [(1, "http://a.b.zip/x", day)] * 3 + [(None, "http://c.zip", day)] * 2 + [(2, "http://zip/", day), (3, "http://zip.org/", day)]
+    caps = spark.createDataFrame(rows, "page_id long, url string, fetched_on date")
+    old = u.BROADCAST_ROWS
+    for bound in (old, 0):
+        u.BROADCAST_ROWS = bound
+        got = sorted((r["page_id"] or 0, r["n_entries"], r["lists"]) for r in u.judge_captures(caps, entries).collect())
+        u.BROADCAST_ROWS = old
+        assert got == [(0, 1, "l"), (0, 1, "l"), (1, 2, "l,m"), (1, 2, "l,m"), (1, 2, "l,m"), (2, 1, "l"), (3, 0, "")]
