@@ -60,9 +60,13 @@ def format_conversations(turns: DataFrame) -> DataFrame:
     )
 
 
-def expand_examples(formatted: DataFrame) -> DataFrame:
-    """One row an assistant turn: conv_id, example, context_end, loss_start, loss_end."""
-    return formatted.select("conv_id", F.posexplode("spans").alias("example", "s")).select("conv_id", "example", "s.context_end", "s.loss_start", "s.loss_end")
+def expand_examples(formatted: DataFrame, *keep: str, outer: bool = False) -> DataFrame:
+    """One row an assistant turn: conv_id, example, context_end, loss_start, loss_end, and columns to keep.
+
+    ``outer`` gives conversations without assistant turns a row without an example.
+    """
+    explode = F.posexplode_outer if outer else F.posexplode
+    return formatted.select("conv_id", *keep, explode("spans").alias("example", "s")).select("conv_id", *keep, "example", "s.context_end", "s.loss_start", "s.loss_end")
 
 
 def example_texts(formatted: DataFrame) -> DataFrame:
@@ -87,20 +91,16 @@ def parse_formatted(c: Column) -> Column:
 
 def chat_digests(turns: DataFrame) -> DataFrame:
     """Format, expand, and read turns and loss text back from the output."""
-    done = format_conversations(turns)
     f = F.col("formatted")
-    loss = F.array_join(F.transform("spans", lambda s: unescape(f.substr((s["loss_start"] + 1).cast("int"), (s["loss_end"] - s["loss_start"]).cast("int")))), "")
-    read = done.select("conv_id", f, parse_formatted(f).alias("turns"), loss.alias("loss"), F.size("spans").cast("long").alias("n_examples"))
+    read = format_conversations(turns).withColumn("turns", parse_formatted(f))
     lines = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    return read.select(
-        "conv_id",
-        F.size("turns").cast("long").alias("n_turns"),
-        F.sha2(F.encode(lines, "UTF-8"), 256).alias("turns_sha256"),
-        F.length("loss").cast("long").alias("loss_chars"),
-        F.sha2(F.encode(F.col("loss"), "UTF-8"), 256).alias("loss_sha256"),
-        F.length(f).cast("long").alias("formatted_chars"),
-        "n_examples",
-    )
+    of_turns = {"n_turns": F.size("turns").cast("long"), "turns_sha256": F.sha2(F.encode(lines, "UTF-8"), 256), "formatted_chars": F.length(f).cast("long")}
+    whole = read.select("conv_id", f, "spans", *[c.alias(n) for n, c in of_turns.items()])
+    target = unescape(f.substr((F.col("loss_start") + 1).cast("int"), (F.col("loss_end") - F.col("loss_start")).cast("int")))
+    examples = expand_examples(whole, "formatted", *of_turns, outer=True).select("conv_id", *of_turns, "example", target.alias("target"))
+    met = examples.groupBy("conv_id").agg(*[F.first(n).alias(n) for n in of_turns], F.count("example").alias("n_examples"), F.array_sort(F.collect_list(F.when(F.col("example").isNotNull(), F.struct("example", "target")))).alias("targets"))
+    loss = F.array_join(F.transform("targets", lambda x: x["target"]), "")
+    return met.select("conv_id", "n_turns", "turns_sha256", F.length(loss).cast("long").alias("loss_chars"), F.sha2(F.encode(loss, "UTF-8"), 256).alias("loss_sha256"), "formatted_chars", "n_examples")
 
 
 ORACLE_SQL = r"""

@@ -50,3 +50,11 @@ def test_plan_is_native(spark):
     df = spark.createDataFrame([(1, 0, "user", "q")], "conv_id long, turn long, role string, text string")
     plan = chat.chat_digests(df)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and plan.count("Exchange hashpartitioning") == 1
+
+
+def test_digests_come_from_expanded_examples(spark):
+    df = spark.createDataFrame([(1, k, r, f"t{k}") for k, r in enumerate(["user", "assistant"] * 12)] + [(2, 0, "user", "only")], "conv_id long, turn long, role string, text string")
+    out = chat.chat_digests(df)
+    assert "Generate posexplode" in out._jdf.queryExecution().executedPlan().toString()
+    got = {r["conv_id"]: r for r in out.collect()}
+    assert got[1]["n_examples"] == 12 and got[1]["loss_sha256"] == hashlib.sha256("".join(f"t{k}" for k in range(1, 24, 2)).encode()).hexdigest() and got[2]["n_examples"] == 0
