@@ -49,25 +49,80 @@ def test_held_out_labels_do_not_matter(spark):
     assert a == b
 
 
-def test_nearest_equals_brute_force(spark, monkeypatch):
+def dense_cosines(examples, frequency, n):
+    """Cosines of all pairs by the formulas of the docstring, in plain Python."""
+    import math
+
+    sets = [dict(zip(t.tolist(), c.tolist())) for _, _, t, c in examples]
+    seen = {}
+    for (_, y, *_), own in zip(examples, sets):
+        for w in own:
+            seen.setdefault(w, [0, 0])[y] += 1
+    size = [sum(e[1] == y for e in examples) for y in (0, 1)]
+
+    def weight(w):
+        if w not in seen:
+            return math.log(1 + n) + 1
+        g = 2 * sum(x * math.log(x * len(examples) / (sum(seen[w]) * size[y])) for y, x in enumerate(seen[w]) if x)
+        return (math.log((1 + n) / (1 + frequency[w])) + 1) * math.sqrt(1 + max(g, 0.0))
+
+    def unit(own):
+        v = {w: (1 + math.log(c)) * weight(w) for w, c in own.items()}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {w: x / norm for w, x in v.items()} if norm else {}
+
+    return unit, [unit(own) for own in sets]
+
+
+def test_scores_and_evidence_equal_brute_force(spark, monkeypatch):
+    """Every document's vote, fit and evidence, without an index, against the query's."""
     monkeypatch.setattr(t, "BLOCK", 8)
     monkeypatch.setattr(t, "NEIGHBOURS", 7)
-    rng = np.random.default_rng(3)
-    n, k = 150, 20
-    vectors = [{int(j): int(rng.integers(1, 5)) for j in rng.choice(k, rng.integers(1, 6), replace=False)} for _ in range(n)]
-    terms = {str(i).encode(): i for i in range(k)}
-    m = t.Model(terms, rng.random(k) * 3 + 1, list(range(n)), rng.integers(0, 2, n).astype(float), np.ones(n), vectors)
-    dense = np.zeros((n, k + 1))
-    for place, i in enumerate(m.ids.tolist()):
-        at, w = m.vector(vectors[i])
-        dense[place, at] = w
-    for _ in range(60):
-        q = {int(j): int(rng.integers(1, 5)) for j in rng.choice(k, rng.integers(1, 6), replace=False)}
-        at, w = m.vector(q)
-        places, cosines = m.nearest(at, w)
-        every = dense[:, at] @ w
-        want = np.sort(every[every > 0])[::-1][:7]
-        assert np.allclose(np.sort(cosines)[::-1], want) and np.allclose(every[places], cosines)
+    monkeypatch.setattr(t, "PER_CLASS", 30)
+    rows, labels = corpus(300, 5)
+    rows += [(1000, "unheard words only"), (1001, None), (1002, rows[6][1])]
+    d, l = frames(spark, rows, labels)
+    model = t.fit(d, l)
+    truth = dict(labels)
+    texts = {i: (x or "").encode() for i, x in rows}
+    terms = dict(zip(texts, t.doc_terms(list(texts.values()))))
+    by_place = [(int(i), truth[int(i)], *terms[int(i)]) for i in model.ids]
+    assert [e[1] for e in by_place] == model.toxic.tolist() and all(zlib.crc32(str(e[0]).encode()) % 4 != 2 for e in by_place)
+    assert sum(e[1] for e in by_place) == 30 and len(by_place) == 60
+    frequency = {}
+    for own, _ in terms.values():
+        for w in own.tolist():
+            frequency[w] = frequency.get(w, 0) + 1
+    unit, known = dense_cosines(by_place, frequency, len(rows))
+
+    def vote(v, skip=-1):
+        cosine = [sum(x * u.get(w, 0.0) for w, x in v.items()) if i != skip else 0.0 for i, u in enumerate(known)]
+        best = sorted((-round(c, 12), i, c) for i, c in enumerate(cosine) if c > 0)[:7]
+        c, at = np.array([c for _, _, c in best]), [i for _, i, _ in best]
+        weight = c * c * model.share[at]
+        return (float((weight * model.toxic[at]).sum()) + 0.1 * model.base) / (float(weight.sum()) + 0.1), at
+
+    fit = t.monotone(np.array([vote(u, i)[0] for i, u in enumerate(known)]), model.toxic, model.share)
+    got = {r["doc_id"]: r for r in t.toxicity_scores(d, l, model=model).collect()}
+    for i, (own, count) in terms.items():
+        raw, at = vote(unit(dict(zip(own.tolist(), count.tolist()))))
+        want = np.interp(raw, *fit) if at else model.base
+        assert abs(got[i]["score"] - want) < 1e-6 and got[i]["evidence"] == [by_place[k][0] for k in at[:5]]
+    assert got[1002]["score"] == got[6]["score"] and got[1000]["evidence"] == []
+    assert all(got[i]["evidence"] for i in range(300))
+
+
+def test_frequencies_cover_all_documents(spark):
+    rows, labels = corpus(240, 9)
+    d, l = frames(spark, rows, labels)
+    terms = np.unique(np.concatenate([x for x, _ in t.doc_terms([x.encode() for _, x in rows[:50]])]))
+    count, n = t.document_frequency(d, terms)
+    want = np.zeros(terms.size, int)
+    for own, _ in t.doc_terms([x.encode() for _, x in rows]):
+        at = np.searchsorted(terms, own)
+        at = np.minimum(at, terms.size - 1)
+        want[at[terms[at] == own]] += 1
+    assert n == 240 and count.tolist() == want.tolist()
 
 
 def test_monotone_fit():
@@ -83,11 +138,12 @@ def test_edges(spark):
     odd = spark.createDataFrame([(1, None, "1", "x"), (2, "", "1", None), (3, "Grumble snarlish!", "0", "x"), (3, "Grumble snarlish!", "0", "x"), (4, "badan " * 60000 + "vexoid grumble", "0", "x"), (None, "benst", None, "x")], schema)
     got = t.toxicity_scores(odd, l, model=model).collect()
     by = {r["doc_id"]: r for r in got}
-    assert len(got) == 6 and by[1]["score"] == by[2]["score"] == model.blank and by[3]["predicted"] == 1 and by[None]["held_out"] is False
+    assert len(got) == 6 and by[1]["score"] == by[2]["score"] == model.base and by[3]["predicted"] == 1 and by[None]["held_out"] is False
     assert t.toxicity_scores(d.limit(0), l).count() == 0
     none = t.toxicity_scores(odd, l.limit(0)).collect()
     assert {r["score"] for r in none} == {0.0} and {r["predicted"] for r in none} == {0}
     kept = t.without_toxic(d, l)
     assert kept.columns == d.columns and abs(kept.count() - 200) <= 3
-    twice = l.unionByName(l.limit(3)).unionByName(spark.createDataFrame([(None, 1), (0, None)], "doc_id long, toxic int"))
-    assert t.fit(d, twice).terms == model.terms
+    twice = l.unionByName(l.limit(3)).unionByName(spark.createDataFrame([(None, 1), (0, None), (1, 7)], "doc_id long, toxic int"))
+    again = t.fit(d, twice)
+    assert again.ids.tolist() == model.ids.tolist() and np.allclose(again.weight, model.weight)
