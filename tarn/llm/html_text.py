@@ -1,19 +1,21 @@
-"""Main text of web pages: page differencing against the nearest URL, with markup settling what it can.
-
-Each page becomes lines, one a block element, marked by where they stand: inside the article, inside a
-menu, header, footer, sidebar, notice, advert, form or reader comments, or elsewhere. Digests of the lines
-are dealt by ranges of (host, path), so a hot host spreads, and sorted; each page pairs with the nearest page
-before it on its host that has other lines (else the nearest after it). The first and last runs of a range
-meet those of the ranges beside it on the driver, so neighbours do not depend on the ranges. Only pages that
-need them then meet their neighbours' lines, by digest. Lines are aligned by longest common
-subsequence and shared ones are deleted. Markup checks the result both ways: a shared line inside the
-article stays (licence lines and copied pages are text too), and a line of a marked menu and the like goes
-even if it is not shared. Differencing alone decides unmarked lines, beside an article too.
+"""Main text of web pages by page differencing against the nearest URL, with markup as a check.
+
+Each page is parsed once into lines, one a block element, marked by where they stand: inside the article,
+inside a menu, header, footer, sidebar, notice, advert, form or reader comments, or elsewhere. The lines go to
+the shared folder, packed, beside a hash of each. Pages are dealt by ranges of (host, path, id), so a hot host
+spreads, and sorted. Each page meets the nearest pages before and after it on its host that have other lines,
+takes the one that shares more of the path (the one before when they share as much), and is aligned with it by
+longest common subsequence: shared lines are deleted. The first and last pages of a range find their neighbour
+over its edge by a short list of the ranges' first and last pages, so neighbours do not depend on the ranges.
+
+Markup checks the result both ways: a shared line inside the article stays (licence lines and copied pages are
+text too), and a line of a marked menu and the like goes even if it is not shared. Differencing alone decides
+unmarked lines, beside an article too.
 
 Defined results: null and empty pages give empty texts; an unfinished tag at the end is markup, an
-unfinished character reference is text if it is none; rows that repeat are each returned; a page with no
-other page of its host is not differenced, and its unmarked lines go if it has an article; null hosts and URLs sort first and form one host;
-other columns are ignored.
+unfinished character reference is text if it is none; rows that repeat are each returned; pages of equal lines
+are no neighbours of each other; a page with no other page of its host is not differenced, and its unmarked
+lines go if it has an article; null hosts and URLs sort first and form one host; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,9 +23,13 @@ from __future__ import annotations
 import hashlib
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
+import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -154,7 +160,7 @@ def page_lines(page: str) -> list[tuple[int, str]]:
     return out
 
 
-def common_lines(a: list[str], b: list[str]) -> set[int]:
+def common_lines(a: list, b: list) -> set[int]:
     """Places in ``a`` of one longest common subsequence with ``b``; bit-parallel, ties to the last places."""
     lo = 0
     while lo < len(a) and lo < len(b) and a[lo] == b[lo]:
@@ -166,7 +172,7 @@ def common_lines(a: list[str], b: list[str]) -> set[int]:
     n = y - lo
     if x == lo or not n:
         return out
-    masks: dict[str, int] = {}
+    masks: dict = {}
     for j in range(n):
         masks[b[lo + j]] = masks.get(b[lo + j], 0) | 1 << j
     full = (1 << n) - 1
@@ -188,98 +194,146 @@ def common_lines(a: list[str], b: list[str]) -> set[int]:
     return out
 
 
-def kept_text(lines: list[tuple[int, str]], other: list[tuple[int, str]] | None) -> str:
-    """Delete the lines shared with the other page, and marked lines; the article's own lines stay."""
-    shared = common_lines([t for _, t in lines], [t for _, t in other]) if other else set()
-    if not other and any(z == ARTICLE for z, _ in lines):
+def kept_text(lines: list[tuple[int, str]], shared: set[int] | None) -> str:
+    """Delete the lines shared with the other page (None: there is no other), and marked lines; the article's own stay."""
+    if shared is None and any(z == ARTICLE for z, _ in lines):
         # nothing tells whether unmarked lines beside an article are text
         return "\n\n".join(t for z, t in lines if z == ARTICLE)
-    return "\n\n".join(t for i, (z, t) in enumerate(lines) if z == ARTICLE or z == OTHER and i not in shared)
-
-
-def _neighbours(rows: Iterator[tuple]) -> Iterator[tuple]:
-    """(row, lines of its nearest page) for rows (host, lines, ...) sorted by host and path."""
-    host, before, run, first = None, None, [], []
-    for row in rows:
-        if run and row[0] != host:
-            yield from ((r, before) for r in [*first, *run])
-            before, run, first = None, [], []
-        host = row[0]
-        if run and row[1] != run[-1][1]:
-            if before is None:
-                yield from ((r, row[1]) for r in run)
-            else:
-                yield from ((r, before) for r in run)
-            before, run = run[-1][1], []
-        if before is not None and not run:
-            run = [row]
-        elif before is not None:
-            yield row, before  # like its predecessor: the same neighbour
-        else:
-            run.append(row)
-    yield from ((r, before) for r in run)
+    gone = shared or ()
+    return "\n\n".join(t for i, (z, t) in enumerate(lines) if z == ARTICLE or z == OTHER and i not in gone)
 
 
-def _page_digest(lines: list[tuple[int, str]]) -> bytes:
-    """Names the texts and places of a page's lines; pages of equal lines share it."""
-    return hashlib.blake2b("".join(f"{z}{len(t)}:{t}" for z, t in lines).encode("utf-8", "surrogatepass"), digest_size=16).digest()
+def pack_lines(lines: list[tuple[int, str]]) -> bytes:
+    """Places and texts of lines, compressed; no text holds a line end."""
+    return zstandard.compress("\n".join(["".join(str(z) for z, _ in lines), *[t for _, t in lines]]).encode(), 3)
 
 
-def _range_neighbours(rows: Iterator[tuple], part: int) -> Iterator[tuple]:
-    """(part, edge, host, runs, row, other) for rows (host, digest, row) of one sorted range.
+def unpack_lines(packed: bytes) -> list[tuple[int, str]]:
+    zones, *texts = zstandard.decompress(packed).decode().split("\n")
+    return [(int(z), t) for z, t in zip(zones, texts)]
 
-    ``other`` is the neighbour's digest. The first run of the range's first and last host can have its
-    neighbour in another range: its rows carry an ``edge``. ``runs``, once for each of these two hosts,
-    has its first two and last two digests, unlike digests side by side.
-    """
-    edge = 0
-    held, runs, ends = [], [], []
 
-    def close(last: bool):
-        mark = edge if edge == 0 or last else -1
-        other = runs[1] if len(runs) > 1 else None
-        yield from ((part, mark, host, None, r, other) for r in held)
-        if mark >= 0:
-            yield part, mark, host, [*runs, *ends], None, None
+def line_hashes(lines: list[tuple[int, str]]) -> bytes:
+    """A 64-bit hash of each line's text, side by side."""
+    return np.array([xxhash.xxh64_intdigest(t) for _, t in lines], np.uint64).tobytes()
 
-    host = None
-    for row in rows:
-        if runs and row[0] != host:
-            yield from close(False)
-            edge, held, runs, ends = edge + 1, [], [], []
-        host, digest = row[0], row[1]
-        now = (ends or runs or [None])[-1]
-        if digest != now:
-            if len(runs) < 2:
-                runs.append(digest)
-            else:
-                ends = [(ends or runs)[-1], digest]
-        if len(runs) == 1:
-            held.append(row[2])
-        else:
-            before = ends[0] if ends else runs[0]
-            yield part, -1, host, None, row[2], before
-    if runs:
-        yield from close(True)
-
-
-def _over_edges(edges: list[tuple]) -> dict[tuple[int, int], bytes | None]:
-    """(part, edge) to the neighbour of the host's first run in that range, for (part, edge, host, runs) of all ranges."""
-    edges = sorted(edges, key=lambda e: e[:2])
-
-    def last_unlike(order, ahead):
-        out, host, seen = {}, None, []
-        for part, edge, h, runs in order:
-            seen = seen if h == host else []
-            host = h
-            out[part, edge] = next((d for d in reversed(seen) if d != runs[0]), None)
-            for d in runs[::-1] if ahead else runs:
-                if not seen or seen[-1] != d:
-                    seen = [*seen, d][-2:]
-        return out
 
-    before, after = last_unlike(edges, False), last_unlike(edges[::-1], True)
-    return {(p, e): before[p, e] or (runs[1] if len(runs) > 1 else after[p, e]) for p, e, _, runs in edges}
+def difference(lines: list[tuple[int, str]], own: bytes, other: bytes | None) -> str:
+    """The text of a page of line hashes ``own`` beside a page of line hashes ``other``."""
+    if other is None:
+        return kept_text(lines, None)
+    return kept_text(lines, common_lines(np.frombuffer(own, np.uint64).tolist(), np.frombuffer(other, np.uint64).tolist()))
+
+
+class Page(NamedTuple):
+    """A parsed page; pages of the same ``digest`` have the same lines in the same places."""
+
+    host: str
+    path: str
+    page_id: int | None
+    url: str | None
+    digest: bytes
+    own: bytes
+    packed: bytes
+
+
+class Beside(NamedTuple):
+    """What a page needs of a neighbour."""
+
+    path: str
+    digest: bytes
+    own: bytes | None = None
+
+
+def nearer(path: str, before: Beside | None, after: Beside | None) -> Beside | None:
+    """The neighbour that shares more leading steps of the path; the one before when both share as many."""
+    if before is None or after is None:
+        return before or after
+    steps = path.split("/")
+
+    def shared(other: Beside) -> int:
+        n = 0
+        for x, y in zip(steps, other.path.split("/")):
+            if x != y:
+                break
+            n += 1
+        return n
+
+    return after if shared(after) > shared(before) else before
+
+
+class Run(NamedTuple):
+    """Pages side by side that have the same lines: their digest, first path and last path."""
+
+    digest: bytes
+    first: str
+    last: str
+
+
+def pair_range(pages: Iterable[Page]) -> Iterator[tuple]:
+    """What one sorted range knows: ('page', page, neighbour), ('open', page, edge, before, after, missing) and ('edge', edge, host, runs).
+
+    Only the first run of the range's first host and the last run of its last host can have a neighbour
+    beyond the range; ``missing`` says on which sides ('b', 'a' or both), and ``edge`` is 0 for the first host and
+    1 for another last one. 'edge' lists a host's first two and last two runs. Of a run's pages only the first is
+    held whole, of the others id, URL and path: their lines are the same.
+    """
+    edge, host, runs, before = 0, None, [], None
+    lead, held = None, []
+
+    def close(after: Beside | None, last: bool):
+        nonlocal before
+        first = edge == 0 and before is None
+        runs.append(Run(lead.digest, held[0].path, held[-1].path))
+        if len(runs) > 4:
+            del runs[2:-2]
+        for page in held:
+            page = page._replace(own=lead.own, packed=lead.packed)
+            if first or last:
+                yield "open", page, edge, before, after, "b" * first + "a" * last
+            else:
+                yield "page", page, nearer(page.path, before, after)
+        before = Beside(held[-1].path, lead.digest, lead.own)
+
+    for page in pages:
+        if lead is not None and (page.host != host or page.digest != lead.digest):
+            same = page.host == host
+            yield from close(Beside(page.path, page.digest, page.own) if same else None, False)
+            held = []
+            if not same:
+                if edge == 0:
+                    yield "edge", 0, host, list(runs)
+                edge, runs, before = 1, [], None
+        if not held:
+            lead, host = page, page.host
+        held.append(page if not held else page._replace(own=b"", packed=b""))
+    if held:
+        yield from close(None, True)
+        yield "edge", edge, host, runs
+
+
+def over_edges(edges: list[tuple[int, int, str, list[Run]]]) -> dict[tuple[int, int], tuple[Beside | None, Beside | None]]:
+    """(part, edge) to the neighbours beyond the range: before its host's first run there, and after the last.
+
+    ``edges`` has (part, edge, host, runs) of every range. A neighbour has other lines than the run it is for.
+    """
+    out: dict = {}
+    seen: list[Run] = []
+    host = None
+    for part, edge, h, runs in sorted(edges, key=lambda e: e[:2]):
+        seen = seen if h == host else []
+        host = h
+        out[part, edge] = next((Beside(r.last, r.digest) for r in reversed(seen) if r.digest != runs[0].digest), None), None
+        for r in runs:
+            seen = [*(seen[:-1] if seen and seen[-1].digest == r.digest else seen), r][-2:]
+    seen, host = [], None
+    for part, edge, h, runs in sorted(edges, key=lambda e: e[:2], reverse=True):
+        seen = seen if h == host else []
+        host = h
+        out[part, edge] = out[part, edge][0], next((Beside(r.first, r.digest) for r in seen if r.digest != runs[-1].digest), None)
+        for r in reversed(runs):
+            seen = [r, *(seen[1:] if seen and seen[0].digest == r.digest else seen)][:2]
+    return out
 
 
 def extract_text(pages: DataFrame) -> DataFrame:
@@ -292,80 +346,72 @@ def extract_text(pages: DataFrame) -> DataFrame:
         F.coalesce(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*(.*)$", 1), F.lit("")).alias("path"),
         utf8(pages["html"]).alias("b"),
     )
-    plain = ["page_id", "url", "host", "path"]
-    key = ["host", "path", "page_id", "digest"]
-    line = pa.list_(pa.struct([("z", pa.int8()), ("t", pa.string())]))
 
-    def parsed(batches):
+    def parse(batches):
         for batch in slices(batches, "b"):
-            yield batch, [page_lines(raw.decode("utf-8", "replace")) for raw in batch.column("b").to_pylist()]
-
-    def sure(lines):
-        """Markup settles every line, so the page's text is the same beside any neighbour."""
-        return all(z != OTHER for z, _ in lines)
-
-    def name(batches):
-        for batch, made in parsed(batches):
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in key[:3]], pa.array([_page_digest(x) for x in made], pa.binary()), pa.array([sure(x) for x in made])], names=[*key, "sure"])
-
-    def settled(batches):
-        for batch, made in parsed(batches):
-            at = [i for i, x in enumerate(made) if sure(x)]
-            texts = [kept_text(made[i], None) for i in at]
-            one = batch.take(pa.array(at, pa.int64()))
-            yield pa.RecordBatch.from_arrays([one.column("page_id"), one.column("url"), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
-
-    def lined(keep):
-        def run(batches):
-            for batch, made in parsed(batches):
-                digests = [_page_digest(x) for x in made]
-                at = [i for i, x in enumerate(made) if keep or not sure(x)]
-                one = batch.take(pa.array(at, pa.int64()))
-                yield pa.RecordBatch.from_arrays([*[one.column(c) for c in plain], pa.array([digests[i] for i in at], pa.binary()), pa.array([[{"z": z, "t": t} for z, t in made[i]] for i in at], line)], names=[*plain, "digest", "lines"])
-
-        return run
-
-    out = "page_id long, url string, text string, n_chars long"
-    named = stage(src.drop("url").mapInArrow(name, "host string, path string, page_id long, digest binary, sure boolean"), "pages")
-    done = src.mapInArrow(settled, out)
-    if named.filter("not sure").isEmpty():
-        return done
+            made = [page_lines(raw.decode("utf-8", "replace")) for raw in batch.column("b").to_pylist()]
+            packed, own = [pack_lines(x) for x in made], [line_hashes(x) for x in made]
+            digest = [hashlib.blake2b(h + bytes(z for z, _ in x), digest_size=16).digest() for h, x in zip(own, made)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("host", "path", "page_id", "url")], *[pa.array(x, pa.binary()) for x in (digest, own, packed)]], names=list(Page._fields))
+
+    # a salt parts rows that repeat altogether
+    parsed = stage(src.mapInArrow(parse, "host string, path string, page_id long, url string, digest binary, own binary, packed binary"), "lines")
+    key = ["host", "path", "page_id", "digest", "salt"]
+    dealt = parsed.withColumn("salt", F.monotonically_increasing_id()).repartitionByRange(*key).sortWithinPartitions(*key)
+    beside = pa.struct([("path", pa.string()), ("digest", pa.binary())])
+    shape = pa.schema([("part", pa.int32()), ("edge", pa.int32()), ("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("path", pa.string()), ("own", pa.binary()), ("packed", pa.binary()), ("before", beside), ("after", beside), ("missing", pa.string()), ("host", pa.string()), ("runs", pa.list_(pa.struct([(x, pa.binary() if x == "digest" else pa.string()) for x in Run._fields])))])
+    side = "struct<path:string,digest:binary>"
 
     def pair(batches):
+        part = TaskContext.get().partitionId()
+        cells = lambda x: None if x is None else {"path": x.path, "digest": x.digest}
+
         def rows():
             for batch in batches:
-                for r in zip(*[batch.column(c).to_pylist() for c in [*key, "sure"]]):
-                    yield r[0], r[3], r
-
-        many = []
-        for got in _range_neighbours(rows(), TaskContext.get().partitionId()):
-            if got[4] is None or not got[4][4]:
-                many.append((*got[:2], *(got[4][:4] if got[4] else (got[2], None, None, None)), got[5], got[3]))
-            if len(many) >= 5000:
-                yield pack(many)
-                many = []
-        if many:
-            yield pack(many)
-
-    def pack(rows):
-        types = (pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.binary()))
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["part", "edge", *key, "other", "runs"])
-
-    dealt = named.repartitionByRange(*key).sortWithinPartitions(*key)
-    near = stage(dealt.mapInArrow(pair, "part int, edge int, host string, path string, page_id long, digest binary, other binary, runs array<binary>"), "near")
-    edges = _over_edges([(r["part"], r["edge"], r["host"], [bytes(x) for x in r["runs"]]) for r in near.filter("runs is not null").collect()])
-    over = pages.sparkSession.createDataFrame([(p, e, x) for (p, e), x in edges.items()], "part int, edge int, beyond binary")
-    met = near.filter("runs is null").join(F.broadcast(over), ["part", "edge"], "left").select(*key, F.when(F.col("edge") < 0, F.col("other")).otherwise(F.col("beyond")).alias("other")).distinct()
-    wanted = met.select(F.col("other").alias("digest")).filter("digest is not null").distinct()
-    others = src.mapInArrow(lined(True), "page_id long, url string, host string, path string, digest binary, lines array<struct<z:tinyint,t:string>>")
-    others = others.join(wanted, "digest", "left_semi").groupBy("digest").agg(F.first("lines").alias("else_lines")).withColumnRenamed("digest", "other")
-    left = src.mapInArrow(lined(False), "page_id long, url string, host string, path string, digest binary, lines array<struct<z:tinyint,t:string>>").alias("l")
-    same = [F.col(f"l.{c}").eqNullSafe(F.col(f"m.{c}")) for c in key]
-    both = left.join(met.alias("m"), same[0] & same[1] & same[2] & same[3], "left").select("l.page_id", "l.url", "l.lines", "m.other").join(others, "other", "left")
-
-    def difference(batches):
-        for batch in batches:
-            texts = [kept_text([(r["z"], r["t"]) for r in x], None if y is None else [(r["z"], r["t"]) for r in y]) for x, y in zip(batch.column("lines").to_pylist(), batch.column("else_lines").to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
-
-    return done.unionByName(both.select("page_id", "url", "lines", "else_lines").mapInArrow(difference, out))
+                yield from map(Page._make, zip(*[batch.column(c).to_pylist() for c in Page._fields]))
+
+        out, size = [], 0
+        for kind, *got in pair_range(rows()):
+            if kind == "page":
+                page, other = got
+                row = {"page_id": page.page_id, "url": page.url, "text": difference(unpack_lines(page.packed), page.own, other.own if other else None)}
+                size += len(row["text"])
+            elif kind == "open":
+                page, edge, before, after, missing = got
+                row = {"part": part, "edge": edge, "page_id": page.page_id, "url": page.url, "path": page.path, "own": page.own, "packed": page.packed, "before": cells(before), "after": cells(after), "missing": missing}
+                size += len(page.packed)
+            else:
+                row = {"part": part, "edge": got[0], "host": got[1], "runs": [r._asdict() for r in got[2]]}
+            out.append(row)
+            if len(out) == 2000 or size > 8 << 20:
+                yield pa.RecordBatch.from_pylist(out, schema=shape)
+                out, size = [], 0
+        if out:
+            yield pa.RecordBatch.from_pylist(out, schema=shape)
+
+    met = stage(dealt.select(*Page._fields).mapInArrow(pair, f"part int, edge int, page_id long, url string, text string, path string, own binary, packed binary, before {side}, after {side}, missing string, host string, runs array<struct<digest:binary,first:string,last:string>>"), "paired")
+    edges = over_edges([(r["part"], r["edge"], r["host"], [Run(bytes(x["digest"]), x["first"], x["last"]) for x in r["runs"]]) for r in met.filter("runs is not null").select("part", "edge", "host", "runs").collect()])
+    beyond = pages.sparkSession.sparkContext.broadcast(edges)  # two paths an edge, two edges a range
+
+    def choose(batches):
+        names = ["page_id", "url", "own", "packed", "other"]
+        for batch in slices(batches, "packed"):
+            others = []
+            for r in batch.select(["part", "edge", "path", "before", "after", "missing"]).to_pylist():
+                b, a = (Beside(x["path"], x["digest"]) if x else None for x in (r["before"], r["after"]))
+                far = beyond.value[r["part"], r["edge"]]
+                got = nearer(r["path"], far[0] if "b" in r["missing"] else b, far[1] if "a" in r["missing"] else a)
+                others.append(got.digest if got else None)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names[:-1]], pa.array(others, pa.binary())], names=names)
+
+    def settle(batches):
+        for batch in slices(batches, "packed"):
+            texts = [difference(unpack_lines(p), own, other) for p, own, other in zip(*[batch.column(c).to_pylist() for c in ("packed", "own", "far")])]
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
+
+    left = met.filter("missing is not null").mapInArrow(choose, "page_id long, url string, own binary, packed binary, other binary")
+    wanted = left.select(F.col("other").alias("digest")).filter("digest is not null").distinct()
+    far = parsed.select("digest", "own").join(wanted, "digest", "left_semi").groupBy("digest").agg(F.first("own").alias("far")).withColumnRenamed("digest", "other")
+    late = left.join(far, "other", "left").select("page_id", "url", "own", "packed", "far").mapInArrow(settle, "page_id long, url string, text string")
+    done = met.filter("text is not null").select("page_id", "url", "text").unionByName(late)
+    return done.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))

@@ -13,7 +13,8 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>v
 
 
 def text(page, other=None):
-    return h.kept_text(h.page_lines(page), h.page_lines(other) if other else None)
+    lines = h.page_lines(page)
+    return h.difference(h.unpack_lines(h.pack_lines(lines)), h.line_hashes(lines), h.line_hashes(h.page_lines(other)) if other else None)
 
 
 def test_article_only():
@@ -59,10 +60,21 @@ def test_common_lines_are_longest():
         assert len(got) == lcs(a, b) and all(any(x == a[i] for x in it) for i in got)
 
 
-def test_neighbours():
-    rows = [("h", [1], "p1"), ("h", [1], "p2"), ("h", [2], "p3"), ("h", [2], "p4"), ("h", [3], "p5"), ("g", [1], "q"), ("k", [5], "r"), ("k", [5], "s")]
-    got = {r[2]: o for r, o in h._neighbours(iter(rows))}
-    assert got == {"p1": [2], "p2": [2], "p3": [1], "p4": [1], "p5": [2], "q": None, "r": None, "s": None}
+def brute_neighbour(rows, i):
+    """The nearest page with other lines before and after row i on its host; the one that shares more of the path."""
+    host, path, _, digest = rows[i]
+
+    def first(order):
+        return next((h.Beside(rows[k][1], rows[k][3]) for k in order if rows[k][0] == host and rows[k][3] != digest), None)
+
+    got = h.nearer(path, first(range(i - 1, -1, -1)), first(range(i + 1, len(rows))))
+    return got.digest if got else None
+
+
+def test_nearer_shares_more_of_the_path():
+    b, a = h.Beside("/en/1", b"b"), h.Beside("/de/2", b"a")
+    assert h.nearer("/de/1", b, a) is a and h.nearer("/en/9", b, a) is b and h.nearer("/fr/1", b, a) is b
+    assert h.nearer("/x", None, a) is a and h.nearer("/x", b, None) is b and h.nearer("/x", None, None) is None
 
 
 def test_pages(spark):
@@ -75,27 +87,69 @@ def test_pages(spark):
     assert all(r["n_chars"] == len(r["text"]) for r in got) and h.extract_text(df.limit(0)).count() == 0
 
 
-def test_neighbours_do_not_depend_on_ranges(spark):
-    """Any cut of the sorted pages into ranges gives the neighbours of the whole."""
+def test_neighbours_do_not_depend_on_ranges():
+    """Any cut of the sorted pages into ranges gives the neighbours of the whole, and those of brute force."""
     rng = random.Random(5)
-    for _ in range(400):
-        rows = sorted((rng.choice("gh"), i) for i in range(rng.randint(1, 14)))
-        rows = [(host, rng.choice([b"a", b"b", b"c"]), (host, i)) for host, i in rows]
-        want = {r[2]: o for r, o in h._neighbours(iter(rows))}
+    for _ in range(1500):
+        rows = sorted((rng.choice("gh"), rng.choice(["/a/", "/a/b/", "/c/"]) + str(rng.randint(0, 3)), i) for i in range(rng.randint(1, 14)))
+        rows = [(*r, rng.choice([b"a", b"b", b"c"])) for r in rows]
+        want = {r[2]: brute_neighbour(rows, i) for i, r in enumerate(rows)}
         cuts = sorted(rng.randint(0, len(rows)) for _ in range(rng.randint(0, 5)))
-        parts = [rows[a:b] for a, b in zip([0, *cuts], [*cuts, len(rows)])]
-        made = [x for k, part in enumerate(parts) for x in h._range_neighbours(iter(part), k)]
-        over = h._over_edges([(p, e, host, runs) for p, e, host, runs, r, _ in made if r is None])
-        assert {r: over[p, e] if e >= 0 else o for p, e, _, _, r, o in made if r is not None} == want
-    df = spark.createDataFrame([(k, f"http://a.com/{k}", f"<div>Menu</div><p>Text {k}</p><div>End</div>") for k in range(60)], "page_id long, url string, html string").repartition(3)
-    for n in ("1", "16"):
+        got, late, edges = {}, [], []
+        for part, (a, b) in enumerate(zip([0, *cuts], [*cuts, len(rows)])):
+            for kind, *x in h.pair_range(h.Page(host, path, i, None, d, d, d) for host, path, i, d in rows[a:b]):
+                if kind == "page":
+                    assert x[0].own == x[0].packed == x[0].digest
+                    got[x[0].page_id] = x[1].digest if x[1] else None
+                elif kind == "open":
+                    late.append((part, *x))
+                else:
+                    edges.append((part, *x))
+        over = h.over_edges(edges)
+        for part, page, edge, before, after, missing in late:
+            far = over[part, edge]
+            x = h.nearer(page.path, far[0] if "b" in missing else before, far[1] if "a" in missing else after)
+            got[page.page_id] = x.digest if x else None
+        assert got == want
+
+
+def pages_of_hosts(n=90):
+    rng = random.Random(8)
+    words = lambda k: " ".join(rng.choice(["tree", "river", "stone", "cloud", "lamp"]) for _ in range(k))
+    rows = []
+    for k in range(n):
+        host = rng.choice(["a", "b", "c"])
+        lines = [f"<div>Menu {host}</div>", *[f"<p>{words(6)}</p>" for _ in range(rng.randint(1, 4))], f"<div>Rights of {host}</div>"]
+        if k % 3 == 0:
+            lines.insert(1, f"<article><p>{words(3)}</p><p>Licence</p></article>")
+        if k % 7 == 0:
+            lines.append("<footer>Foot</footer>")
+        rows.append((k, f"http://{host}.com/{rng.choice(['en', 'de', 'de/x'])}/{rng.randint(0, 50)}", "<body>" + "".join(lines) + "</body>"))
+    return rows + [(200 + i, "http://a.com/same", "<div>Menu a</div><p>copy</p>") for i in range(20)]
+
+
+def test_whole_results_equal_brute_force(spark):
+    """Neighbours sought among all pages, lines held against theirs, for several numbers of ranges."""
+    rows = pages_of_hosts()
+    lines = {i: h.page_lines(x) for i, _, x in rows}
+    listed = sorted((u.split("/")[2], "/" + u.split("/", 3)[3], i, repr(lines[i]).encode()) for i, u, _ in rows)
+    at = {r[3]: r[2] for r in listed}
+    want, changed = {}, 0
+    for k, (_, _, i, _) in enumerate(listed):
+        other = brute_neighbour(listed, k)
+        shared = h.common_lines([t for _, t in lines[i]], [t for _, t in lines[at[other]]]) if other else None
+        want[i] = h.kept_text(lines[i], shared)
+        changed += want[i] != "\n\n".join(t for z, t in lines[i] if z != h.MARKED)
+    assert changed > 80  # differencing decides
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    for n in ("1", "4", "40"):
         old = spark.conf.get("spark.sql.shuffle.partitions")
         spark.conf.set("spark.sql.shuffle.partitions", n)
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
         got = {r["page_id"]: r["text"] for r in h.extract_text(df).collect()}
         spark.conf.set("spark.sql.shuffle.partitions", old)
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
-        assert got == {k: f"Text {k}" for k in range(60)}
+        assert got == want
 
 
 def test_unmarked_lines_beside_an_article_are_differenced(spark):
