@@ -1,25 +1,24 @@
-"""Language-model scores from a log-frequency Bloom filter of bigram counts.
-
-Learning. Each task hashes its tokens to 64 bits and sends, per hash bucket, one block of distinct hashes
-with counts; buckets are reduced with numpy. Buckets scale with the input's partitions, so no task
-gathers more than about a quarter of a partition's worth of hashes, and a hot token arrives as one
-entry a block. Word counts stay a distributed table. Each bigram bucket becomes a segment of the filter:
-every bigram is in it (``LEAST`` is 1). A bigram seen once has level 1, one seen c > 1 times has level
-q = 2 + floor(log(c / 2) / log(BASE)), and it is inserted q times, as (bigram, 0) .. (bigram, q - 1).
-
-Scoring. Segments are collected and broadcast in shards of at most ``SHARD_BYTES``; a larger filter takes
-more passes over the texts, never a larger broadcast. A bigram's level is found by probing (bigram, 0),
-(bigram, 1), .. until a miss. P(w | h) = MIX * count / c(h) + (1 - MIX) * P0(w), with P0 the unigram
-probability of the base score; a context h seen less than ``LEAST`` times gives P(w | h) = P0(w).
-
-Frequent words, those with at least N / HOT_WORDS of the N tokens, are broadcast: there are at most
-``HOT_WORDS`` of them by that definition. All other words' counts are joined to the documents that need
-them by hash bucket, first where they are contexts, then where they are the words, so every count used is
-exact (up to 64-bit hash collisions) and scores do not depend on what is broadcast. ``CONTEXTS`` can limit
-the model to contexts with at least N / CONTEXTS tokens; by default it does not.
+"""Language-model scores from a log-frequency Bloom filter of quantised bigram counts.
+
+Packs. The texts go to the shared folder in rows of about ``PACK_BYTES``, so that what is read twice is the
+same both times, however it is split. Learning. Each pack sends every bucket of hashes one block of its distinct
+words and one of its distinct bigrams, with their counts in training texts: a hot word is one entry a pack.
+Buckets follow from the table's bytes alone (``BUCKET_BYTES`` each), so results do not depend on partitions,
+and a bucket is as large at any size of the corpus. A bucket adds its counts up. A bigram bucket makes them a
+segment of the filter: a bigram seen once has level 1, one seen c > 1 times level q = 2 + floor(log(c / 2) /
+log(BASE)), and it is inserted q times, as (bigram, 0) .. (bigram, q - 1).
+
+Scoring. The filter grows with the corpus, and a broadcast must not; so bigrams come to their segment instead.
+There a bigram's level is found by probing (bigram, 0), (bigram, 1), .. until a miss, and each pack gets one
+byte a distinct bigram back, and the counts of its words, exact for all words. P(w | h) = MIX * count / c(h) +
+(1 - MIX) * P0(w), with P0 the unigram probability of the base score; an unseen context gives P0(w).
+
+Error. ``PROBES`` probes at ``BITS`` bits an entry give an absent (bigram, level) a hit with a probability of
+7e-5. Words are told apart by 64 bits, bigrams by 40 bits and their bucket.
 
 Defined results: null, empty and blank texts have the end token only; each input row gives one row, also
-when ids repeat; with no training rows every count is 0; other columns are ignored.
+when ids repeat; rows with a null id are scored, not held out and not learned from; with no training rows
+every count is 0; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,29 +28,27 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, slices, small_batches, stage, utf8, word_hashes
+from .common import mix, slices, stage, utf8, word_hashes
 
-LEAST, BASE, PROBES, BITS = 1, math.sqrt(2.0), 8, 11.6
+BASE, PROBES, BITS = math.sqrt(2.0), 14, 20
 MIX = 0.3
-HOT_WORDS = 8_000_000
-CONTEXTS = math.inf
-SHARD_BYTES = 64 << 20
-#: Tokens that a task gathers before it sends blocks; a bound on memory.
-FLUSH = 1_500_000
+PACK_BYTES, BUCKET_BYTES = 8 << 20, 8 << 20
+LEAST_BUCKETS = 8
 
 _U = np.uint64
 END = xxhash.xxh64_intdigest(b"")
 _PAIR = _U(0x9E3779B97F4A7C15)
+_SHORT = 5  # bytes of a bigram's hash that are sent
 
 
-def held_out(key) -> bool:
-    return zlib.crc32(str(key).encode()) % 10 == 0
+def held_out(key: int | None) -> bool:
+    return key is not None and zlib.crc32(str(key).encode()) % 10 == 0
 
 
 def token_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -60,375 +57,199 @@ def token_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.insert(h, np.cumsum(n), _U(END)), n + 1
 
 
-def pair_hashes(context: np.ndarray, word: np.ndarray) -> np.ndarray:
-    return mix(context * _PAIR + word)
-
-
-def _level_count(level: np.ndarray) -> np.ndarray:
-    """The count that a level of ``levels_of`` stands for: the middle of the whole numbers in its bin; 0 for level 0."""
-    top = int(level.max(initial=0))
-    low = [0.0] + [2 * BASE ** (q - 1) for q in range(1, top + 2)]
-    table = [0.0]
-    for q in range(1, top + 1):
-        a, b = math.ceil(low[q] - 1e-9), math.ceil(low[q + 1] - 1e-9) - 1
-        table.append((a + max(a, b)) / 2)
-    return np.array(table)[level]
+def pair_hashes(h: np.ndarray) -> np.ndarray:
+    """Each token's bigram with the token before it; an end token stands before each text."""
+    return mix(np.concatenate([h[-1:], h[:-1]]) * _PAIR + h)
 
 
 def levels_of(count: np.ndarray) -> np.ndarray:
-    """Levels, from 1 on, of counts of 2 or more."""
-    return 1 + np.floor(np.log(count / 2) / math.log(BASE) + 1e-9).astype(np.int64)
-
+    """Levels as the filter holds them: 0 for none, 1 for a count of 1, then bins a factor of ``BASE`` wide."""
+    more = 2 + np.floor(np.log(np.maximum(count, 2) / 2) / math.log(BASE) + 1e-9).astype(np.int64)
+    return np.where(count > 1, more, np.minimum(count, 1))
 
-def stored_levels(count: np.ndarray) -> np.ndarray:
-    """Levels as the filter holds them: 1 for a count of 1, then those of ``levels_of``."""
-    return np.where(count > 1, 1 + levels_of(np.maximum(count, 2)), 1)
 
-
-def stored_count(level: np.ndarray) -> np.ndarray:
-    return np.where(level == 1, 1.0, _level_count(np.maximum(level - 1, 0)))
+def count_of(level: np.ndarray) -> np.ndarray:
+    """The count that a level stands for: the middle of the whole numbers in its bin."""
+    table = [0.0, 1.0]
+    for q in range(2, int(level.max(initial=0)) + 1):
+        a, b = math.ceil(2 * BASE ** (q - 2) - 1e-9), math.ceil(2 * BASE ** (q - 1) - 1e-9) - 1
+        table.append((a + max(a, b)) / 2)
+    return np.array(table)[level]
 
 
 class Filter:
-    """Segments of the filter side by side, one a bucket: bits, and each bucket's first bit and size."""
+    """A segment of the filter: ``size`` bits."""
+
+    def __init__(self, entries: int):
+        self.size = max(64, math.ceil(entries * BITS))
+        self.bits = np.zeros(self.size, bool)
 
-    def __init__(self, sizes: np.ndarray, bits: np.ndarray | None = None):
-        self.sizes = sizes.astype(np.uint64)
-        whole = (sizes + 7) // 8 * 8
-        self.first = (np.cumsum(whole) - whole).astype(np.uint64)
-        self.bits = np.zeros(int(whole.sum()) // 8, np.uint8) if bits is None else bits
+    def _seeds(self, h: np.ndarray, level: int | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        x = mix(h ^ np.asarray(level, np.uint64) * _U(0xD6E8FEB86659FD93))
+        return x >> _U(32), (x & _U(0xFFFFFFFF)) | _U(1)
 
-    def _places(self, h: np.ndarray, bucket: np.ndarray, level: int | np.ndarray, probe: int) -> np.ndarray:
-        x = mix(h ^ (np.asarray(level, np.uint64) * _U(0xD6E8FEB86659FD93)) ^ _U(probe << 56))
-        return self.first[bucket] + ((x >> _U(32)) * self.sizes[bucket] >> _U(32))
+    def _place(self, a: np.ndarray, b: np.ndarray, probe: int) -> np.ndarray:
+        return (((a + b * _U(probe)) & _U(0xFFFFFFFF)) * _U(self.size)) >> _U(32)
 
-    def insert(self, h: np.ndarray, bucket: np.ndarray, level: np.ndarray) -> None:
-        flat = np.zeros(self.bits.size * 8, bool)
+    def insert(self, h: np.ndarray, level: int | np.ndarray) -> None:
+        a, b = self._seeds(h, level)
         for p in range(PROBES):
-            flat[self._places(h, bucket, level, p)] = True
-        self.bits |= np.packbits(flat, bitorder="little")
+            self.bits[self._place(a, b, p)] = True
 
-    def has(self, h: np.ndarray, bucket: np.ndarray, level: int) -> np.ndarray:
+    def has(self, h: np.ndarray, level: int) -> np.ndarray:
         """Places of the hashes that the filter holds at a level."""
-        left = np.flatnonzero(self.sizes[bucket])
+        left = np.arange(h.size)
+        a, b = self._seeds(h, level)
         for p in range(PROBES):
-            at = self._places(h[left], bucket[left], level, p)
-            left = left[(self.bits[at >> _U(3)] >> (at & _U(7)).astype(np.uint8)) & 1 == 1]
+            ok = self.bits[self._place(a, b, p)]
+            left, a, b = left[ok], a[ok], b[ok]
         return left
 
+    def insert_counts(self, h: np.ndarray, count: np.ndarray) -> None:
+        q = levels_of(count)
+        for level in range(int(q.max(initial=0))):
+            self.insert(h[q > level], level)
 
-def _block(h: np.ndarray, buckets: int, first: int, count: np.ndarray | None = None):
-    """(bucket, hashes, counts) of each bucket that has any: distinct hashes, counts over 1 as (place, count)."""
-    h, c = np.unique(h, return_counts=True)
-    edges = np.searchsorted((h >> _U(32)) * _U(buckets) >> _U(32), np.arange(buckets + 1, dtype=np.uint64))
-    for b in range(buckets):
-        lo, hi = edges[b], edges[b + 1]
-        if hi > lo:
-            cc = c[lo:hi]
-            more = np.flatnonzero(cc > 1)
-            yield first + b, h[lo:hi].tobytes(), more.astype(np.uint32).tobytes(), cc[more].astype(np.uint32).tobytes()
+    def levels(self, h: np.ndarray) -> np.ndarray:
+        """The level of each hash: probes until a miss."""
+        out = np.zeros(h.size, np.uint8)
+        where, q = np.arange(h.size), 0
+        while where.size and q < 255:
+            where = where[self.has(h[where], q)]
+            q += 1
+            out[where] = q
+        return out
 
 
-def _learn(train: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, hashes, place, count): blocks of words (bucket < buckets) and bigrams (from buckets on)."""
-    kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary()]
-    names = ["bucket", "hashes", "place", "count"]
+def _packs(src: DataFrame) -> DataFrame:
+    """(pack, size, keys, ends, texts) of rows (k, b): texts side by side, compressed."""
+    kinds = pa.schema([("pack", pa.int64()), ("size", pa.int64()), ("keys", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("texts", pa.binary())])
 
     def run(batches):
-        gathered, pairs, size = [], [], 0
-
-        def send():
-            for kind, first in ((gathered, 0), (pairs, buckets)):
-                rows = list(_block(np.concatenate(kind), buckets, first)) if kind else []
-                kind.clear()
-                for lo in range(0, len(rows), 64):
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows[lo : lo + 64]), kinds)], names=names)
-
-        for batch in slices(batches, "b"):
-            h, _ = token_hashes([raw for k, raw in zip(batch.column("k").to_pylist(), batch.column("b").to_pylist()) if not held_out(k)])
-            if h.size:
-                gathered.append(h)
-                pairs.append(pair_hashes(np.concatenate([h[-1:], h[:-1]]), h))  # an end token stands before each text
-                size += h.size
-            if size >= FLUSH:
-                yield from send()
-                size = 0
-        yield from send()
+        number = TaskContext.get().partitionId() << 33
+        keys, texts, size = [], [], 0
+
+        def close():
+            whole = b"".join(texts)
+            return pa.RecordBatch.from_pylist([{"pack": number, "size": size, "keys": keys, "ends": np.cumsum([len(t) for t in texts]).tolist(), "texts": zstandard.compress(whole, 3)}], schema=kinds)
+
+        for batch in slices(batches, "b", PACK_BYTES):
+            for k, b in zip(batch.column("k").to_pylist(), batch.column("b").to_pylist()):
+                if texts and size + len(b) > PACK_BYTES:
+                    yield close()
+                    number, keys, texts, size = number + 1, [], [], 0
+                keys.append(k)
+                texts.append(b)
+                size += len(b)
+        if texts:
+            yield close()
+
+    return src.mapInArrow(run, "pack long, size long, keys array<long>, ends array<long>, texts binary")
 
-    def reduce(key, group):
-        bucket = key[0].as_py()
-        hs, cs = [], []
-        for h, at, n in zip(group.column("hashes").to_pylist(), group.column("place").to_pylist(), group.column("count").to_pylist()):
-            h = np.frombuffer(h, np.uint64)
-            c = np.ones(h.size, np.int64)
-            c[np.frombuffer(at, np.uint32)] = np.frombuffer(n, np.uint32)
-            hs.append(h)
-            cs.append(c)
-        h, c = np.concatenate(hs), np.concatenate(cs)
-        order = np.argsort(h, kind="stable")
-        h, c = h[order], c[order]
-        new = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-        h, c = h[new], np.add.reduceat(c, new)
-        if bucket < buckets:
-            row = (bucket, int(h.size), int(c.sum()), h.tobytes(), c.astype(np.int64).tobytes())
-        else:
-            h, c = h[c >= LEAST], c[c >= LEAST]
-            q = stored_levels(c)
-            segment = Filter(np.array([max(64, math.ceil(float(q.sum()) * BITS))]))
-            segment.insert(np.repeat(h, q), np.zeros(int(q.sum()), np.int64), np.arange(int(q.sum())) - np.repeat(np.cumsum(q) - q, q))
-            row = (bucket, int(segment.sizes[0]), int(h.size), segment.bits.tobytes(), b"")
-        return pa.table({"bucket": pa.array([row[0]], pa.int32()), "size": pa.array([row[1]], pa.int64()), "total": pa.array([row[2]], pa.int64()), "a": pa.array([row[3]], pa.binary()), "b": pa.array([row[4]], pa.binary())})
 
-    blocks = train.mapInArrow(run, "bucket int, hashes binary, place binary, count binary")
-    return blocks.groupBy("bucket").applyInArrow(reduce, "bucket int, size long, total long, a binary, b binary")
+def _texts(row: dict) -> list[bytes]:
+    whole = zstandard.decompress(row["texts"], max_output_size=max(1, row["size"])) if row["size"] else b""
+    return [whole[a:b] for a, b in zip([0, *row["ends"]], row["ends"])]
 
 
-def _frequent(counts: DataFrame, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and counts of the words with at least ``least`` tokens; at most HOT_WORDS of them."""
+def _rows(batches, columns: list[str]):
+    """Rows of Arrow batches as dictionaries, one at a time."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.select(columns).slice(i, 1).to_pylist()[0]
+
+
+def _distinct(h: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes, and how often each stands in ``h`` beyond ``other``, a part of it."""
+    u, c = np.unique(h, return_counts=True)
+    x, n = np.unique(other, return_counts=True)
+    c[np.searchsorted(u, x)] -= n
+    return u, c
+
+
+def _blocks(packs: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, pack, hashes, counts): a pack's distinct words (bucket < buckets) and bigrams (from buckets on)."""
+    kinds = pa.schema([("bucket", pa.int32()), ("pack", pa.int64()), ("hashes", pa.binary()), ("counts", pa.binary())])
 
     def run(batches):
-        for batch in batches:
-            hs, cs = [], []
-            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
-                h, c = np.frombuffer(a, np.uint64), np.frombuffer(b, np.int64)
-                hs.append(h[c >= least].tobytes())
-                cs.append(c[c >= least].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array([b"".join(hs)], pa.binary()), pa.array([b"".join(cs)], pa.binary())], names=["h", "c"])
+        for row in _rows(batches, ["pack", "size", "keys", "ends", "texts"]):
+            h, n = token_hashes(_texts(row))
+            unlearned = np.repeat(np.array([k is None or held_out(k) for k in row["keys"]]), n)
+            for first, values in ((0, h), (buckets, pair_hashes(h))):
+                u, c = _distinct(values, values[unlearned])
+                edges = np.searchsorted((u >> _U(32)) * _U(buckets) >> _U(32), np.arange(buckets + 1, dtype=np.uint64))
+                short = u if not first else u.view(np.uint8).reshape(-1, 8)[:, :_SHORT]
+                c = c.astype(np.uint32)
+                out = [{"bucket": first + b, "pack": row["pack"], "hashes": short[edges[b] : edges[b + 1]].tobytes(), "counts": c[edges[b] : edges[b + 1]].tobytes()} for b in np.flatnonzero(np.diff(edges)).tolist()]
+                yield pa.RecordBatch.from_pylist(out, schema=kinds)
 
-    rows = counts.select("a", "b").mapInArrow(run, "h binary, c binary").collect()
-    h = np.frombuffer(b"".join(bytes(r["h"]) for r in rows), np.uint64)
-    c = np.frombuffer(b"".join(bytes(r["c"]) for r in rows), np.int64)
-    order = np.argsort(h)
-    return h[order], c[order]
+    return packs.mapInArrow(run, "bucket int, pack long, hashes binary, counts binary")
 
 
-def lm_scores(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    sc = spark.sparkContext
-    src = docs.select(docs[key].alias("k"), utf8(docs[text]).alias("b"))
-    buckets = max(16, 4 * src._jdf.queryExecution().toRdd().getNumPartitions())
-    learned = stage(_learn(src, buckets), "counts")
-    counts = learned.filter(F.col("bucket") < buckets)
-    got = counts.agg(F.sum("size").alias("v"), F.sum("total").alias("n")).first()
-    kinds, total = int(got["v"] or 0), int(got["n"] or 0)
-    norm = total + 0.1 * (kinds + 1)
-    frequent = sc.broadcast(_frequent(counts, max(1.0, total / min(HOT_WORDS, CONTEXTS))))
-    least = max(LEAST, total / CONTEXTS)
-
-    sizes = sorted((r["bucket"], r["size"]) for r in learned.filter(F.col("bucket") >= buckets).select("bucket", "size").collect())
-    shards, room = [[]], 0
-    for b, bits in sizes:
-        if room and room + bits > 8 * SHARD_BYTES:
-            shards.append([])
-            room = 0
-        shards[-1].append(b)
-        room += bits
-    passes = []
-    for number, shard in enumerate(shards):
-        rows = learned.filter(F.col("bucket").between(shard[0], shard[-1]) if shard else F.lit(False)).select("bucket", "size", "a").collect()
-        filters = sc.broadcast({r["bucket"] - buckets: (r["size"], bytes(r["a"])) for r in rows})
-        del rows
-        passes.append(stage(_score_pass(src, frequent, filters, buckets, norm, least, number), "pass"))
-        filters.destroy()  # the pass is staged
-    return _combine(passes, counts, buckets, norm, least, total, key)
-
-
-def _dealt(buckets: int, h: np.ndarray, *more: np.ndarray):
-    """(bucket, bytes of the hashes, of the others) of each bucket that has any."""
-    at = (h >> _U(32)) * _U(buckets) >> _U(32)
-    order = np.argsort(at, kind="stable")
-    edges = np.searchsorted(at[order], np.arange(buckets + 1, dtype=np.uint64))
-    columns = [x[order] for x in (h, *more)]
-    for b in np.flatnonzero(np.diff(edges)).tolist():
-        yield b, *[x[edges[b] : edges[b + 1]].tobytes() for x in columns]
-
-
-def _found(known: np.ndarray, count: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """Counts of hashes by the sorted ``known`` ones; 0 for others."""
-    if not known.size:
-        return np.zeros(h.size, np.int64)
-    at = np.minimum(np.searchsorted(known, h), known.size - 1)
-    return np.where(known[at] == h, count[at], 0)
-
-
-def _score_pass(src: DataFrame, frequent, filters, buckets: int, norm: float, least: float, number: int) -> DataFrame:
-    """One shard's pass: a row a document (bucket -1), and blocks of what rarer words still need.
-
-    The first pass also gives the unigram part. Later passes add only what their bigrams change.
-    Blocks with ``words`` are of rarer contexts: seen bigrams by context, with the count of a frequent word
-    (seen > 0) or the hash of a rarer one (seen < 0); seen = 0 stands for all unseen bigrams of a context.
+def _answers(blocks: DataFrame, buckets: int) -> DataFrame:
+    """(pack, bucket, answer): counts of a pack's words, levels of its bigrams, in the order of its block.
+
+    Pack -1 has a word bucket's number of learned words in ``kinds`` and of tokens in ``total``.
     """
-    names = ["bucket", "uid", "k", "held_out", "n_tokens", "n_known", "base", "score", "hashes", "docs", "counts", "extra", "words"]
-    schema = "bucket int, uid long, k long, held_out boolean, n_tokens long, n_known long, base double, score double, hashes binary, docs binary, counts binary, extra binary, words binary"
-    types = [pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), *[pa.binary()] * 5]
-    first = number == 0
-    back = math.log10(1 - MIX)
+    kinds = pa.schema([("pack", pa.int64()), ("bucket", pa.int32()), ("answer", pa.binary()), ("kinds", pa.int64()), ("total", pa.int64())])
 
-    def run(batches):
-        hot, hot_count = frequent.value
-        size = np.zeros(buckets, np.int64)
-        for b, (bits, _) in filters.value.items():
-            size[b] = bits
-        held_bits = Filter(size, np.frombuffer(b"".join(filters.value[b][1] for b in sorted(filters.value)), np.uint8))
-        uid = TaskContext.get().partitionId() << 36
-        tails: tuple[list, list] = ([], [])
-        held = 0
-
-        def send():
-            nonlocal held
-            for tail in tails:
-                if tail:
-                    parts = [np.concatenate(x) for x in zip(*tail)]
-                    tail.clear()
-                    rows = [(b, *[None] * 7, *x, *[None] * (5 - len(x))) for b, *x in _dealt(buckets, *parts)]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
-            held = 0
-
-        def count_of(h):
-            distinct, same = np.unique(h, return_inverse=True)
-            return _found(hot, hot_count, distinct)[same]
-
-        for batch in slices(batches, "b", 4 << 20):
-            keys, raws = batch.column("k").to_pylist(), batch.column("b").to_pylist()
-            h, n = token_hashes(raws)
-            row = np.repeat(np.arange(n.size), n)
-            before = np.concatenate([h[-1:], h[:-1]])
-            # bigram levels of the distinct bigrams of the batch that this shard can hold
-            pairs = pair_hashes(before, h)
-            asked = np.flatnonzero(size[((pairs >> _U(32)) * _U(buckets) >> _U(32)).astype(np.int64)])
-            pair, back_to = np.unique(pairs[asked], return_inverse=True)
-            bucket = ((pair >> _U(32)) * _U(buckets) >> _U(32)).astype(np.int64)
-            reached, where, q = np.zeros(pair.size, np.int64), np.arange(pair.size), 1
-            while where.size:
-                where = where[held_bits.has(pair[where], bucket[where], q - 1)]
-                reached[where] = q
-                q += 1
-            level = np.zeros(h.size, np.int64)
-            level[asked] = reached[back_to]
-            if first:
-                c = count_of(h)
-                context = np.concatenate([c[-1:], c[:-1]])
+    def reduce(key, group):
+        bucket = key[0].as_py()
+        hs, packs = [], group.column("pack").to_pylist()
+        for raw in group.column("hashes").to_pylist():
+            if bucket < buckets:
+                hs.append(np.frombuffer(raw, np.uint64))
             else:
-                some = np.flatnonzero(level)
-                h, before, row, level = h[some], before[some], row[some], level[some]
-                c, context = np.split(count_of(np.concatenate([h, before])), 2)
-            is_hot, from_hot = c > 0, context > 0
-            usable = from_hot & (context >= least)
-            seen = stored_count(level)
-            extra = np.where(usable, MIX * np.minimum(seen, context) / np.maximum(context, 1), 0.0)
-            p0 = (c + 0.1) / norm
-            plain = np.log10(p0)
-            backed = plain + np.where(usable, back, 0.0)
-            full = np.where(extra > 0, np.log10(extra + (1 - MIX) * p0), backed)
-            gain = full if first else full - backed
-            score_sum = np.bincount(row, np.where(is_hot, gain, 0.0), n.size)
-            base_sum, known_sum = (np.bincount(row, np.where(is_hot, plain, 0.0), n.size), np.bincount(row, is_hot, n.size)) if first else (np.zeros(n.size), np.zeros(n.size))
-            ids = uid + np.arange(n.size)
-            uid += n.size
-            later = ~from_hot & (level > 0)  # scored once the context's count is joined
-            rare = np.flatnonzero(~is_hot & ~later) if first else np.flatnonzero(~is_hot & (extra > 0))
-            if rare.size:
-                # one entry a document, word and kind of use; tokens that a bigram helps stand alone
-                marked = np.where(extra[rare] > 0, extra[rare], np.where(usable[rare], 0.0, -1.0))
-                same = mix(h[rare] ^ mix(row[rare].astype(np.uint64) * _U(4) + (marked < 0))) ^ np.where(marked > 0, mix(np.arange(rare.size, dtype=np.uint64) + _U(1)), _U(0))
-                _, one, times = np.unique(same, return_index=True, return_counts=True)
-                tails[0].append((h[rare[one]], ids[row[rare[one]]].astype(np.int64), times.astype(np.uint32), marked[one].astype(np.float32)))
-                held += one.size
-            late = np.flatnonzero(later)
-            if late.size:
-                tails[1].append((before[late], ids[row[late]].astype(np.int64), np.ones(late.size, np.uint32), np.where(is_hot[late], seen[late], -seen[late]).astype(np.float32), np.where(is_hot[late], c[late].astype(np.uint64), h[late])))
-                held += late.size
-            late = np.flatnonzero(~from_hot & (level == 0)) if first else late[:0]
-            if late.size:
-                _, one, times = np.unique(mix(before[late] ^ mix(row[late].astype(np.uint64))), return_index=True, return_counts=True)
-                late = late[one]
-                tails[1].append((before[late], ids[row[late]].astype(np.int64), times.astype(np.uint32), np.zeros(late.size, np.float32), np.zeros(late.size, np.uint64)))
-                held += late.size
-            data = [np.full(n.size, -1, np.int32), ids, pa.array(keys, pa.int64()), pa.array([held_out(k) for k in keys]), n, known_sum.astype(np.int64), base_sum, score_sum]
-            blank = pa.nulls(n.size, pa.binary())
-            yield pa.RecordBatch.from_arrays([*[x if isinstance(x, pa.Array) else pa.array(x) for x in data], *[blank] * 5], schema=pa.schema(list(zip(names, types))))
-            if held > 500_000:
-                yield from send()
-        yield from send()
-
-    return src.mapInArrow(run, schema)
-
-
-def _combine(passes: list[DataFrame], counts: DataFrame, buckets: int, norm: float, least: float, total: int, key: str) -> DataFrame:
-    """Join the rarer contexts' counts by bucket, then the rarer words', and sum everything by document row."""
-    blocks, sums = None, None
-    for number, one in enumerate(passes):
-        b = one.filter("bucket >= 0").select("bucket", F.lit(number).alias("pass"), "hashes", "docs", "counts", "extra", "words")
-        s = one.filter("bucket < 0").select("uid", "k", "held_out", *[F.col(c) if number == 0 else F.lit(0).cast("long").alias(c) for c in ("n_tokens", "n_known")], "base" if number == 0 else F.lit(0.0).alias("base"), "score")
-        blocks = b if blocks is None else blocks.unionByName(b)
-        sums = s if sums is None else sums.unionByName(s)
-    back = 1 - MIX
-    block = [("bucket", pa.int32()), ("pass", pa.int32()), *[(x, pa.binary()) for x in ("hashes", "docs", "counts", "extra")]]
-
-    def table_of(right):
-        if not right.num_rows:
-            return np.empty(0, np.uint64), np.empty(0, np.int64)
-        return np.frombuffer(right.column("a")[0].as_py(), np.uint64), np.frombuffer(right.column("b")[0].as_py(), np.int64)
-
-    def entries(left):
-        for number, h, d, n, e in zip(*[left.column(x).to_pylist() for x in ("pass", "hashes", "docs", "counts", "extra")]):
-            yield number, np.frombuffer(h, np.uint64), np.frombuffer(d, np.int64), np.frombuffer(n, np.uint32).astype(np.int64), np.frombuffer(e, np.float32).astype(np.float64)
-
-    def contexts(key, left, right):
-        """Blocks of rarer words, as a pass makes them; what frequent words gain is a block of pass -1 with scores."""
-        if not left.num_rows:
-            return pa.schema(block).empty_table()
-        known = table_of(right)
-        rows, who, gains, words = [], [], [], {}
-        for (number, h, d, n, e), w in zip(entries(left), left.column("words").to_pylist()):
-            w = np.frombuffer(w, np.uint64)
-            c = _found(*known, h)
-            usable = c >= least
-            extra = np.where(usable, MIX * np.minimum(np.abs(e), c) / np.maximum(c, 1), -1.0)
-            hot = (e >= 0) & usable
-            p0 = (w[hot].astype(np.float64) + 0.1) / norm
-            unseen = p0 if number == 0 else back * p0
-            who.append(d[hot])
-            gains.append(n[hot] * np.log10((extra[hot] + back * p0) / unseen))
-            rarer = (e < 0) & (usable | (number == 0))
-            words.setdefault(number, []).append((w[rarer], d[rarer], n[rarer].astype(np.uint32), extra[rarer].astype(np.float32)))
-        for number, parts in words.items():
-            rows += [(b, number, *x) for b, *x in _dealt(buckets, *[np.concatenate(x) for x in zip(*parts)])]
-        who, where = np.unique(np.concatenate(who), return_inverse=True)
-        if who.size:
-            rows.append((key[0].as_py(), -1, b"", who.tobytes(), b"", np.bincount(where, np.concatenate(gains), who.size).tobytes()))
-        return pa.table([pa.array([r[i] for r in rows], t) for i, (_, t) in enumerate(block)], schema=pa.schema(block))
-
-    def rare(key, left, right):
-        empty = pa.table({"uid": pa.array([], pa.int64()), "n_known": pa.array([], pa.int64()), "base": pa.array([], pa.float64()), "score": pa.array([], pa.float64())})
+                wide = np.zeros((len(raw) // _SHORT, 8), np.uint8)
+                wide[:, :_SHORT] = np.frombuffer(raw, np.uint8).reshape(-1, _SHORT)
+                hs.append(wide.view(np.uint64)[:, 0])
+        counts = np.concatenate([np.frombuffer(x, np.uint32) for x in group.column("counts").to_pylist()])
+        h, where = np.unique(np.concatenate(hs), return_inverse=True)
+        c = np.bincount(where, counts, h.size).astype(np.int64)
+        if bucket < buckets:
+            value, rows = c, [{"pack": -1, "bucket": bucket, "kinds": int((c > 0).sum()), "total": int(c.sum())}]
+        else:
+            segment = Filter(int(levels_of(c).sum()))
+            segment.insert_counts(h[c > 0], c[c > 0])
+            value, rows = segment.levels(h), []
+        ends = np.cumsum([x.size for x in hs]).tolist()
+        rows += [{"pack": p, "bucket": bucket, "answer": value[where[a:b]].tobytes()} for p, a, b in zip(packs, [0, *ends], ends)]
+        return pa.Table.from_pylist(rows, schema=kinds)
+
+    return blocks.groupBy("bucket").applyInArrow(reduce, "pack long, bucket int, answer binary, kinds long, total long")
+
+
+def lm_scores(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    packs = stage(_packs(docs.select(docs[key].cast("long").alias("k"), utf8(docs[text]).alias("b"))), "packs")
+    size = packs.agg(F.sum("size")).first()[0] or 0
+    buckets = max(LEAST_BUCKETS, math.ceil(size / BUCKET_BYTES))
+    answers = stage(_answers(_blocks(packs, buckets), buckets), "answers")
+    got = answers.filter("pack < 0").agg(F.sum("kinds").alias("v"), F.sum("total").alias("n")).first()
+    total = int(got["n"] or 0)
+    norm = total + 0.1 * (int(got["v"] or 0) + 1)
+    kinds = pa.schema([(key, pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+
+    def score(left, right):
         if not left.num_rows:
-            return empty
-        known = table_of(right)
-        got = []
-        for d, e in ((r["docs"], r["extra"]) for r in left.select(["pass", "docs", "extra"]).to_pylist() if r["pass"] < 0):
-            d = np.frombuffer(d, np.int64)
-            got.append((d, np.zeros(d.size, np.int64), np.zeros(d.size), np.frombuffer(e, np.float64)))
-        for number, h, d, n, e in entries(left.filter(pc.greater_equal(left.column("pass"), 0))):
-            c = _found(*known, h)
-            p0 = (c + 0.1) / norm
-            first = number == 0
-            full = np.log10(np.where(e < 0, p0, np.maximum(e, 0) + back * p0))
-            score = n * (full if first else full - np.log10(back * p0))
-            who, where = np.unique(d, return_inverse=True)
-            add = lambda x, who=who, where=where: np.bincount(where, x, who.size)
-            got.append((who, add(n * (c > 0) * first).astype(np.int64), add(n * np.log10(p0) * first), add(score)))
-        return pa.table(dict(zip(("uid", "n_known", "base", "score"), (np.concatenate(x) for x in zip(*got)))))
-
-    by_bucket = counts.groupBy("bucket")
-    joined = blocks.filter("words is not null").groupBy("bucket").cogroup(by_bucket).applyInArrow(contexts, "bucket int, pass int, hashes binary, docs binary, counts binary, extra binary")
-    every = blocks.filter("words is null").drop("words").unionByName(joined)
-    extra = every.groupBy("bucket").cogroup(by_bucket).applyInArrow(rare, "uid long, n_known long, base double, score double")
-    tail = extra.groupBy("uid").agg(F.sum("n_known").alias("tk"), F.sum("base").alias("tb"), F.sum("score").alias("ts"))
-    if len(passes) > 1:
-        sums = sums.groupBy("uid").agg(F.first("k").alias("k"), F.first("held_out").alias("held_out"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "score")])
-    plus = lambda a, b: F.col(a) + F.coalesce(b, F.lit(0))
-    return sums.join(tail, "uid", "left").select(
-        F.col("k").alias(key), "held_out", "n_tokens", plus("n_known", "tk").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), plus("base", "tb").alias("base_score"), plus("score", "ts").alias("score")
-    )
+            return kinds.empty_table()
+        row = left.select(["size", "keys", "ends", "texts"]).to_pylist()[0]
+        h, n = token_hashes(_texts(row))
+        found = sorted(zip(right.column("bucket").to_pylist(), right.column("answer").to_pylist()))
+
+        def spread(values, answers, kind):
+            return np.frombuffer(b"".join(answers), kind)[np.unique(values, return_inverse=True)[1]]
+
+        c = spread(h, [a for b, a in found if b < buckets], np.int64)
+        seen = count_of(spread(pair_hashes(h), [a for b, a in found if b >= buckets], np.uint8).astype(np.int64))
+        context = np.concatenate([c[-1:], c[:-1]])
+        p0 = (c + 0.1) / norm
+        usable = context > 0
+        p = np.where(usable, MIX * np.minimum(seen, context) / np.maximum(context, 1) + (1 - MIX) * p0, p0)
+        first = np.cumsum(n) - n
+        add = lambda x: np.add.reduceat(x, first)
+        data = [row["keys"], [held_out(k) for k in row["keys"]], n, add((c > 0).astype(np.int64)), np.full(n.size, total), add(np.log10(p0)), add(np.log10(p))]
+        return pa.table([pa.array(x, f.type) for x, f in zip(data, kinds)], schema=kinds)
+
+    both = packs.groupBy("pack").cogroup(answers.filter("pack >= 0").select("pack", "bucket", "answer").groupBy("pack"))
+    return both.applyInArrow(score, f"`{key}` long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
