@@ -2,27 +2,32 @@
 
 Texts are compared as their ASCII letters and digits in lower case plus all non-ASCII bytes, so case,
 spaces and punctuation do not count. A document is contaminated by an item of n such bytes if some
-stretch of it is within ``max_edits(n)`` edits (10 %) of the item.
+stretch of it is within ``max_edits(n)`` edits (a tenth of n, rounded down) of the item.
 
-1. Item-sized windows. An intact run of ``Q`` bytes is left in any stretch within that many edits, and by
-   the q-gram lemma at least n + 1 - Q * (k + 1) of them on neighbouring diagonals; windows are laid where
-   so many common q-grams lie, and nowhere else. This loses nothing.
+1. Item-sized windows. Items fall into classes of like length. A stretch within k edits holds one of the item's
+   k + 1 equal pieces unchanged, so windows of a class are laid where such a piece stands, at the distance that
+   the piece has from its item's start. This loses nothing; it says where a window lies, not whose it is. With
+   ``sieve=False`` every offset gets a window of every class instead.
 2. CGK. Each window and item walks through ``WALKS`` random walks that copy a byte and step on or stay by
-   a shared random bit; edit distance becomes Hamming distance between walks of 3n steps.
-3. Bit sampling. ``REPEATS`` tables per walk hash ``SAMPLED`` steps each; a window meets the items of its
-   buckets. ``recall`` gives the expected share found for a Hamming distance.
-4. Each pair that met is verified by exact edit distance with free ends.
+   a shared random bit; edit distance becomes Hamming distance between walks.
+3. Bit sampling. ``TABLES`` tables a walk hash ``SAMPLED`` steps each (fewer of short walks), from the first quarter, the first half or
+   all of the walk; a window meets the items of its class that are in its buckets, and no others. The tests
+   measure the share of pairs at the bound that meet: 0.95 or more.
+4. Each pair that met is verified: its stretch must have as many of the item's runs of ``_GAP`` bytes as k edits
+   leave at least (n + 1 - 8 * (k + 1)), and then be within k edits by exact distance with free ends.
 
 Rows are independent: no shuffle. Items are broadcast in blocks of at most ``BLOCK_BYTES``; a larger
 benchmark takes more passes over the documents, never a larger broadcast.
 
-Defined results: null or empty texts and items match nothing, nor do items of fewer than ``Q`` bytes;
-equal items all report; a document repeated reports for each row's id once; other columns are ignored.
+Defined results: null or empty texts and items match nothing, nor do items of fewer than ``LEAST`` bytes, which
+any text holds by chance; equal items all report; each row of a repeated document reports; of several stretches
+the one of fewest edits counts, then the first; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -32,14 +37,15 @@ from pyspark.sql import functions as F
 
 from .common import slices, utf8
 
-Q = 8
+LEAST = 8
 RATIO = 0.10
-WALKS, REPEATS, SAMPLED = 4, 48, 4
-#: Diagonals, those with most common q-grams, that windows are laid on for each item length of a stretch.
-LANES = 3
+#: Lengths of a class: from a bound up to ``GROWTH`` times that.
+GROWTH = 1.25
+WALKS, TABLES, SAMPLED = 6, 40, 5
 BLOCK_BYTES = 4 << 20
-#: Common q-grams looked at together; a bound on memory, not on what is looked at.
-CHUNK = 1 << 20
+#: Windows, and places of pieces, looked at together; bounds on memory, not on what is looked at.
+CHUNK, SPREAD_CHUNK = 1 << 13, 1 << 20
+_GAP = 8  # bytes between texts in a buffer, and of the runs that a check counts
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _DROP = bytes(b for b in range(128) if not chr(b).isalnum())
@@ -51,13 +57,17 @@ def squeeze(text: bytes) -> bytes:
 
 
 def max_edits(n: int) -> int:
-    """Edits that an item of n bytes may be away; at most n / Q - 1, so that a q-gram stays whole."""
-    return max(0, min(int(n * RATIO), n // Q - 1))
+    """Edits that an item of n bytes may be away."""
+    return int(n * RATIO + 1e-9)
 
 
-def recall(differing: float, sampled: int = SAMPLED, tables: int = WALKS * REPEATS) -> float:
-    """Expected share of pairs that meet, for a share of differing steps."""
-    return 1 - (1 - (1 - differing) ** sampled) ** tables
+def class_of(n: int) -> int:
+    return int(math.log(n / LEAST) / math.log(GROWTH) + 1e-9)
+
+
+def class_size(c: int) -> int:
+    """The least length of a class."""
+    return math.ceil(LEAST * GROWTH**c - 1e-9)
 
 
 def edit_distance(item: bytes, text: bytes) -> tuple[int, int]:
@@ -86,156 +96,178 @@ def edit_distance(item: bytes, text: bytes) -> tuple[int, int]:
     return best, end
 
 
-def cgk(rows: np.ndarray, lengths: np.ndarray, steps: int, walk: int) -> np.ndarray:
-    """Random walks of ``steps`` steps through byte rows (padded by 0 beyond their lengths), side by side."""
-    coins = np.random.default_rng([7, walk]).integers(0, 2, (steps, 256), dtype=np.int8)
-    at = np.zeros(len(rows), np.int64)
-    wide = np.concatenate([rows, np.zeros((len(rows), 1), np.uint8)], axis=1)
-    every = np.arange(len(rows))
-    out = np.zeros((len(rows), steps), np.uint8)
+def coins(steps: int, walk: int) -> np.ndarray:
+    """The shared random bits: for each step and byte, whether the walk goes on."""
+    return np.random.default_rng([7, walk]).integers(0, 2, (steps, 256), dtype=np.int8)
+
+
+def cgk(buffer: np.ndarray, start: np.ndarray, steps: int, walk: int) -> np.ndarray:
+    """Walks (step, window) from places of a buffer, side by side; its last byte goes on for ever."""
+    go = coins(steps, walk)
+    at = start.astype(np.int64)
+    out = np.empty((steps, start.size), np.uint8)
     for j in range(steps):
-        c = wide[every, np.minimum(at, lengths)]
-        out[:, j] = c
-        at += coins[j, c]
+        c = buffer.take(at, mode="clip", out=out[j])
+        at += go[j].take(c)
     return out
 
 
-def qgrams(b: np.ndarray) -> np.ndarray:
-    """The 64-bit values of all runs of 8 bytes."""
-    if b.size < Q:
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def grams(b: np.ndarray, q: int) -> np.ndarray:
+    """A value for each run of q bytes, 9 at most: the bytes themselves, of 9 a hash."""
+    if b.size < q:
         return np.empty(0, np.uint64)
-    v = np.zeros(b.size - Q + 1, np.uint64)
-    for k in range(Q):
-        v |= b[k : b.size - Q + 1 + k].astype(np.uint64) << np.uint64(8 * k)
-    return v
+    v = np.zeros(b.size - q + 1, np.uint64)
+    for k in range(min(q, 8)):
+        v |= b[k : b.size - q + 1 + k].astype(np.uint64) << np.uint64(8 * k)
+    return v if q < 9 else longer(v, b)
 
 
-_SPREAD = np.uint64(0x9E3779B97F4A7C15)
+def longer(v: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The values of runs of 9 bytes from those of 8."""
+    n = max(0, b.size - 8)
+    return v[:n] * _SPREAD + b[8 : 8 + n]
 
 
-def _runs(x: np.ndarray, gap: int) -> list[tuple[int, int]]:
-    """(first, last) of stretches of sorted numbers without gaps over ``gap``."""
-    cut = np.flatnonzero(np.diff(x) > gap)
-    return list(zip(x[np.append(0, cut + 1)].tolist(), x[np.append(cut, x.size - 1)].tolist()))
+class Known:
+    """Sorted distinct numbers with a bitmap before them."""
+
+    def __init__(self, values: np.ndarray):
+        self.values = values
+        self.shift = np.uint64(64 - min(26, max(16, int(values.size * 64 + 1).bit_length())))
+        self.bits = np.zeros(1 << (64 - int(self.shift)), bool)
+        self.bits[(values * _SPREAD) >> self.shift] = True
+
+    def find(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places in v of known numbers, their numbers here)."""
+        at = np.flatnonzero(self.bits[(v * _SPREAD) >> self.shift])
+        i = np.minimum(np.searchsorted(self.values, v[at]), max(0, self.values.size - 1))
+        ok = self.values[i] == v[at] if self.values.size else np.zeros(at.size, bool)
+        return at[ok], i[ok]
+
+
+class Pieces:
+    """Unchanged pieces of q bytes: in which classes, and how far from the start, items have them."""
+
+    def __init__(self, q: int, rows: list[tuple[int, int, int]]):
+        value, cls, offset = zip(*sorted(set(rows)))
+        self.q, self.cls, self.offset = q, np.array(cls, np.int64), np.array(offset, np.int64)
+        names, first = np.unique(np.array(value, np.uint64), return_index=True)
+        self.known, self.first = Known(names), np.append(first, len(value))
+
+    def windows(self, buffer: np.ndarray, runs: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(class, place, start) of the windows that pieces in the buffer ask for; ``runs`` are its 8-byte values."""
+        at, value = self.known.find(runs if self.q == 8 else longer(runs, buffer) if self.q == 9 else grams(buffer, self.q))
+        many = int(np.diff(self.first).max())
+        for lo in range(0, at.size, max(1, SPREAD_CHUNK // many)):
+            hi = lo + max(1, SPREAD_CHUNK // many)
+            n = self.first[value[lo:hi] + 1] - self.first[value[lo:hi]]
+            slot = np.repeat(self.first[value[lo:hi]] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+            place = np.repeat(at[lo:hi], n)
+            yield self.cls[slot], place, place - self.offset[slot]
 
 
 class Items:
-    """One block of items: q-gram index, walks and buckets."""
+    """One block of items: pieces, walks and buckets."""
 
     def __init__(self, rows: list[tuple[int, bytes]]):
-        rows = [(i, t) for i, t in ((i, squeeze(t or b"")) for i, t in rows) if len(t) >= Q]
+        rows = [(i, t) for i, t in ((i, squeeze(t or b"")) for i, t in rows) if len(t) >= LEAST]
         self.ids, self.texts = [i for i, _ in rows], [t for _, t in rows]
-        grams = [qgrams(np.frombuffer(t, np.uint8)) for t in self.texts]
-        value = np.concatenate(grams) if grams else np.empty(0, np.uint64)
-        item = np.repeat(np.arange(len(grams)), [g.size for g in grams])
-        place = np.concatenate([np.arange(g.size) for g in grams]) if grams else item
-        order = np.argsort(value, kind="stable")
-        self.item, self.place = item[order].astype(np.int32), place[order].astype(np.int32)
-        self.values, first = np.unique(value[order], return_index=True)
-        self.first = np.append(first, value.size)
-        self.bits = np.zeros(1 << 22, bool)
-        self.bits[(self.values * _SPREAD) >> np.uint64(42)] = True
-        self.need = np.array([max(1, len(t) + 1 - Q * (max_edits(len(t)) + 1)) for t in self.texts], np.int64)
-        self.sizes = np.array([len(t) for t in self.texts], np.int64)
-        self.edits = np.array([max_edits(len(t)) for t in self.texts], np.int64)
-        self.steps = 3 * int(self.sizes.max(initial=1))
-        rng = np.random.default_rng(11)
-        #: Steps are sampled as shares of an item's own walk, so that short items are not sampled in padding.
-        self.shares = rng.random((WALKS, REPEATS, SAMPLED))
-        self.keys = self._keys(self.texts, np.arange(len(self.texts)))
-
-    def _keys(self, texts: list[bytes], item: np.ndarray) -> np.ndarray:
-        """Bucket keys (row, walk * repeat) of windows laid for items; the key holds the item's length class."""
-        if not texts:
-            return np.empty((0, WALKS * REPEATS), np.uint64)
-        lengths = np.array([len(t) for t in texts], np.int64)
-        rows = np.zeros((len(texts), int(lengths.max())), np.uint8)
-        for i, t in enumerate(texts):
-            rows[i, : len(t)] = np.frombuffer(t, np.uint8)
-        out = np.empty((len(texts), WALKS * REPEATS), np.uint64)
+        self.sizes = [len(t) for t in self.texts]
+        self.edits = [max_edits(n) for n in self.sizes]
+        self.runs = [np.unique(grams(np.frombuffer(t, np.uint8), _GAP)) for t in self.texts]
+        self.left = [n + 1 - _GAP * (k + 1) for n, k in zip(self.sizes, self.edits)]
+        of = np.array([class_of(n) for n in self.sizes], np.int64)
+        self.classes = np.unique(of).tolist()
+        pieces: dict[int, list[tuple[int, int, int]]] = {}
+        for t, k, c in zip(self.texts, self.edits, of.tolist()):
+            q = min(9, len(t) // (k + 1))
+            for i in range(k + 1):
+                at = i * len(t) // (k + 1)
+                pieces.setdefault(q, []).append((int(grams(np.frombuffer(t[at : at + q], np.uint8), q)[0]), c, at))
+        self.pieces = [Pieces(q, x) for q, x in sorted(pieces.items())]
+        self.buckets: dict[int, tuple[Known, np.ndarray, np.ndarray]] = {}
+        for c in self.classes:
+            own = np.flatnonzero(of == c)
+            buffer, starts = joined([self.texts[i] for i in own])
+            keys = np.concatenate([k.astype(np.uint64) | np.uint64(t << 32) for t, k in self.keys(buffer, starts, c)])
+            item = np.tile(own, WALKS * TABLES)
+            order = np.argsort(keys, kind="stable")
+            values, first = np.unique(keys[order], return_index=True)
+            self.buckets[c] = Known(values), np.append(first, keys.size), item[order]
+
+    def keys(self, buffer: np.ndarray, starts: np.ndarray, c: int) -> Iterator[tuple[int, np.ndarray]]:
+        """(table, bucket of each window) of windows of a class; steps reach about 3/4 of the least item."""
+        steps = int(1.5 * class_size(c))
+        sampled = min(SAMPLED, steps // 8 + 1)  # of few steps, an edit changes a larger share
+        rng = np.random.default_rng([11, c])
         for w in range(WALKS):
-            walked = cgk(rows, lengths, self.steps, w)
-            for r in range(REPEATS):
-                # half of 3n steps are moves: the walk passes the text's end after about 2n
-                at = (self.shares[w, r][None, :] * (1.9 * self.sizes[item])[:, None]).astype(np.int64)
-                got = walked[np.arange(len(texts))[:, None], at].astype(np.uint64)
-                key = np.zeros(len(texts), np.uint64)
-                for s in range(SAMPLED):
-                    key |= got[:, s] << np.uint64(8 * s)
-                out[:, w * REPEATS + r] = key
-        return out
-
-    def hits(self, buffer: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places in the buffer whose q-gram is an item's, and the index of its value."""
-        v = qgrams(buffer)
-        at = np.flatnonzero(self.bits[(v * _SPREAD) >> np.uint64(42)])
-        v = v[at]
-        i = np.minimum(np.searchsorted(self.values, v), max(0, self.values.size - 1))
-        ok = self.values[i] == v if self.values.size else np.zeros(at.size, bool)
-        return at[ok], i[ok]
-
-    def windows(self, at: np.ndarray, value: np.ndarray) -> list[tuple[int, int]]:
-        """(item, start) of windows in one document where enough q-grams agree."""
-        count = self.first[value + 1] - self.first[value]
-        found: dict[int, list[int]] = {}
-        total = int(count.sum())
-        items, diags = [], []
-        for lo in range(0, at.size, max(1, CHUNK // max(1, int(count.max(initial=1))))):
-            hi = lo + max(1, CHUNK // max(1, int(count.max(initial=1))))
-            c, p, v = count[lo:hi], at[lo:hi], value[lo:hi]
-            run = np.arange(int(c.sum())) - np.repeat(np.cumsum(c) - c, c)
-            slot = np.repeat(self.first[v], c) + run
-            it, d = self.item[slot], np.repeat(p, c) - self.place[slot]
-            items.append(it.astype(np.int32))
-            diags.append(d.astype(np.int64))
-        it, d = np.concatenate(items), np.concatenate(diags)
-        enough = np.bincount(it, minlength=len(self.texts)) >= self.need
-        keep = enough[it]
-        it, d = it[keep], d[keep]
-        order = np.lexsort((d, it))
-        it, d = it[order], d[order]
-        for i in np.unique(it):
-            own = d[it == i]
-            need, k, n = int(self.need[i]), max(1, int(self.edits[i])), int(self.sizes[i])
-            dense = own[np.flatnonzero(own[need - 1 :] - own[: own.size - need + 1] <= 2 * k)]
-            if not dense.size:
-                continue
-            for low, high in _runs(dense, 2 * k):
-                lane, times = np.unique(own[np.searchsorted(own, low) : np.searchsorted(own, high + 2 * k, "right")], return_counts=True)
-                best = np.sort(lane[np.argsort(-times, kind="stable")[: LANES * max(1, -(-(int(high) - int(low)) // max(n, 1)))]])
-                found.setdefault(int(i), []).extend(best.tolist())
-        return [(i, s) for i, starts in found.items() for s in starts] if total else []
-
-
-def _match(items: Items, texts: list[bytes]) -> list[tuple[int, int, int, int, int]]:
+            walked = cgk(buffer, starts, steps, w)
+            for r in range(TABLES):
+                reach = max(sampled, steps >> (2, 1, 0)[r % 3])
+                key = np.full(starts.size, rng.integers(0, 1 << 32, dtype=np.uint32), np.uint32)
+                for s in rng.choice(reach, sampled, replace=False).tolist():
+                    key = (key ^ walked[s]) * np.uint32(0x9E3779B1)
+                    key ^= key >> np.uint32(15)
+                yield w * TABLES + r, key
+
+    def windows(self, buffer: np.ndarray, runs: np.ndarray, begins: np.ndarray, ends: np.ndarray, sieve: bool) -> dict[int, np.ndarray]:
+        """The starts of each class's windows in a buffer of texts."""
+        if not sieve:
+            every = np.concatenate([np.arange(a, b) for a, b in zip(begins, ends)]) if begins.size else begins
+            return {c: every for c in self.classes}
+        found: dict[int, list[np.ndarray]] = {}
+        for piece in self.pieces:
+            for cls, place, start in piece.windows(buffer, runs):
+                text = np.searchsorted(begins, place, side="right") - 1
+                start = np.maximum(start, begins[text])
+                for c in np.unique(cls).tolist():
+                    found.setdefault(c, []).append(np.unique(start[cls == c]))
+        return {c: np.unique(np.concatenate(x)) for c, x in found.items()}
+
+    def meetings(self, buffer: np.ndarray, starts: np.ndarray, c: int) -> np.ndarray:
+        """Distinct (start, item) rows that share a bucket."""
+        known, first, item = self.buckets[c]
+        out = [np.empty((0, 2), np.int64)]
+        for lo in range(0, starts.size, CHUNK):
+            some = starts[lo : lo + CHUNK]
+            for table, key in self.keys(buffer, some, c):
+                at, i = known.find(key.astype(np.uint64) | np.uint64(table << 32))
+                if at.size:
+                    n = first[i + 1] - first[i]
+                    slot = np.repeat(first[i] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+                    out.append(np.stack([np.repeat(some[at], n), item[slot]], axis=1))
+        return np.unique(np.concatenate(out), axis=0)
+
+
+def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(texts side by side with a gap after each, where each begins)."""
+    begins = np.cumsum([0] + [len(t) + _GAP for t in texts])[:-1]
+    return np.frombuffer(b"".join(t + b"\0" * _GAP for t in texts), np.uint8), begins
+
+
+def _match(items: Items, texts: list[bytes], sieve: bool = True) -> list[tuple[int, int, int, int, int]]:
     """(row, item, edits, start, end) of the best verified window of each (row, item)."""
     squeezed = [squeeze(t) for t in texts]
-    starts = np.cumsum([0] + [len(t) + Q for t in squeezed])
-    buffer = np.frombuffer((b"\0" * Q).join(squeezed) + b"\0" * Q, np.uint8) if squeezed else np.empty(0, np.uint8)
-    at, value = items.hits(buffer)
-    if not at.size:
-        return []
-    row = np.searchsorted(starts, at, side="right") - 1
-    laid: list[tuple[int, int, int]] = []
-    edges = np.flatnonzero(np.diff(row)) + 1
-    least = int(items.need.min())
-    for part in np.split(np.arange(at.size), edges):
-        if part.size >= 1 and (part.size >= least or least <= 1):
-            r = int(row[part[0]])
-            laid += [(r, i, s) for i, s in items.windows(at[part] - starts[r], value[part])]
+    buffer, begins = joined(squeezed)
+    runs = grams(buffer, _GAP)
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
-    for lo in range(0, len(laid), 4096):
-        some = laid[lo : lo + 4096]
-        item = np.array([i for _, i, _ in some])
-        cut = [squeezed[r][max(0, s) : max(0, s) + int(items.sizes[i])] for r, i, s in some]
-        met = (items._keys(cut, item) == items.keys[item]).any(axis=1)
-        for (r, i, s), ok in zip(some, met.tolist()):
-            if ok:
-                n, k = int(items.sizes[i]), int(items.edits[i])
-                a = max(0, s - 2 * k)
-                d, end = edit_distance(items.texts[i], squeezed[r][a : s + n + 3 * k])
-                if d <= k and ((r, i) not in best or d < best[r, i][0]):
-                    best[r, i] = (d, a + max(0, end - n), a + end)
+    for c, starts in items.windows(buffer, runs, begins, begins + [len(t) for t in squeezed], sieve).items():
+        met = items.meetings(buffer, starts, c)
+        rows = np.searchsorted(begins, met[:, 0], side="right") - 1
+        for r, s, i in zip(rows.tolist(), (met[:, 0] - begins[rows]).tolist(), met[:, 1].tolist()):
+            n, k = items.sizes[i], items.edits[i]
+            a = max(0, s - 2 * k)
+            if items.left[i] > 0:
+                own, has = items.runs[i], runs[begins[r] + a : begins[r] + s + n + 3 * k]
+                if np.count_nonzero(own[np.minimum(np.searchsorted(own, has), own.size - 1)] == has) < items.left[i]:
+                    continue
+            d, end = edit_distance(items.texts[i], squeezed[r][a : s + n + 3 * k])
+            if d <= k:
+                found = d, a + max(0, end - n), a + end
+                best[r, i] = min(best.get((r, i), found), found)
     return [(r, i, *v) for (r, i), v in sorted(best.items())]
 
 
@@ -261,7 +293,7 @@ def _items(shipped) -> Items:
     return _MADE[key][1]
 
 
-def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", sieve: bool = True) -> DataFrame:
     """doc_id, item_id, edits, start, end (in squeezed bytes): one row a document and item found in it."""
     names = ["doc_id", "item_id", "edits", "start", "end"]
     kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
@@ -272,7 +304,7 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id
             own = _items(shipped)
             for batch in slices(batches, "b", 4 << 20):
                 ids = batch.column("doc_id").to_pylist()
-                found = _match(own, batch.column("b").to_pylist()) if own.texts else []
+                found = _match(own, batch.column("b").to_pylist(), sieve) if own.texts else []
                 if found:
                     rows = [(ids[r], own.ids[i], d, s, e) for r, i, d, s, e in found]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)

@@ -50,8 +50,8 @@ def test_edit_distance_against_the_table():
 
 def test_squeeze_and_bounds():
     assert d.squeeze("A b-C.\n9é!".encode()) == "abc9é".encode()
-    assert d.max_edits(7) == 0 and d.max_edits(200) == 20 and d.max_edits(16) == 1
-    assert d.recall(0.0) == 1 and d.recall(1.0) == 0
+    assert [d.max_edits(n) for n in (7, 9, 10, 16, 20, 29, 30, 200)] == [0, 0, 1, 1, 2, 2, 3, 20]
+    assert all(d.class_size(d.class_of(n)) <= n < d.class_size(d.class_of(n) + 1) for n in range(8, 3000))
 
 
 def test_cgk_maps_equal_strings_alike_and_keeps_near_ones_near():
@@ -59,18 +59,48 @@ def test_cgk_maps_equal_strings_alike_and_keeps_near_ones_near():
     a = d.squeeze(text(rng, 40).encode())
     b = edited(rng, a.decode(), 4).encode()
     c = d.squeeze(text(rng, 40).encode())
-    n = max(map(len, (a, b, c)))
-    rows = np.array([np.frombuffer(x.ljust(n, b"\0"), np.uint8) for x in (a, a, b, c)])
-    size = np.array([len(x) for x in (a, a, b, c)])
+    buffer, starts = d.joined([a, a, b, c])
     near, far = [], []
     for w in range(4):
-        v = d.cgk(rows, size, 2 * n, w)
-        assert (v[0] == v[1]).all()
-        near.append((v[0] != v[2]).mean())
-        far.append((v[0] != v[3]).mean())
+        v = d.cgk(buffer, starts, len(a), w)
+        assert (v[:, 0] == v[:, 1]).all()
+        near.append((v[:, 0] != v[:, 2]).mean())
+        far.append((v[:, 0] != v[:, 3]).mean())
     assert min(near) < 0.5 < min(far)
 
 
+@pytest.mark.parametrize("sieve", [True, False])
+def test_recall_at_the_bound(sieve):
+    """Copies with as many edits as the bound allows, with and without the sieve of windows: what the buckets find."""
+    rng = random.Random(11)
+    items = [(i, text(rng, rng.randint(10, 50)).encode()) for i in range(30)]
+    own = d.Items(items)
+    docs, want = [], set()
+    for k in range(240 if sieve else 60):
+        i = rng.randrange(len(items))
+        leak = edited(rng, own.texts[i].decode(), own.edits[i])
+        docs.append(f"{text(rng, 25)} {leak} {text(rng, 25)}".encode())
+        want.add((k, i))
+    met = set()
+    buffer, begins = d.joined([d.squeeze(t) for t in docs])
+    ends = begins + [len(d.squeeze(t)) for t in docs]
+    for c, starts in own.windows(buffer, d.grams(buffer, 8), begins, ends, sieve).items():
+        got = own.meetings(buffer, starts, c)
+        met |= set(zip((np.searchsorted(begins, got[:, 0], side="right") - 1).tolist(), got[:, 1].tolist()))
+    found = {(r, i) for r, i, *_ in d._match(own, docs, sieve)}
+    assert len(want & found) >= 0.95 * len(want) and found <= met
+
+
+def test_short_items_have_the_same_bound(spark):
+    rng = random.Random(6)
+    for n in (8, 9, 10, 12, 15, 20, 23, 30, 31):
+        items = [(i, d.squeeze(text(rng, 14).encode())[:n]) for i in range(40)]
+        own = d.Items(items)
+        docs = [("zz " + edited(rng, t.decode(), d.max_edits(n)) + " zz").encode() for _, t in items]
+        found = {(r, own.ids[i]) for r, i, *_ in d._match(own, docs)}
+        assert sum((i, i) in found for i in range(40)) >= 36, n
+
+
 def test_pairs_against_brute_force(spark):
     rng = random.Random(7)
     items = [(i, text(rng, rng.randint(12, 45))) for i in range(12)]
@@ -118,6 +148,13 @@ def test_edges(spark):
 
 
 @pytest.mark.parametrize("n", [0, 1, 7, 8, 9])
-def test_qgrams(n):
+def test_grams(n):
     b = np.frombuffer(bytes(range(n)), np.uint8)
-    assert d.qgrams(b).size == max(0, n - 7)
+    assert d.grams(b, 8).size == max(0, n - 7) and d.grams(b, 5).size == max(0, n - 4)
+
+
+def test_first_of_the_nearest_stretches():
+    own = d.Items([(1, b"thequickbrownfoxjumpsoverthelazydog")])
+    t = "the quick brown fox jumps over the lazy dog"
+    (hit,) = d._match(own, [f"{t.replace('fox', 'fax')} and {t} or {t}".encode()])
+    assert hit == (0, 0, 0, 38, 73)
