@@ -26,7 +26,8 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.judge_captures(url_filter.captures_of(table(spark, sf_dir, "pages")), url_filter.entries_table(spark))
+    pages = table(spark, sf_dir, "pages")
+    return url_filter.judge_captures(url_filter.captures_of(pages), url_filter.entries_table(spark, pages))
 
 
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -50,8 +50,9 @@ def test_edges(spark):
 
 def test_plan_is_native(spark, tmp_path):
     spark.createDataFrame([(1, "http://bad.org", "h")], "page_id long, url string, html string").write.parquet(str(tmp_path / "p"))
-    caps = u.captures_of(spark.read.parquet(str(tmp_path / "p")))
-    plan = u.judge_captures(caps, u.entries_table(spark))._jdf.queryExecution().executedPlan().toString()
+    pages = spark.read.parquet(str(tmp_path / "p"))
+    caps = u.captures_of(pages)
+    plan = u.judge_captures(caps, u.entries_table(spark, pages))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "html" not in plan
 
 
@@ -66,3 +67,18 @@ def test_repeats_stay_and_one_label_patterns_match(spark):
         got = sorted((r["page_id"] or 0, r["n_entries"], r["lists"]) for r in u.judge_captures(caps, entries).collect())
         u.BROADCAST_ROWS = old
         assert got == [(0, 1, "l"), (0, 1, "l"), (1, 2, "l,m"), (1, 2, "l,m"), (1, 2, "l,m"), (2, 1, "l"), (3, 0, "")]
+
+
+def test_letter_case_long_urls_and_ties(spark):
+    schema = "list string, pattern string, action string, day date"
+    entries = spark.createDataFrame([("l", "Bad.org", "ADD", D(2024, 1, 1)), ("l", "bad.ORG", "Drop", D(2024, 2, 1)), ("l", "b.c/x", "add", D(2024, 1, 1)), ("m", "a.b.c", "add", D(2024, 1, 1))], schema)
+    caps = spark.createDataFrame([(1, "http://bad.org/", D(2024, 1, 15)), (2, "http://BAD.org/", D(2024, 2, 15)), (3, "http://bad.org/" + "a/" * 50_000, D(2024, 1, 15)), (4, "http://" + "a." * 20_000 + "b.c/x", D(2024, 1, 15)), (5, "http://b.c/x/", D(2024, 1, 15))], "page_id long, url string, fetched_on date")
+    old = u.BROADCAST_ROWS
+    for bound in (old, 0):
+        u.BROADCAST_ROWS = bound
+        got = {r["page_id"]: (r["n_entries"], r["best_pattern"]) for r in u.judge_captures(caps, entries).collect()}
+        u.BROADCAST_ROWS = old
+        assert got == {1: (1, "bad.org"), 2: (0, None), 3: (1, "bad.org"), 4: (1, "a.b.c"), 5: (1, "b.c/x")}
+    tied = spark.createDataFrame([("l", "b.c/x", "add", D(2024, 1, 1)), ("l", "b.c", "add", D(2024, 1, 1)), ("m", "b.c/x", "add", D(2024, 1, 1))], schema)
+    (row,) = u.judge_captures(caps.filter("page_id = 5"), tied).collect()
+    assert (row["n_entries"], row["lists"], row["best_pattern"]) == (3, "l,m", "b.c/x")
