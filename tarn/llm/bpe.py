@@ -1,14 +1,15 @@
 """BPE encoding and decoding with a byte-level tokenizer file, equal to the tokenizers library.
 
 Texts go to a Rust byte-pair encoder whose ranks come from the tokenizer file itself. A piece that the
-pre-tokenizer leaves unsplit and that is longer than ``PIECE`` bytes is encoded by tree concatenation:
-halves are encoded on their own, then a window of tokens around each join is encoded again, growing
-until its first token equals the left half's token at that place and its last the right half's. The
-overlapping tokens make each adjacent pair of the joined sequence a pair that some encoding holds,
-which is what makes a byte-pair encoding the canonical one.
+pre-tokenizer leaves unsplit and that is longer than ``PIECE`` bytes is encoded by tree concatenation: it is
+halved down to leaves, which are encoded on their own (side by side where there are many), then halves are joined
+on the way up. A window of tokens around each join is encoded again, growing until its first token equals the
+left half's token at that place and its last the right half's. The overlapping tokens make each adjacent pair of
+the joined sequence a pair that some encoding holds, which is what makes a byte-pair encoding the canonical one.
 
 Defined results: null and empty texts have no tokens; special tokens of the file inside a text become
-their ids, as the library does by default; equal texts give equal ids. Rows are independent (no shuffle).
+their ids, as the library does by default; equal texts give equal ids; null keys stay; a column that has the name
+of a new one is replaced, all others stay. Rows are independent (no shuffle).
 """
 
 from __future__ import annotations
@@ -18,7 +19,6 @@ import hashlib
 import json
 import re
 from collections.abc import Callable
-from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pyarrow as pa
@@ -28,12 +28,12 @@ from pyspark.sql import types as T
 
 from .common import slices
 
-PIECE = 512
-#: Texts longer than this many bytes encode their unsplit pieces on threads.
-PARALLEL = 1 << 20
+PIECE = 32
+#: Leaves from which on they are encoded on threads.
+MANY = 256
 # Fixed value: the published split pattern of this family of tokenizers.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-_LONG_GAP = re.compile(r"\s{%d}" % (PIECE // 4))
+_LONG_GAP = re.compile(rb"\s{%d}" % (PIECE // 3))
 
 
 @functools.cache
@@ -68,8 +68,8 @@ class Codec:
         self.to_id = np.zeros(len(ranks), np.uint32)
         for k, r in ranks.items():
             self.to_id[r] = self.ids[k]
-        self.same = False
         self.core = tiktoken.Encoding("tarn", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.whole = tiktoken.Encoding("tarn-unsplit", pat_str=r"(?s).+", mergeable_ranks=ranks, special_tokens={})
         self.special = special
         self.pattern = regex.compile(PATTERN)
         self.split = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
@@ -87,40 +87,45 @@ class Codec:
         return np.concatenate(out) if out else np.empty(0, np.uint32)
 
     def _ranks(self, text: str) -> list[int]:
-        if max(map(len, text.split()), default=0) <= PIECE // 4 and not _LONG_GAP.search(text):
+        raw = text.encode()
+        if max(map(len, raw.split()), default=0) <= PIECE and not _LONG_GAP.search(raw):
             return self.core.encode_ordinary(text)
-        pieces = [p.encode("utf-8", "surrogatepass") for p in self.pattern.findall(text)]
-        long = [p for p in dict.fromkeys(pieces) if len(p) > PIECE]
-        if len(text) > PARALLEL and len(long) > 1:
-            with ThreadPoolExecutor(2) as pool:
-                known = dict(zip(long, pool.map(self.tree, long)))
-        else:
-            known = {p: self.tree(p) for p in long}
         out: list[int] = []
-        run: list[bytes] = []
-        for p in pieces:
-            if p in known:
-                out += self._short(run) + known[p]
-                run = []
-            else:
-                run.append(p)
-        return out + self._short(run)
-
-    def _short(self, pieces: list[bytes]) -> list[int]:
-        return [t for p in pieces for t in self.core._encode_single_piece(p)]
-
-    def tree(self, piece: bytes, leaf: int = PIECE) -> list[int]:
-        """Tree concatenation of one unsplit piece."""
-        parts = [self.core._encode_single_piece(piece[i : i + leaf]) for i in range(0, len(piece), leaf)]
-        while len(parts) > 1:
-            parts = [self.join(parts[i], parts[i + 1]) if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
-        return parts[0] if parts else []
+        known: dict[str, list[int]] = {}
+        for p in self.pattern.findall(text):
+            if p not in known:
+                known[p] = self.tree(p) if len(p.encode()) > PIECE else self.whole.encode_ordinary(p)
+            out += known[p]
+        return out
+
+    def tree(self, piece: str, leaf: int = PIECE) -> list[int]:
+        """Tree concatenation of one unsplit piece; leaves have ``leaf`` characters at most."""
+        leaves: list[str] = []
+
+        def halve(lo: int, hi: int):
+            if hi - lo <= leaf:
+                leaves.append(piece[lo:hi])
+                return len(leaves) - 1
+            mid = (lo + hi) // 2
+            return halve(lo, mid), halve(mid, hi)
+
+        def join(node) -> list[int]:
+            return parts[node] if isinstance(node, int) else self.join(join(node[0]), join(node[1]))
+
+        root = halve(0, len(piece))
+        parts = self.whole.encode_ordinary_batch(leaves, num_threads=2) if len(leaves) >= MANY else [self.whole.encode_ordinary(x) for x in leaves]
+        return join(root)
 
     def join(self, left: list[int], right: list[int], start: int = 4) -> list[int]:
         """Join two encodings: grow a window over the seam until both sides agree with it."""
         p, q = min(start, len(left)), min(start, len(right))
+        inner = lambda t: self.by_rank[t][0] & 0xC0 == 0x80  # noqa: E731  # a token that begins inside a character
         while True:
-            window = self.core._encode_single_piece(b"".join(self.by_rank[t] for t in left[len(left) - p :] + right[:q]))
+            while p < len(left) and inner(left[len(left) - p]):
+                p += 1
+            while q < len(right) and inner(right[q]):
+                q += 1
+            window = self.whole.encode_ordinary(b"".join(self.by_rank[t] for t in left[len(left) - p :] + right[:q]).decode())
             grow_left = p < len(left) and window[0] != left[len(left) - p]
             grow_right = q < len(right) and window[-1] != right[q - 1]
             if not grow_left and not grow_right:
@@ -185,18 +190,22 @@ def bpe_digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "te
     return _over(src, "text", one, f"{key} long, n_tokens long, ids_sha256 string, decoded_sha256 string", [pa.int64(), pa.int64(), pa.string(), pa.string()], load_spec(path))
 
 
-def with_ids(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
-    """``docs`` with its token ids, their number and the text decoded from them; null counts as empty."""
+def with_ids(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str | None = "decoded") -> DataFrame:
+    """``docs`` with its token ids, their number and, unless its name is None, the text decoded from them."""
     shipped = docs.sparkSession.sparkContext.broadcast(load_spec(path))
-    rest = [c for c in docs.columns if c not in (ids, "n_tokens", decoded)]
+    new = [ids, "n_tokens", *([decoded] if decoded else [])]
+    rest = [c for c in docs.columns if c not in new or c == text]
     src = docs.select(*[docs[f"`{c}`"] for c in rest])
-    schema = T.StructType([*src.schema, T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType()), T.StructField(decoded, T.StringType())])
+    kinds = [T.ArrayType(T.IntegerType()), T.LongType(), T.StringType()]
+    schema = T.StructType([*src.schema, *(T.StructField(c, k) for c, k in zip(new, kinds))])
 
     def run(batches):
         c = codec(shipped.value)
         for batch in slices(batches, text, 4 << 20):
             got = [c.encode(x or "") for x in batch.column(text).to_pylist()]
-            new = [pa.array([g.astype(np.int32) for g in got], pa.list_(pa.int32())), pa.array([g.size for g in got], pa.int64()), pa.array([c.decode(g) for g in got], pa.string())]
-            yield pa.RecordBatch.from_arrays([*[batch.column(x) for x in rest], *new], names=[*rest, ids, "n_tokens", decoded])
+            made = [pa.array([g.astype(np.int32) for g in got], pa.list_(pa.int32())), pa.array([g.size for g in got], pa.int64())]
+            if decoded:
+                made.append(pa.array([c.decode(g) for g in got], pa.string()))
+            yield pa.RecordBatch.from_arrays([*[batch.column(x) for x in rest], *made], names=[*rest, *new])
 
     return src.mapInArrow(run, schema)

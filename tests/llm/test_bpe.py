@@ -40,9 +40,29 @@ def test_random_texts(both):
 def test_tree_concatenation_with_any_leaf(both, leaf):
     mine, _ = both
     rng = random.Random(leaf)
-    for alphabet in (b"ab", b"the", b"acgt", bytes(range(97, 123))):
-        piece = bytes(rng.choice(alphabet) for _ in range(700))
-        assert mine.tree(piece, leaf) == mine.core._encode_single_piece(piece)
+    for alphabet in ("ab", "the", "acgt", "abcdefghijklmnopqrstuvwxyz", "éa", "😀x日"):
+        for n in (1, 2, 33, 700):
+            piece = "".join(rng.choice(alphabet) for _ in range(n))
+            assert mine.tree(piece, leaf) == mine.whole.encode_ordinary(piece)
+
+
+def test_leaves_side_by_side_give_the_same(both, monkeypatch):
+    mine, theirs = both
+    piece = "".join(random.Random(3).choice("lorem") for _ in range(60_000))
+    want = theirs.encode(piece, add_special_tokens=False).ids
+    assert mine.encode(piece).tolist() == want
+    monkeypatch.setattr(bpe, "MANY", 10**9)
+    assert mine.encode(piece).tolist() == want
+
+
+def test_long_words_go_through_the_tree(both, monkeypatch):
+    mine, theirs = both
+    seen = []
+    tree = type(mine).tree
+    monkeypatch.setattr(type(mine), "tree", lambda self, piece, *a: seen.append(piece) or tree(self, piece, *a))
+    text = "short words and antidisestablishmentarianismistically " + "x" * 40 + " \n" + "y" * 33 + "  end"
+    assert mine.encode(text).tolist() == theirs.encode(text, add_special_tokens=False).ids
+    assert len(seen) == 3
 
 
 def test_digests(spark, both):
@@ -59,5 +79,7 @@ def test_digests(spark, both):
     assert bpe.bpe_digests(df.limit(0), PATH).count() == 0
     encoded = bpe.encode_texts(df, PATH)
     assert sorted((r["text"] for r in bpe.decode_ids(encoded, PATH).collect())) == sorted(t or "" for _, t, _ in rows)
+    plain = bpe.with_ids(df.withColumn("n_tokens", df["doc_id"]), PATH, decoded=None)
+    assert plain.columns == ["doc_id", "text", "ids", "n_tokens"] and sorted(r["n_tokens"] for r in plain.collect()) == sorted(r["n_tokens"] for r in got)
     wide = bpe.with_ids(df, PATH)
     assert wide.columns == ["doc_id", "text", "ids", "n_tokens", "decoded"] and all(r["decoded"] == (r["text"] or "") for r in wide.collect())
