@@ -2,25 +2,31 @@
 
 The G.711 laws are expanded by 256-entry lookup tables built from their formulas. IMA ADPCM blocks
 carry their own predictor, so numpy decodes all blocks of a file side by side, one sample step at a
-time. Every function works on one file in memory; the Spark operators are narrow (no shuffle).
+time. Every function works on one file in memory; the Spark operators are narrow (no shuffle): ``store_media``
+puts payloads into files, ``decoded_pcm`` files into resampled PCM files, ``describe_pcm`` tells what is in them.
+
+A table of media holds several codecs. ``codec_of`` gives a payload mu-law, A-law or ADPCM by its CRC, so that
+the registered query stores, reads and decodes all three; the bytes of the payload are the file's samples.
 
 Defined results: a null payload counts as empty; an empty payload still gives one positive multiple
-of 64 bytes; equal payloads give equal files and features; extra input columns pass through under
-their own names unless they clash with an output column, which then wins.
+of 64 bytes; equal payloads give equal files and features; a null key stays; extra input columns pass through
+under their own names unless they clash with an output column, which then wins.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import struct
 import zlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, utf8
+from .common import slices, stage, utf8
 
 RATE = 8000
 OUT_RATE = 16000
@@ -120,8 +126,31 @@ def decode(media: bytes) -> tuple[int, np.ndarray]:
     raise ValueError(f"format tag {tag} is not a telephony codec")
 
 
+def decode_many(files: list[bytes]) -> list[tuple[int, np.ndarray]]:
+    """``decode`` of each file; the ADPCM blocks of all files of a block size go side by side."""
+    read = [read_wav(f) for f in files]
+    together: dict[int, list[int]] = {}
+    for i, (tag, _, block, data) in enumerate(read):
+        if tag == ADPCM and block >= 4 and data and len(data) % block == 0:
+            together.setdefault(block, []).append(i)
+    out: dict[int, np.ndarray] = {}
+    for block, at in together.items():
+        pcm = decode_adpcm(b"".join(read[i][3] for i in at), block)
+        ends = np.cumsum([len(read[i][3]) // block * (2 * (block - 4) + 1) for i in at])
+        out.update(zip(at, np.split(pcm, ends[:-1])))
+    return [(read[i][1], out[i]) if i in out else decode(f) for i, f in enumerate(files)]
+
+
+def low_pass(pcm: np.ndarray, share: float, reach: int = 8) -> np.ndarray:
+    """Keep frequencies below ``share`` of the highest: a Hann-windowed sinc, ``reach`` zero crossings a side."""
+    half = math.ceil(reach / share)
+    at = np.arange(-half, half + 1)
+    taps = np.sinc(at * share) * (0.5 + 0.5 * np.cos(np.pi * at / (half + 1)))
+    return np.convolve(np.pad(pcm.astype(np.float64), half, "edge"), taps / taps.sum(), "valid")
+
+
 def resample(pcm: np.ndarray, rate: int, to: int) -> np.ndarray:
-    """Linear interpolation; doubling the rate stays in integers."""
+    """Linear interpolation, to a lower rate behind a low-pass filter; doubling the rate stays in integers."""
     if rate == to or not pcm.size:
         return pcm.astype(np.int16)
     if to == 2 * rate:
@@ -130,20 +159,23 @@ def resample(pcm: np.ndarray, rate: int, to: int) -> np.ndarray:
         out[1:-1:2] = (pcm[:-1].astype(np.int32) + pcm[1:]) >> 1
         out[-1] = pcm[-1]
         return out
+    signal = low_pass(pcm, to / rate) if to < rate else pcm
     at = np.arange(pcm.size * to // rate) * (rate / to)
-    return np.round(np.interp(at, np.arange(pcm.size), pcm)).astype(np.int16)
+    return np.clip(np.round(np.interp(at, np.arange(pcm.size), signal)), -32768, 32767).astype(np.int16)
 
 
 def to_pcm(media: bytes, to: int = OUT_RATE) -> bytes:
     """The stored form of the decoded signal: 16-bit PCM at ``to`` samples a second in a WAV file."""
-    rate, pcm = decode(media)
-    return wav(resample(pcm, rate, to).astype("<i2").tobytes(), 1, to)
+    return to_pcm_many([media], to)[0]
 
 
-def features(media: bytes, to: int = OUT_RATE) -> str:
-    """Samples, seconds, level, peak and sign changes of the resampled signal, and a check of it."""
-    rate, pcm = decode(media)
-    pcm = resample(pcm, rate, to)
+def to_pcm_many(files: list[bytes], to: int = OUT_RATE) -> list[bytes]:
+    return [wav(resample(pcm, rate, to).astype("<i2").tobytes(), 1, to) for rate, pcm in decode_many(files)]
+
+
+def features(media: bytes) -> str:
+    """Samples, seconds, level, peak and sign changes of a file's signal, and a check of it."""
+    to, pcm = decode(media)
     wide = pcm.astype(np.int64)
     level = float(np.sqrt(np.mean(wide * wide))) if pcm.size else 0.0
     crossings = int(np.count_nonzero(np.diff(np.signbit(pcm)))) if pcm.size else 0
@@ -156,41 +188,70 @@ def payload_of(text: bytes) -> bytes:
     return text.ljust(max(UNIT, -(-len(text) // UNIT) * UNIT), b"\0")
 
 
-def store_media(df: DataFrame, payload: str, out: str = "media", tag: int = MULAW) -> DataFrame:
-    """Add ``out``: the binary column ``payload`` as a lossless 8-bit law WAV file (null: empty)."""
-    return _map(df, payload, out, lambda b: wav(b, tag), T.BinaryType())
+def codec_of(payload: bytes) -> int:
+    """The format tag that a payload is stored under."""
+    return (MULAW, ALAW, ADPCM)[zlib.crc32(payload) % 3]
+
+
+def store(payload: bytes, tag: int) -> bytes:
+    """A payload as a file; ADPCM blocks have ``UNIT`` bytes."""
+    block = UNIT if tag == ADPCM else 1
+    return wav(payload, tag, block=block, samples=len(payload) // UNIT * (2 * (UNIT - 4) + 1) if tag == ADPCM else None)
+
+
+def store_media(df: DataFrame, payload: str, out: str = "media", tag: int | None = MULAW) -> DataFrame:
+    """Add ``out``: the binary column ``payload`` as a lossless telephony file (null: empty); without a tag by ``codec_of``."""
+    return _map(df, payload, out, lambda some: [store(b or b"", codec_of(b or b"") if tag is None else tag) for b in some])
 
 
 def decoded_pcm(df: DataFrame, media: str = "media", out: str = "pcm", rate: int = OUT_RATE) -> DataFrame:
     """Add ``out``: each stored file decoded and resampled, as a PCM WAV file; null stays null."""
-    return _map(df, media, out, lambda b: to_pcm(b, rate) if b else None, T.BinaryType())
 
+    def made(some):
+        got = iter(to_pcm_many([b for b in some if b], rate))
+        return [next(got) if b else None for b in some]
+
+    return _map(df, media, out, made)
 
-def _map(df: DataFrame, source: str, out: str, fn, kind: T.DataType) -> DataFrame:
+
+def _map(df: DataFrame, source: str, out: str, fn) -> DataFrame:
     rest = [c for c in df.columns if c != out]
-    schema = T.StructType([*(df.schema[c] for c in rest), T.StructField(out, kind)])
+    schema = T.StructType([*(df.schema[c] for c in rest), T.StructField(out, T.BinaryType())])
 
     def run(batches):
-        for batch in slices(batches, source):
-            made = pa.array([fn(b or b"") for b in batch.column(source).to_pylist()], pa.binary())
+        for batch in slices(batches, source, 2 << 20):
             keep = batch.select(rest)
-            yield pa.RecordBatch.from_arrays([*keep.columns, made], names=[*rest, out])
+            yield pa.RecordBatch.from_arrays([*keep.columns, pa.array(fn(batch.column(source).to_pylist()), pa.binary())], names=[*rest, out])
 
     return df.mapInArrow(run, schema)
 
 
-def media_digests(docs: DataFrame, key: str = "doc_id", text: str = "text", tag: int = MULAW) -> DataFrame:
-    """Store each text's payload as telephony audio, read the stored bytes back and describe them."""
-    schema = f"{key} long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+def payloads(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, n_bytes, payload): each text's bytes, padded."""
+    raw = utf8(docs[text])
+    n = F.octet_length(raw)
+    zeros = F.greatest(F.lit(UNIT), F.ceil(n / UNIT) * UNIT).cast("int") - n
+    return docs.select(docs[key].alias("k"), n.cast("long").alias("n_bytes"), F.concat(raw, F.to_binary(F.repeat(F.lit("00"), zeros), F.lit("hex"))).alias("payload"))
+
+
+def describe_pcm(df: DataFrame, media: str = "media", pcm: str = "pcm", key: str = "k") -> DataFrame:
+    """(key, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, codec), read from the files."""
+    schema = f"`{key}` long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, codec int"
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32()]
+    names = [key, *[x.split()[0] for x in schema.split(", ")[1:]]]
 
     def run(batches):
-        for batch in slices(batches, "b"):
-            keys, rows = batch.column("k").to_pylist(), []
-            for k, raw in zip(keys, batch.column("b").to_pylist()):
-                media = wav(payload_of(raw), tag)
-                data = read_wav(media)[3]
-                rows.append((k, len(raw), len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), features(media)))
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=[x.split()[0] for x in schema.split(", ")])
-
-    return docs.select(docs[key].alias("k"), utf8(docs[text]).alias("b")).mapInArrow(run, schema)
+        for batch in slices(batches, pcm):
+            rows = []
+            for k, n, stored, signal in zip(*[batch.column(c).to_pylist() for c in (key, "n_bytes", media, pcm)]):
+                tag, _, _, data = read_wav(stored)
+                rows.append((k, n, len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-UNIT:]), len(stored), hashlib.sha256(stored).hexdigest(), features(signal), tag))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
+
+    return df.select(key, "n_bytes", media, pcm).mapInArrow(run, schema)
+
+
+def media_digests(docs: DataFrame, key: str = "doc_id", text: str = "text", tag: int | None = None) -> DataFrame:
+    """Store each text's payload as telephony audio in the shared folder, read the files back, decode and describe them."""
+    stored = stage(store_media(payloads(docs, key, text), "payload", "media", tag).select("k", "n_bytes", "media"), "media")
+    return describe_pcm(decoded_pcm(stored)).withColumnRenamed("k", key)

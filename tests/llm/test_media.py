@@ -64,8 +64,45 @@ def test_containers():
             m.read_wav(bad)
 
 
+def by_hand(payload, tag):
+    """The file and the signal at 16 kHz, sample by sample, from the formats' definitions."""
+    if tag == 17:
+        fmt = struct.pack("<HHIIHHHH", 17, 1, 8000, 8000 * 64 // 121, 64, 4, 2, 121)
+        pcm = [x for i in range(0, len(payload), 64) for x in scalar_adpcm(payload[i : i + 64])]
+    else:
+        fmt = struct.pack("<HHIIHHH", tag, 1, 8000, 8000, 1, 8, 0)
+        pcm = [scalar_law(x, tag) for x in payload]
+    body = b"WAVEfmt " + struct.pack("<I", len(fmt)) + fmt + b"fact" + struct.pack("<II", 4, len(pcm)) + b"data" + struct.pack("<I", len(payload)) + payload
+    signal = [y for a, b in zip(pcm, [*pcm[1:], pcm[-1]]) for y in (a, (a + b) >> 1)]
+    return b"RIFF" + struct.pack("<I", len(body)) + body, signal
+
+
+def scalar_law(x, tag):
+    if tag == 7:
+        x ^= 255
+        size = (((x & 15) * 8 + 132) << (x >> 4 & 7)) - 132
+        return -size if x & 128 else size
+    x ^= 0x55
+    e, f = x >> 4 & 7, x & 15
+    size = f * 16 + 8 if e == 0 else (f * 16 + 264) << (e - 1)
+    return size if x & 128 else -size
+
+
+def described(signal):
+    rms = math.sqrt(sum(x * x for x in signal) / len(signal))
+    turns = sum((a < 0) != (b < 0) for a, b in zip(signal, signal[1:]))
+    return f"rate=16000;samples={len(signal)};seconds={len(signal) / 16000:.4f};rms={rms:.3f};peak={max(map(abs, signal))};crossings={turns};pcm_crc={zlib.crc32(struct.pack(f'<{len(signal)}h', *signal)):08x}"
+
+
+def test_lower_rates_do_not_alias():
+    """A tone above the new rate's reach goes, one below it stays."""
+    tone = lambda f: (8000 * np.sin(np.arange(8000) * 2 * math.pi * f / 8000)).astype(np.int16)
+    level = lambda x: float(np.sqrt(np.mean(x[200:-200].astype(float) ** 2)))
+    assert level(m.resample(tone(3500), 8000, 4000)) < 60 and level(m.resample(tone(500), 8000, 4000)) > 5500
+
+
 def test_digests_against_plain_python(spark):
-    rows = [(1, "hello", "x"), (2, None, "x"), (3, "", None), (4, "é" * 64, "x"), (5, "y" * 64, "x"), (6, "long " * 60000, "x"), (1, "hello", "x"), (None, "z", "x")]
+    rows = [(1, "hello", "x"), (2, None, "x"), (3, "", None), (4, "é" * 64, "x"), (5, "y" * 64, "x"), (6, "long " * 6000, "x"), *[(i, f"text {i}", "x") for i in range(20, 40)], (1, "hello", "x"), (None, "z", "x")]
     df = spark.createDataFrame(rows, "doc_id long, text string, feature string")
     got = m.media_digests(df).collect()
     assert len(got) == len(rows)
@@ -74,9 +111,13 @@ def test_digests_against_plain_python(spark):
         raw = (text or "").encode()
         padded = raw + b"\0" * (-len(raw) % 64 if raw else 64)
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]))
-        stored = m.wav(padded)
-        assert r["media_bytes"] == len(stored) and r["media_sha256"] == hashlib.sha256(stored).hexdigest() and r["feature"] == m.features(stored)
+        stored, signal = by_hand(padded, r["codec"])
+        assert r["codec"] == {0: 7, 1: 6, 2: 17}[zlib.crc32(padded) % 3]
+        assert r["media_bytes"] == len(stored) and r["media_sha256"] == hashlib.sha256(stored).hexdigest()
+        assert r["feature"] == described(signal)
+    assert {r["codec"] for r in got} == {6, 7, 17}
     assert m.media_digests(df.limit(0)).count() == 0
+    assert [m.decode(m.to_pcm(m.store(b"a" * 128, t)))[1].size for t in (m.MULAW, m.ALAW, m.ADPCM)] == [256, 256, 484]
 
 
 def test_columns_hold_files(spark):
