@@ -6,18 +6,23 @@ only digests that repeat take part). Each task packs records, one gzip member ea
 about ``ARCHIVE_BYTES``; an archive is a row (name, bytes, run) of a table in the shared folder, so any
 store and retried tasks work. Its run lists its captures sorted by URL key, timestamp and page id.
 
-Index. Runs are dealt by key range (URL key, timestamp, page id, so a hot host or URL is split too), and each
-range merges its slices of the sorted runs through a loser tree: the ranges in order are one global order.
+Index. Bounds from a sample of keys cut the key space (URL key, timestamp, page id, archive, offset, so a hot
+host, a hot URL and a repeated capture are split too) into ranges of about ``RANGE_ROWS`` captures. Each run is cut
+at the bounds into slices, which travel whole, and each range merges its slices through a loser tree, which
+checks that each is sorted: the ranges in order are one global order, and the captures of a URL stand in their
+history's order. A history that goes on in the next range is counted on over the edge, from one row a range.
 
 Reading. Archives are walked member by member; lengths and digests are taken from what is read.
 
 Defined results: a null html is an empty payload; payloads under ``LEAST`` bytes are always responses; rows
 that repeat a page_id are each written, and all rows with the least page_id of a payload are responses; a
-null URL has no target header and sorts first; other columns are ignored.
+null URL has no target header and sorts first; rows with a null page_id are always responses and no payload's
+first; captures of equal URL key and time are in page_id, archive and offset order; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 import uuid
@@ -35,7 +40,10 @@ from .common import slices, stage, utf8
 
 LEAST = 100
 ARCHIVE_BYTES = 4 << 20
+#: Captures of a key range, about; SAMPLED keys a range choose the bounds.
+RANGE_ROWS, SAMPLED = 20_000, 20
 BROADCAST_ROWS = 100_000
+PIECE = 1 << 15
 EPOCH = datetime(2024, 1, 1, tzinfo=timezone.utc)
 RUN = "array<struct<url_key:string,ts:string,page_id:bigint,offset:bigint,length:bigint>>"
 
@@ -58,7 +66,10 @@ class LoserTree:
         """The next head of run i; an ended run has an infinite key."""
         row = next(self.runs[i], None)
         self.heads[i] = row
-        self.keys[i] = (1, None, i) if row is None else (0, self.key(row), i)
+        key = (1, None, i) if row is None else (0, self.key(row), i)
+        if row is not None and self.keys[i] is not None and key < self.keys[i]:
+            raise ValueError(f"run {i} is not sorted")
+        self.keys[i] = key
 
     def _play(self, i: int) -> None:
         """Run i against the losers on its way up; an empty node keeps it waiting."""
@@ -123,18 +134,20 @@ def read_records(archive: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
     """(offset, headers, block) of every record of an archive, member by member."""
     view, at = memoryview(archive), 0
     while at < len(archive):
-        un = zlib.decompressobj(31)
-        raw = un.decompress(view[at:])
-        raw += un.flush()
+        un, to, parts = zlib.decompressobj(31), at, []
+        while not un.eof and to < len(archive):
+            parts.append(un.decompress(view[to : to + PIECE]))
+            to = min(len(archive), to + PIECE)
         if not un.eof:
             raise ValueError(f"the member at {at} is cut short")
+        raw = b"".join(parts)
         head, _, rest = raw.partition(b"\r\n\r\n")
         version, *lines = head.decode().split("\r\n")
         if not version.startswith("WARC/"):
             raise ValueError(f"no WARC record at {at}")
         headers = dict(x.split(": ", 1) for x in lines)
         yield at, headers, rest[: int(headers["Content-Length"])]
-        at = len(archive) - len(un.unused_data)
+        at = to - len(un.unused_data)
 
 
 def with_revisits(pages: DataFrame) -> DataFrame:
@@ -204,44 +217,108 @@ def read_archives(archives: DataFrame) -> DataFrame:
     return archives.select("archive", "data").mapInArrow(run, "archive string, offset long, page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
+def capture_key(r: tuple) -> tuple:
+    """The global order of captures (url_key, ts, page_id, archive, offset); a null id comes first."""
+    return r[0], r[1], -1 if r[2] is None else r[2], r[3], r[4]
+
+
+def _bounds(archives: DataFrame) -> list[tuple]:
+    """Keys that cut all captures into ranges of about ``RANGE_ROWS``; the sample has ``SAMPLED`` keys a range."""
+    total = archives.agg(F.sum(F.size("run"))).first()[0] or 0
+    ranges = -(-total // RANGE_ROWS)
+    if ranges < 2:
+        return []
+    every = max(1, total // (SAMPLED * ranges))
+    some = archives.select("archive", F.explode("run").alias("r")).filter(F.pmod(F.xxhash64("archive", "r.offset"), F.lit(every)) == 0)
+    keys = sorted(capture_key((r["url_key"], r["ts"], r["page_id"], r["archive"], r["offset"])) for r in some.select("r.url_key", "r.ts", "r.page_id", "archive", "r.offset").collect())
+    return [keys[len(keys) * i // ranges] for i in range(1, ranges)] if keys else []
+
+
 def merge_index(archives: DataFrame) -> DataFrame:
-    """The capture index: key_range, place (in the range), url_key, ts, page_id, archive, offset, length, in global order."""
-    rows = archives.select("archive", F.explode("run").alias("r")).select("archive", "r.*")
-    dealt = rows.repartitionByRange("url_key", "ts", "page_id")
-    names = ["url_key", "ts", "page_id", "archive", "offset", "length"]
-    kinds = pa.schema([("key_range", pa.int32()), ("place", pa.int64()), ("url_key", pa.string()), ("ts", pa.string()), ("page_id", pa.int64()), ("archive", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
-    order = lambda r: (r[0], r[1], -1 if r[2] is None else r[2], r[3], r[4])
+    """The capture index: key_range, place (in the range), url_key, ts, page_id, archive, offset, length, history.
 
-    def run(batches):
-        runs: dict[str, list[tuple]] = {}
+    In the order of (key_range, place) all captures are sorted; ``history`` counts the captures of a URL key from 1 on.
+    """
+    bounds = archives.sparkSession.sparkContext.broadcast(_bounds(archives))
+    names = ["url_key", "ts", "page_id", "offset", "length"]
+    types = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
+    piece = pa.schema([("key_range", pa.int32()), ("archive", pa.string()), ("slice", pa.list_(pa.struct(list(zip(names, types)))))])
+    merged = pa.schema([("key_range", pa.int32()), ("place", pa.int64()), *zip(names[:3], types), ("archive", pa.string()), *zip(names[3:], types[3:]), ("seen", pa.int64())])
+    keyed = lambda archive, x: capture_key((x["url_key"], x["ts"], x["page_id"], archive, x["offset"]))
+
+    def cut(batches):
         for batch in batches:
-            for row in zip(*[batch.column(c).to_pylist() for c in names]):
-                runs.setdefault(row[3], []).append(row)
-        part, place, out = TaskContext.get().partitionId(), 0, []
-        for row in LoserTree([iter(r) for _, r in sorted(runs.items())], order):
-            out.append((part, place, *row))
-            place += 1
+            for archive, run in zip(batch.column("archive").to_pylist(), batch.column("run").to_pylist()):
+                out, lo = [], 0
+                keys = [keyed(archive, x) for x in run]
+                while lo < len(run):
+                    number = bisect.bisect_right(bounds.value, keys[lo])
+                    hi = bisect.bisect_left(keys, bounds.value[number], lo) if number < len(bounds.value) else len(run)
+                    out.append({"key_range": number, "archive": archive, "slice": run[lo:hi]})
+                    lo = hi
+                if out:
+                    yield pa.RecordBatch.from_pylist(out, schema=piece)
+
+    def merge(batches):
+        held, at = [], None
+        for batch in batches:
+            for number, archive, part in zip(*[batch.column(c).to_pylist() for c in piece.names]):
+                if number != at and held:
+                    yield from one(at, held)
+                    held = []
+                at = number
+                held.append((archive, part))
+        if held:
+            yield from one(at, held)
+
+    def read_slice(archive: str, part: list[dict]):
+        for x in part:
+            yield x["url_key"], x["ts"], x["page_id"], archive, x["offset"], x["length"]
+
+    def one(number: int, slices_: list[tuple[str, list[dict]]]):
+        runs = [read_slice(archive, part) for archive, part in slices_]
+        out, seen, last = [], 0, None
+        for place, row in enumerate(LoserTree(runs, capture_key)):
+            seen, last = (seen + 1 if row[0] == last else 1), row[0]
+            out.append((number, place, *row, seen))
             if len(out) == 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), kinds)], schema=kinds)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), merged.types)], schema=merged)
                 out = []
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), kinds)], schema=kinds)
-
-    return dealt.mapInArrow(run, "key_range int, place long, url_key string, ts string, page_id long, archive string, offset long, length long")
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), merged.types)], schema=merged)
+
+    dealt = archives.select("archive", "run").mapInArrow(cut, f"key_range int, archive string, slice {RUN}")
+    dealt = dealt.repartition("key_range").sortWithinPartitions("key_range")
+    index = stage(dealt.mapInArrow(merge, "key_range int, place long, url_key string, ts string, page_id long, archive string, offset long, length long, seen long"), "index")
+    # one row a range: where a history goes on over an edge
+    edges = index.groupBy("key_range").agg(F.min_by("url_key", "place").alias("first"), F.max_by("url_key", "place").alias("last"), F.max_by("seen", "place").alias("seen")).orderBy("key_range").collect()
+    before, rows = ("", 0), []
+    for r in edges:
+        carried = before[1] if before[0] == r["first"] else 0
+        if carried:
+            rows.append((r["key_range"], r["first"], carried))
+        before = r["last"], r["seen"] + (carried if r["first"] == r["last"] else 0)
+    over = index.sparkSession.createDataFrame(rows, "key_range int, url_key string, carried long")
+    whole = index.join(F.broadcast(over), ["key_range", "url_key"], "left")
+    return whole.select("key_range", "place", "url_key", "ts", "page_id", "archive", "offset", "length", (F.col("seen") + F.coalesce("carried", F.lit(0))).alias("history"))
 
 
 def warc_round_trip(pages: DataFrame) -> DataFrame:
-    """Write, index and read back: one row a record, with its place in the capture index."""
+    """Write, index and read back: one row a record, with its place in the capture index and in its URL's history."""
     archives = write_archives(with_revisits(pages))
-    index = merge_index(archives).select("archive", "offset", "url_key", "ts", "key_range", "place", F.col("length").alias("record_bytes"))
-    return read_archives(archives).join(index, ["archive", "offset"]).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "ts", "key_range", "place", "record_bytes")
+    index = merge_index(archives).select("archive", "offset", "url_key", "ts", "key_range", "place", F.col("length").alias("record_bytes"), "history")
+    return read_archives(archives).join(index, ["archive", "offset"]).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "ts", "key_range", "place", "record_bytes", "history")
 
 
-#: DuckDB, for the columns page_id, payload_bytes, payload_digest, record_type and refers_to.
-ORACLE_SQL = """
-WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+#: DuckDB, for page_id, payload_bytes, payload_digest, record_type, refers_to, url_key and history, of well-formed http URLs.
+ORACLE_SQL = r"""
+WITH u AS (SELECT *, regexp_extract(lower(url), '^https?://(?:[^/?#@]*@)?(?:www[0-9]*[.])?([^/?#:]*)', 1) AS host,
+  regexp_extract(lower(url), '^https?://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(lower(url), '^https?://[^?#]*([?][^#]+)', 1) AS query FROM pages),
+k AS (SELECT page_id, html, array_to_string(list_reverse(string_split(host, '.')), ',') || ')' || (CASE WHEN path = '' THEN '/' ELSE path END) || query AS url_key FROM u),
+p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest, url_key,
+  row_number() OVER (PARTITION BY url_key ORDER BY page_id) AS history FROM k),
 f AS (SELECT payload_digest, min(page_id) AS first FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest)
 SELECT p.page_id, p.payload_bytes, p.payload_digest, CASE WHEN f.first <> p.page_id THEN 'revisit' ELSE 'response' END AS record_type,
-  CASE WHEN f.first <> p.page_id THEN f.first END AS refers_to
+  CASE WHEN f.first <> p.page_id THEN f.first END AS refers_to, p.url_key, p.history
 FROM p LEFT JOIN f USING (payload_digest)
 """

@@ -49,12 +49,46 @@ def test_round_trip(spark, monkeypatch):
     assert sorted((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in got) == expected(ROWS)
     by_place = sorted(got, key=lambda r: (r["key_range"], r["place"]))
     assert [(r["url_key"], r["ts"]) for r in by_place] == sorted((r["url_key"], r["ts"]) for r in got)
+    assert [r["history"] for r in by_place] == histories([r["url_key"] for r in by_place])
     monkeypatch.setattr(w, "BROADCAST_ROWS", 0)
     again = w.warc_round_trip(df)
     assert sorted(tuple(r) for r in again.select("page_id", "record_type", "refers_to").collect()) == sorted((a, d, e) for a, _, _, d, e in expected(ROWS))
     assert w.warc_round_trip(df.limit(0)).count() == 0
 
 
+def histories(keys):
+    count = {}
+    return [count.setdefault(k, []).append(0) or len(count[k]) for k in keys]
+
+
+@pytest.mark.parametrize("size", [3, 17, 10_000])
+def test_ranges_are_one_global_order_with_histories(spark, monkeypatch, size):
+    """Many ranges; one URL holds a third of the captures, and rows repeat altogether."""
+    monkeypatch.setattr(w, "ARCHIVE_BYTES", 2000)
+    monkeypatch.setattr(w, "RANGE_ROWS", size)
+    rng = random.Random(4)
+    rows = [(rng.choice([None, i, i % 9]), rng.choice(["http://hot.org/x", f"http://h{rng.randint(0, 9)}.org/{rng.randint(0, 3)}", f"http://a.b/{i}"]), "p") for i in range(150)] + [(77, "http://hot.org/x", "p")] * 20
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    archives = w.write_archives(w.with_revisits(df))
+    got = sorted(w.merge_index(archives).collect(), key=lambda r: (r["key_range"], r["place"]))
+    order = [w.capture_key((r["url_key"], r["ts"], r["page_id"], r["archive"], r["offset"])) for r in got]
+    assert order == sorted(order) and len(set(order)) == 170
+    assert [r["history"] for r in got] == histories([r["url_key"] for r in got])
+    assert len({r["key_range"] for r in got}) >= min(20, 170 // size // 3)
+    assert w.warc_round_trip(df).count() == 170
+
+
+def test_unsorted_runs_are_noticed():
+    with pytest.raises(ValueError):
+        list(w.LoserTree([iter([2, 1]), iter([1, 5])], lambda x: x))
+
+
+def test_null_ids_share_no_payload(spark):
+    df = spark.createDataFrame([(None, "http://a", "p" * 200), (4, "http://a", "p" * 200), (5, "http://a", "p" * 200)], "page_id long, url string, html string")
+    got = sorted((r["page_id"] or 0, r["record_type"], r["refers_to"]) for r in w.warc_round_trip(df).collect())
+    assert got == [(0, "response", None), (4, "response", None), (5, "revisit", 4)]
+
+
 def test_archives_hold_whole_records(spark):
     df = spark.createDataFrame(ROWS, "page_id long, url string, html string").coalesce(1)
     archives = w.write_archives(w.with_revisits(df))
