@@ -11,7 +11,7 @@ out. One shuffle by conversation; offsets come from a running sum in it.
 
 Defined results: null texts and roles are empty; turns sort by turn, then role, then text, so ties and
 repeated rows keep one order and all count; a conversation without assistant turns has no examples and
-empty loss text; columns other than conv_id, turn, role and text are ignored.
+empty loss text; turns with a null conv_id are one conversation, of a null id; columns other than conv_id, turn, role and text are ignored.
 """
 
 from __future__ import annotations

@@ -15,12 +15,12 @@ then decide. A larger node branches on, up to
 partner is dropped, and members of one component are never paired among themselves. Every link is confirmed
 on the full sets (100 * intersection >= 85 * union); links and components stay distributed.
 
-``miss_probability`` gives the chance that a pair of a given similarity shares no leaf: below 1e-6 at the
-threshold for one that sketches as expected, far less above it.
+``miss_probability`` gives the chance that a pair of a given similarity shares no leaf: at the threshold below
+1e-6 if its nodes are small after ``DEPTH`` levels and below 1e-4 if they stay large through all ``ROUNDS``.
 
 Defined results: null, empty and blank texts have no shingles, link with nothing and stand alone; a text
-of one to four words is one shingle of all its words; equal rows collapse to one; other columns are
-ignored.
+of one to four words is one shingle of all its words; rows of the same id and set size collapse to one; rows with a
+null id link with nothing and are kept, with a null component; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -52,12 +52,13 @@ _ODD = _RNG.integers(1, 2**63, SHINGLE, dtype=np.uint64) * _U(2) + _U(1)
 _MUL = (_RNG.integers(1, 2**31, SKETCH + FINE, dtype=np.uint64) * _U(2) + _U(1)).astype(np.uint32)
 
 
-def miss_probability(similarity: float, depth: int = DEPTH, trees: int = TREES, branch: float = BRANCH) -> float:
-    """Chance that a pair meets in no leaf: a branching process that dies out in every tree."""
+def miss_probability(similarity: float, rounds: int = 1, depth: int = DEPTH, trees: int = TREES, branch: float = BRANCH) -> float:
+    """Chance that a pair meets in no leaf after some rounds: a branching process that dies out in every tree."""
     q = 0.0
-    for _ in range(depth):
+    for level in range(rounds * depth, 0, -1):  # from the leaves up; later rounds branch twice as often
+        more = branch if level <= depth else 2 * branch
         one = 1 - similarity + similarity * q
-        q = one * (1 - branch + branch * one)
+        q = one * (1 - more + more * one)
     return q**trees
 
 
@@ -373,7 +374,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     src = docs.select(docs[key].cast("long").alias("doc_id"), utf8(docs[text]).alias("b"))
     sketched = stage(_sketches(src), "sketch")
     base = sketched.select("doc_id", "n_shingles", "set_key")
-    reps = stage(sketched.filter("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("tokens").alias("tokens")), "reps")
+    reps = stage(sketched.filter("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("tokens").alias("tokens")), "reps")
 
     # each node's members against its most central one
     paths = _paths(reps, DEPTH, BRANCH)
@@ -414,16 +415,19 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         used.append(nodes)
     unstage(*used)  # the result needs the sketches, the classes and the last components only
     classes = reps.select("set_key", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("root", "rep").alias("component_id"))
-    alone = base.filter("set_key is null").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"))
-    done = base.join(classes, "set_key").select("doc_id", "n_shingles", "component_id").unionByName(alone)
+    alone = base.filter("set_key is null or doc_id is null").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"))
+    done = base.filter("doc_id is not null").join(classes, "set_key").select("doc_id", "n_shingles", "component_id").unionByName(alone)
     component = F.coalesce("component_id", "doc_id")
-    return done.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept")).distinct()
+    return done.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept")).distinct()
 
 
 def without_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of ``docs`` of each group of near duplicates, with all its columns; rows without a key stay."""
-    kept = near_duplicates(docs, key, text).filter("kept").select(F.col("doc_id").alias("_kept_id"))
-    one = docs.join(kept, docs[key] == kept["_kept_id"], "left_semi").dropDuplicates([key])
+    """One row of ``docs`` of each group of near duplicates, with all its columns.
+
+    An id that is kept keeps each of its different texts (one row each); rows with a null id stay.
+    """
+    kept = near_duplicates(docs.filter(docs[key].isNotNull()), key, text).filter("kept").select(F.col("doc_id").alias("_kept_id"))
+    one = docs.join(kept, docs[key] == kept["_kept_id"], "left_semi").dropDuplicates([key, text])
     return one.unionByName(docs.filter(docs[key].isNull()))
 
 

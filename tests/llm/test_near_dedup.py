@@ -89,7 +89,7 @@ def test_union_find():
 
 def test_recall_is_what_the_formula_says():
     assert n.miss_probability(0.85) < 1e-6 and n.miss_probability(0.95) < 1e-9 and n.miss_probability(0.3) > 0.5
-    assert n.miss_probability(1.0) == 0
+    assert n.miss_probability(1.0) == 0 and n.miss_probability(0.85, n.ROUNDS) < 1e-4
 
 
 def test_sketch_estimates_similarity():
@@ -115,3 +115,13 @@ def test_large_group_of_copies_is_one_class(spark):
     df = spark.range(2000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, F.lit("same text again and again for everyone here")).otherwise(F.concat_ws(" ", *[F.concat(F.lit(c), F.col("id")) for c in "abcdefgh"])).alias("text"))
     out = n.near_duplicates(df)
     assert out.filter("not kept").count() == 666 and out.filter("component_id = 0").count() == 667
+
+
+def test_null_and_repeated_ids(spark):
+    a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    rows = [(None, a), (None, a), (None, ""), (1, a), (2, a), (3, b), (3, "other words that stand alone here"), (3, b), (4, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = sorted(((r["doc_id"] or 0), r["n_shingles"], r["component_id"], r["kept"]) for r in n.near_duplicates(df).collect())
+    assert got == [(0, 0, None, True), (0, 26, None, True), (1, 26, 1, True), (2, 26, 1, False), (3, 2, 3, True), (3, 26, 3, True), (4, 0, 4, True)]
+    left = n.without_near_duplicates(df).collect()
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in left) == sorted([(0, a), (0, a), (0, ""), (1, a), (3, b), (3, "other words that stand alone here"), (4, "")])
