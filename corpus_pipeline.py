@@ -29,8 +29,8 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with token ids, in place of the text."""
-    return bpe.with_ids(docs, tokenizer_path()).select("doc_id", "lang", "source", "n_chars", "n_tokens", "ids")
+    """Documents with token ids, in place of the text; all other columns stay, ids and n_tokens are those made here."""
+    return bpe.with_ids(docs, tokenizer_path(), decoded=None).drop("text")
 
 
 STAGES = [
