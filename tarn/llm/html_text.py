@@ -1,9 +1,9 @@
 """Main text of web pages by page differencing against the nearest URL, with markup as a check.
 
 Each page is parsed once into lines, one a block element, marked by where they stand: inside the article,
-inside a menu, header, footer, sidebar, notice, advert, form or reader comments, or elsewhere. The lines go to
-the shared folder, packed, beside a hash of each. Pages are dealt by ranges of (host, path, id), so a hot host
-spreads, and sorted. Each page meets the nearest pages before and after it on its host that have other lines,
+inside a menu, header, footer, sidebar, notice, advert, form or reader comments, or elsewhere. Bounds from a
+sample of keys deal the pages, with packed lines and a hash of each, to ranges of (host, path, id, hash of the
+page), so a hot host and a repeated page spread; each range is sorted. Each page meets the nearest pages before and after it on its host that have other lines,
 takes the one that shares more of the path (the one before when they share as much), and is aligned with it by
 longest common subsequence: shared lines are deleted. The first and last pages of a range find their neighbour
 over its edge by a short list of the ranges' first and last pages, so neighbours do not depend on the ranges.
@@ -20,8 +20,10 @@ lines go if it has an article; null hosts and URLs sort first and form one host;
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import html
+import itertools
 import re
 from collections.abc import Iterable, Iterator
 from typing import NamedTuple
@@ -30,13 +32,14 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices, stage, utf8
 
 ARTICLE, MARKED, OTHER = 0, 1, 2
+#: Pages of a range, about; SAMPLED keys a range choose the bounds.
+RANGE_PAGES, SAMPLED = 4000, 20
 
 # HTML element names by their part in a page.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody tfoot thead tr ul".split())
@@ -204,8 +207,8 @@ def kept_text(lines: list[tuple[int, str]], shared: set[int] | None) -> str:
 
 
 def pack_lines(lines: list[tuple[int, str]]) -> bytes:
-    """Places and texts of lines, compressed; no text holds a line end."""
-    return zstandard.compress("\n".join(["".join(str(z) for z, _ in lines), *[t for _, t in lines]]).encode(), 3)
+    """Places and texts of lines, compressed; marked lines, which no result holds, are empty. No text holds a line end."""
+    return zstandard.compress("\n".join(["".join(str(z) for z, _ in lines), *["" if z == MARKED else t for z, t in lines]]).encode(), 5)
 
 
 def unpack_lines(packed: bytes) -> list[tuple[int, str]]:
@@ -263,11 +266,12 @@ def nearer(path: str, before: Beside | None, after: Beside | None) -> Beside | N
 
 
 class Run(NamedTuple):
-    """Pages side by side that have the same lines: their digest, first path and last path."""
+    """Pages side by side that have the same lines: their digest, first path, last path and line hashes."""
 
     digest: bytes
     first: str
     last: str
+    own: bytes = b""
 
 
 def pair_range(pages: Iterable[Page]) -> Iterator[tuple]:
@@ -284,7 +288,7 @@ def pair_range(pages: Iterable[Page]) -> Iterator[tuple]:
     def close(after: Beside | None, last: bool):
         nonlocal before
         first = edge == 0 and before is None
-        runs.append(Run(lead.digest, held[0].path, held[-1].path))
+        runs.append(Run(lead.digest, held[0].path, held[-1].path, lead.own))
         if len(runs) > 4:
             del runs[2:-2]
         for page in held:
@@ -336,9 +340,28 @@ def over_edges(edges: list[tuple[int, int, str, list[Run]]]) -> dict[tuple[int,
     return out
 
 
+def _bounds(src: DataFrame) -> list[tuple]:
+    """Keys that cut the pages into ranges of about ``RANGE_PAGES``; the sample has ``SAMPLED`` keys a range."""
+    total = src.count()
+    ranges = -(-total // RANGE_PAGES)
+    if ranges < 2:
+        return []
+    some = src.select(*KEY).filter(F.pmod("salt", F.lit(max(1, total // (SAMPLED * ranges)))) == 0).collect()
+    keys = sorted(map(_place, some))
+    return [keys[len(keys) * i // ranges] for i in range(1, ranges)] if keys else []
+
+
+KEY = ["host", "path", "page_id", "mark", "salt"]
+
+
+def _place(key) -> tuple:
+    host, path, page_id, mark, salt = key
+    return host, path, -(1 << 64) if page_id is None else page_id, mark, salt
+
+
 def extract_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
-    url = F.col("url")
+    sc, url = pages.sparkSession.sparkContext, F.col("url")
     src = pages.select(
         F.col("page_id").cast("long").alias("page_id"),
         url.cast("string").alias("url"),
@@ -346,52 +369,57 @@ def extract_text(pages: DataFrame) -> DataFrame:
         F.coalesce(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*(.*)$", 1), F.lit("")).alias("path"),
         utf8(pages["html"]).alias("b"),
     )
+    # like pages stand together whatever their partitions; the salt parts rows that repeat altogether
+    src = src.withColumn("mark", F.xxhash64("b")).withColumn("salt", F.monotonically_increasing_id())
+    bounds = sc.broadcast(_bounds(src))
 
     def parse(batches):
         for batch in slices(batches, "b"):
             made = [page_lines(raw.decode("utf-8", "replace")) for raw in batch.column("b").to_pylist()]
             packed, own = [pack_lines(x) for x in made], [line_hashes(x) for x in made]
             digest = [hashlib.blake2b(h + bytes(z for z, _ in x), digest_size=16).digest() for h, x in zip(own, made)]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("host", "path", "page_id", "url")], *[pa.array(x, pa.binary()) for x in (digest, own, packed)]], names=list(Page._fields))
+            number = [bisect.bisect_right(bounds.value, _place(k)) for k in zip(*[batch.column(c).to_pylist() for c in KEY])]
+            yield pa.RecordBatch.from_arrays([pa.array(number, pa.int32()), *[batch.column(c) for c in (*KEY, "url")], *[pa.array(x, pa.binary()) for x in (digest, own, packed)]], names=["part", *KEY, "url", "digest", "own", "packed"])
 
-    # a salt parts rows that repeat altogether
-    parsed = stage(src.mapInArrow(parse, "host string, path string, page_id long, url string, digest binary, own binary, packed binary"), "lines")
-    key = ["host", "path", "page_id", "digest", "salt"]
-    dealt = parsed.withColumn("salt", F.monotonically_increasing_id()).repartitionByRange(*key).sortWithinPartitions(*key)
+    parsed = src.mapInArrow(parse, "part int, host string, path string, page_id long, mark long, salt long, url string, digest binary, own binary, packed binary")
+    dealt = parsed.repartition("part").sortWithinPartitions("part", *KEY)
     beside = pa.struct([("path", pa.string()), ("digest", pa.binary())])
-    shape = pa.schema([("part", pa.int32()), ("edge", pa.int32()), ("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("path", pa.string()), ("own", pa.binary()), ("packed", pa.binary()), ("before", beside), ("after", beside), ("missing", pa.string()), ("host", pa.string()), ("runs", pa.list_(pa.struct([(x, pa.binary() if x == "digest" else pa.string()) for x in Run._fields])))])
+    run = pa.struct([("digest", pa.binary()), ("first", pa.string()), ("last", pa.string()), ("own", pa.binary())])
+    shape = pa.schema([("part", pa.int32()), ("edge", pa.int32()), ("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("path", pa.string()), ("own", pa.binary()), ("packed", pa.binary()), ("before", beside), ("after", beside), ("missing", pa.string()), ("host", pa.string()), ("runs", pa.list_(run))])
     side = "struct<path:string,digest:binary>"
 
     def pair(batches):
-        part = TaskContext.get().partitionId()
         cells = lambda x: None if x is None else {"path": x.path, "digest": x.digest}
 
         def rows():
             for batch in batches:
-                yield from map(Page._make, zip(*[batch.column(c).to_pylist() for c in Page._fields]))
+                yield from zip(batch.column("part").to_pylist(), map(Page._make, zip(*[batch.column(c).to_pylist() for c in Page._fields])))
 
         out, size = [], 0
-        for kind, *got in pair_range(rows()):
-            if kind == "page":
-                page, other = got
-                row = {"page_id": page.page_id, "url": page.url, "text": difference(unpack_lines(page.packed), page.own, other.own if other else None)}
-                size += len(row["text"])
-            elif kind == "open":
-                page, edge, before, after, missing = got
-                row = {"part": part, "edge": edge, "page_id": page.page_id, "url": page.url, "path": page.path, "own": page.own, "packed": page.packed, "before": cells(before), "after": cells(after), "missing": missing}
-                size += len(page.packed)
-            else:
-                row = {"part": part, "edge": got[0], "host": got[1], "runs": [r._asdict() for r in got[2]]}
-            out.append(row)
-            if len(out) == 2000 or size > 8 << 20:
-                yield pa.RecordBatch.from_pylist(out, schema=shape)
-                out, size = [], 0
+        for part, group in itertools.groupby(rows(), lambda r: r[0]):
+            for kind, *got in pair_range(page for _, page in group):
+                if kind == "page":
+                    page, other = got
+                    row = {"page_id": page.page_id, "url": page.url, "text": difference(unpack_lines(page.packed), page.own, other.own if other else None)}
+                    size += len(row["text"])
+                elif kind == "open":
+                    page, edge, before, after, missing = got
+                    row = {"part": part, "edge": edge, "page_id": page.page_id, "url": page.url, "path": page.path, "own": page.own, "packed": page.packed, "before": cells(before), "after": cells(after), "missing": missing}
+                    size += len(page.packed)
+                else:
+                    row = {"part": part, "edge": got[0], "host": got[1], "runs": [r._asdict() for r in got[2]]}
+                out.append(row)
+                if len(out) == 2000 or size > 8 << 20:
+                    yield pa.RecordBatch.from_pylist(out, schema=shape)
+                    out, size = [], 0
         if out:
             yield pa.RecordBatch.from_pylist(out, schema=shape)
 
-    met = stage(dealt.select(*Page._fields).mapInArrow(pair, f"part int, edge int, page_id long, url string, text string, path string, own binary, packed binary, before {side}, after {side}, missing string, host string, runs array<struct<digest:binary,first:string,last:string>>"), "paired")
-    edges = over_edges([(r["part"], r["edge"], r["host"], [Run(bytes(x["digest"]), x["first"], x["last"]) for x in r["runs"]]) for r in met.filter("runs is not null").select("part", "edge", "host", "runs").collect()])
-    beyond = pages.sparkSession.sparkContext.broadcast(edges)  # two paths an edge, two edges a range
+    met = stage(dealt.select("part", *Page._fields).mapInArrow(pair, f"part int, edge int, page_id long, url string, text string, path string, own binary, packed binary, before {side}, after {side}, missing string, host string, runs array<struct<digest:binary,first:string,last:string,own:binary>>"), "paired")
+    ends = met.filter("runs is not null").select("part", "edge", "host", "runs")
+    known = ends.select("part", "edge", "host", F.transform("runs", lambda x: F.struct(x["digest"], x["first"], x["last"])).alias("runs")).collect()
+    # two paths an edge, two edges a range
+    beyond = sc.broadcast(over_edges([(r["part"], r["edge"], r["host"], [Run(bytes(x[0]), x[1], x[2]) for x in r["runs"]]) for r in known]))
 
     def choose(batches):
         names = ["page_id", "url", "own", "packed", "other"]
@@ -410,8 +438,8 @@ def extract_text(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
     left = met.filter("missing is not null").mapInArrow(choose, "page_id long, url string, own binary, packed binary, other binary")
-    wanted = left.select(F.col("other").alias("digest")).filter("digest is not null").distinct()
-    far = parsed.select("digest", "own").join(wanted, "digest", "left_semi").groupBy("digest").agg(F.first("own").alias("far")).withColumnRenamed("digest", "other")
+    # a neighbour is the first or last run of its range, or beside the page
+    far = ends.select(F.explode("runs").alias("r")).groupBy(F.col("r.digest").alias("other")).agg(F.first("r.own").alias("far"))
     late = left.join(far, "other", "left").select("page_id", "url", "own", "packed", "far").mapInArrow(settle, "page_id long, url string, text string")
     done = met.filter("text is not null").select("page_id", "url", "text").unionByName(late)
     return done.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))

@@ -128,7 +128,7 @@ def pages_of_hosts(n=90):
     return rows + [(200 + i, "http://a.com/same", "<div>Menu a</div><p>copy</p>") for i in range(20)]
 
 
-def test_whole_results_equal_brute_force(spark):
+def test_whole_results_equal_brute_force(spark, monkeypatch):
     """Neighbours sought among all pages, lines held against theirs, for several numbers of ranges."""
     rows = pages_of_hosts()
     lines = {i: h.page_lines(x) for i, _, x in rows}
@@ -141,15 +141,10 @@ def test_whole_results_equal_brute_force(spark):
         want[i] = h.kept_text(lines[i], shared)
         changed += want[i] != "\n\n".join(t for z, t in lines[i] if z != h.MARKED)
     assert changed > 80  # differencing decides
-    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
-    for n in ("1", "4", "40"):
-        old = spark.conf.get("spark.sql.shuffle.partitions")
-        spark.conf.set("spark.sql.shuffle.partitions", n)
-        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-        got = {r["page_id"]: r["text"] for r in h.extract_text(df).collect()}
-        spark.conf.set("spark.sql.shuffle.partitions", old)
-        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
-        assert got == want
+    for parts, size in ((1, 4000), (5, 30), (3, 7), (8, 1)):
+        monkeypatch.setattr(h, "RANGE_PAGES", size)
+        df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(parts)
+        assert {r["page_id"]: r["text"] for r in h.extract_text(df).collect()} == want
 
 
 def test_unmarked_lines_beside_an_article_are_differenced(spark):
