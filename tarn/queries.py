@@ -700,3 +700,6 @@ def oracle_sql() -> dict[str, str]:
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders by nation: two joins, grouped aggregates, HAVING and ORDER BY, from the dialect."""
     return queries()["q26c_join_group"](spark, sf_dir)
+
+
+from . import queries_state  # noqa: E402, F401  # registers its queries in the same catalogue
