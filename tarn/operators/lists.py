@@ -95,8 +95,9 @@ def positions(state: DataFrame, key: str, value, rank: int = 1, count: int | Non
 
 def pop(state: DataFrame, n: int = 1, left: bool = True) -> tuple[DataFrame, DataFrame]:
     """LPOP and RPOP of every key given: (popped with i, rest)."""
-    marked = indexed(state, not left)
-    return marked.filter(F.col("i") < n).select("key", "i", "value"), marked.filter(F.col("i") >= n).select(*COLS)
+    nth = F.row_number().over(Window.partitionBy("key").orderBy(F.col("pos").asc() if left else F.col("pos").desc()))
+    marked = state.withColumn("_n", nth)  # the filter is on the row number itself, which limits each group early
+    return marked.filter(F.col("_n") <= n).select("key", (F.col("_n") - 1).alias("i"), "value"), marked.filter(F.col("_n") > n).select(*COLS)
 
 
 def pop_first(state: DataFrame, keys: Sequence[str], n: int = 1, left: bool = True) -> tuple[DataFrame, DataFrame]:

@@ -120,19 +120,23 @@ def _number_sequence(rows: DataFrame, name: str, by: str, state: DataFrame) -> D
     return rows.filter(F.col(name).isNotNull()).unionByName(filled)
 
 
-def violations(table: Table, rows: DataFrame, state: DataFrame, others: Mapping[str, DataFrame] | None = None, tables: Mapping[str, Table] | None = None) -> DataFrame:
-    """(kind, column, value) of every broken constraint of prepared rows; ``state`` must hold live rows only."""
+def violations(table: Table, rows: DataFrame, state: DataFrame, others: Mapping[str, DataFrame] | None = None, tables: Mapping[str, Table] | None = None, touched: set[str] | None = None) -> DataFrame:
+    """(kind, column, value) of every broken constraint of prepared rows; ``state`` must hold live rows only.
+
+    With ``touched``, only constraints on those columns are checked: an update can break no others.
+    """
+    mine = lambda *names: touched is None or any(n in touched for n in names)
     others, tables = others or {}, tables or {}
     text = lambda c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) if not isinstance(rows.schema[c].dataType, T.ArrayType) else F.to_json(F.col(f"`{c}`"))
     found = []
     add = lambda df, kind, c, value: found.append(df.select(F.lit(kind).alias("kind"), F.lit(c).alias("column"), value.alias("value")))
     for c in table.columns:
-        if c.not_null and not (c.primary_key and c.kind in ("INT", "UUID")):
+        if mine(c.name) and c.not_null and not (c.primary_key and c.kind in ("INT", "UUID")):
             add(rows.filter(F.col(f"`{c.name}`").isNull()), "not_null", c.name, F.lit(""))
     if "_bad" in rows.columns:
         found.append(rows.select(F.lit("type").alias("kind"), F.explode("_bad").alias("column"), F.lit("").alias("value")))
     for c in table.columns:
-        if c.references:
+        if c.references and mine(c.name):
             target = others.get(c.references.table)
             if target is None:
                 raise DialectError(f"no table {c.references.table!r}")
@@ -144,6 +148,8 @@ def violations(table: Table, rows: DataFrame, state: DataFrame, others: Mapping[
     uniques = [((c.name,), "primary_key" if c.primary_key else "unique") for c in table.columns if c.unique or c.primary_key]
     uniques += [((c.sequence_by, c.name), "unique") for c in table.columns if c.sequence_by]
     for names, kind in uniques:
+        if not mine(*names):
+            continue
         cols = [F.col(f"`{n}`") for n in names]
         have = rows.filter(cols[-1].isNotNull())
         twice = have.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
@@ -240,7 +246,7 @@ def update(table: Table, state: DataFrame, values: Mapping[str, str | None], whe
         changed = changed.withColumn(EXPIRES, F.timestamp_add("SECOND", F.lit(ttl_seconds), now if now is not None else F.current_timestamp()))
     rest = state.filter(~hit)
     rows = changed.withColumn("_bad", F.array_compact(F.array(*bad)) if bad else F.array().cast("array<string>"))
-    check(violations(table, rows, live(rest, now), others, tables))
+    check(violations(table, rows, live(rest, now), others, tables, set(values)))
     return Change(rest.unionByName(changed), changed.drop(EXPIRES))
 
 

@@ -94,9 +94,10 @@ def page(zset: DataFrame, offset: int = 0, count: int | None = None, descending:
 
 def pop(state: DataFrame, n: int = 1, highest: bool = False) -> tuple[DataFrame, DataFrame]:
     """ZPOPMIN and ZPOPMAX: (popped, rest)."""
-    marked = ranked(state, highest)
+    nth = F.row_number().over(Window.partitionBy("key").orderBy(*_order(highest)))
+    marked = state.withColumn("_n", nth)  # the filter is on the row number itself, which limits each group early
     cols = ["key", "member", "score"]
-    return marked.filter(F.col("rank") < n).select(*cols), marked.filter(F.col("rank") >= n).select(*cols)
+    return marked.filter(F.col("_n") <= n).select(*cols), marked.filter(F.col("_n") > n).select(*cols)
 
 
 def pop_first(state: DataFrame, keys: Sequence[str], n: int = 1, highest: bool = False) -> tuple[DataFrame, DataFrame]:

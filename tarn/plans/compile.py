@@ -66,7 +66,7 @@ def apply_members(df: DataFrame, members: list[Member], scope: Scope, tables: Ma
         for group in m.where:
             other = other.filter(group_test(group, inner.resolve))
         name = f"_member_{i}"
-        keys = other.select(F.col(f"`{m.column}`").cast(kind).alias(name)).filter(F.col(name).isNotNull()).distinct()
+        keys = other.select(F.col(f"`{m.column}`").cast(kind).alias(name)).filter(F.col(name).isNotNull())
         if m.negated:
             df = df.filter(col.isNotNull()).join(keys, col == F.col(name), "left_anti")
         else:

@@ -20,6 +20,7 @@ from .plans.builder import query as build
 from .plans.compile import compile_query
 from .plans.dialect import from_params, parse_select, parse_where
 from .plans.schema import EXPIRES, parse_table
+from .session import ensure_checkpoint_dir
 from .streaming import feeds, live, windows
 
 Make = Callable[[SparkSession, "Tables"], DataFrame]
@@ -656,9 +657,10 @@ def _(spark, t):
     else:  # a stream reads directories: the one file of the table's directory
         rows = source.option("pathGlobFilter", "events.parquet").parquet(t.path)
     made = windows.tumbling(rows.select(F.col("event_type").alias("key"), _millis().alias("ts"), "value"), "max", 3_600_000)
-    name = f"tumbling_{uuid.uuid4().hex}"
-    made.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
+    out = f"{ensure_checkpoint_dir(spark)}/tarn-streams/{uuid.uuid4().hex}"
+    keep = lambda df, number: df.write.mode("overwrite").parquet(f"{out}/rows")
+    made.writeStream.foreachBatch(keep).option("checkpointLocation", f"{out}/progress").outputMode("complete").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(made.schema).parquet(f"{out}/rows")
 
 
 @_add("q91_policy_owner", "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey = 77 AND o_totalprice > 100000")

@@ -16,8 +16,8 @@ from .database import Database
 from .functions import bits
 from .functions.text import write_range
 from .functions.values import cast_in, default_value, uuid7
+from .operators import ann, hashes, hll, keys, lists, policies, sets, streams, strings, tables, vectors, zsets
 from .operators import geo as geo_ops
-from .operators import hashes, hll, keys, lists, policies, sets, streams, strings, tables, zsets
 from .plans.dialect import parse_select
 from .plans.schema import EXPIRES, parse_table
 from .queries import _E, _L, _ST, _Z, Tables, _add, _elements, _flat, _hash, _list, _pending, _places, _set, _stream, _zset
@@ -766,3 +766,15 @@ def _(spark, t):
     """A page by URL parameters with its content range, sent as JSON and read again."""
     rows, span = edge.page(t, "orders", {"select": "o_orderkey", "where": "o_totalprice > 300000", "order": "o_orderkey:asc", "limit": "10"})
     return edge.json_rows(rows).select(F.get_json_object("value", "$.o_orderkey").cast("long").alias("o_orderkey"), F.lit(span).alias("span"))
+
+
+@_add("q190_ann_recall", "SELECT true AS enough, (SELECT count(*) FROM embeddings) AS indexed")
+def _(spark, t):
+    """Every vector indexed; each 50th as a query; at least nine in ten of the exact ten nearest found."""
+    v = t["embeddings"].select(F.col("vec_id").alias("key"), "embedding")
+    asked = v.filter("key % 50 = 0").withColumnRenamed("key", "query")
+    centroids = ann.fit(v)
+    lists_ = ann.index(v, centroids)
+    found = ann.search(lists_, centroids, asked, 10, max(1, len(centroids) * 2 // 3))
+    enough = ann.recall(found, vectors.search_many(asked, v, 10)) >= 0.9
+    return lists_.agg(F.count(F.lit(1)).alias("indexed")).select(F.lit(enough).alias("enough"), "indexed")

@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -6,8 +7,8 @@ from pyspark.sql import functions as F
 from tarn.functions import bits, geo
 from tarn.functions.text import byte_range, glob, lcs, lcs_length, lcs_matches, lcs_text, write_range
 from tarn.functions.values import number_rows
+from tarn.operators import ann, hashes, hll, keys, lists, sets, sorting, streams, strings, timeseries, vectors, zsets
 from tarn.operators import geo as geo_ops
-from tarn.operators import hashes, hll, keys, lists, sets, sorting, streams, strings, timeseries, vectors, zsets
 
 
 def ints(spark, values, schema):
@@ -18,48 +19,56 @@ def ints(spark, values, schema):
 
 
 @pytest.fixture(scope="module")
-def cpu(spark):
-    return spark.createDataFrame([("cpu", 1000, 10.0), ("cpu", 2000, 20.0), ("cpu", 3000, 30.0), ("cpu", 4000, 40.0)], "key string, ts long, value double")
-
-
-def test_range_and_buckets(spark, cpu):
-    assert timeseries.range_(cpu, "cpu", 2000, 3000).count() == 2
-    rows = spark.createDataFrame([("cpu", 1000, 10.0), ("cpu", 1500, 20.0), ("cpu", 2000, 30.0), ("cpu", 2500, 40.0)], cpu.schema)
-    assert sorted((r["ts"], r["value"]) for r in timeseries.aggregate(rows, "avg", 2000).collect()) == [(0, 15.0), (2000, 35.0)]
-    assert sorted((r["ts"], r["value"]) for r in timeseries.aggregate(cpu, "max", 2000).collect()) == [(0, 10.0), (2000, 30.0), (4000, 40.0)]
-    assert timeseries.range_(cpu, count=3).count() == 3
-    before = spark.createDataFrame([("k", -1, 1.0)], cpu.schema)
+def tide(spark):
+    """A height every 7 minutes: n * n at minute 7 n."""
+    return spark.createDataFrame([("tide", 7 * 60_000 * n, float(n * n)) for n in range(12)], "key string, ts long, value double")
+
+
+def test_range_and_buckets(spark, tide):
+    assert [r["value"] for r in timeseries.range_(tide, "tide", 20 * 60_000, 36 * 60_000).orderBy("ts").collect()] == [9.0, 16.0, 25.0]
+    quarter = 15 * 60_000
+    by = {}
+    for n in range(12):
+        by.setdefault(7 * 60_000 * n // quarter * quarter, []).append(float(n * n))
+    for name, fn in (("avg", lambda x: sum(x) / len(x)), ("max", max), ("sum", sum)):
+        assert {r["ts"]: r["value"] for r in timeseries.aggregate(tide, name, quarter).collect()} == {k: fn(v) for k, v in by.items()}
+    assert timeseries.range_(tide, count=5).count() == 5
+    before = spark.createDataFrame([("k", -1, 1.0)], tide.schema)
     assert timeseries.aggregate(before, "sum", 1000).first()["ts"] == -1000
     assert timeseries.aggregate(before, "std.s", 1000).first()["value"] == 0.0
     assert timeseries.aggregate(before, "nonsense", 1000).first()["value"] == 1.0
 
 
-def test_last_wins_and_retention(spark, cpu):
-    again = spark.createDataFrame([("cpu", 4000, 99.0)], cpu.schema)
-    assert {r["ts"]: r["value"] for r in timeseries.add(cpu, again).collect()}[4000] == 99.0
-    series = spark.createDataFrame([("r", 5000, {"a": "b"})], "key string, retention_ms long, labels map<string,string>")
-    rows = spark.createDataFrame([("r", 1000, 1.0), ("r", 2000, 2.0), ("r", 8000, 8.0)], cpu.schema)
-    assert [r["ts"] for r in timeseries.add(rows.limit(0), rows, series).collect()] == [8000]
+def test_last_wins_and_retention(spark, tide):
+    again = spark.createDataFrame([("tide", 7 * 60_000 * 4, -5.0)], tide.schema)
+    assert {r["ts"]: r["value"] for r in timeseries.add(tide, again).collect()} == {7 * 60_000 * n: -5.0 if n == 4 else float(n * n) for n in range(12)}
+    hour = spark.createDataFrame([("tide", 3_600_000, {"bay": "north"})], "key string, retention_ms long, labels map<string,string>")
+    newest = 7 * 60_000 * 11
+    assert sorted(r["ts"] for r in timeseries.add(tide.limit(0), tide, hour).collect()) == [7 * 60_000 * n for n in range(12) if 7 * 60_000 * n >= newest - 3_600_000]
 
 
-def test_labels(spark, cpu):
-    series = spark.createDataFrame([("cpu:h1", 0, {"host": "s1", "metric": "cpu"}), ("mem:h1", 0, {"host": "s1", "metric": "mem"}), ("cpu:h2", 0, {"host": "s2", "metric": "cpu"})], "key string, retention_ms long, labels map<string,string>")
-    rows = spark.createDataFrame([("cpu:h1", 1, 72.5), ("mem:h1", 1, 45.0), ("cpu:h2", 1, 68.0)], cpu.schema)
-    assert {r["value"] for r in timeseries.multi_range(rows, series, {"host": "s1"}).collect()} == {72.5, 45.0}
-    assert {r["value"] for r in timeseries.multi_range(rows, series, {"metric": "cpu"}).collect()} == {72.5, 68.0}
-    assert timeseries.info(rows, series).count() == 3
+def test_labels(spark, tide):
+    """Series of two bays and three gauges; labels choose among them."""
+    names = [(bay, gauge) for bay in ("north", "south") for gauge in ("height", "salt", "wind")]
+    series = spark.createDataFrame([(f"{b}/{g}", 0, {"bay": b, "gauge": g}) for b, g in names], "key string, retention_ms long, labels map<string,string>")
+    rows = spark.createDataFrame([(f"{b}/{g}", 60_000, i + 0.25) for i, (b, g) in enumerate(names)], tide.schema)
+    for label, value in (("bay", "south"), ("gauge", "salt")):
+        want = {i + 0.25 for i, (b, g) in enumerate(names) if {"bay": b, "gauge": g}[label] == value}
+        assert {r["value"] for r in timeseries.multi_range(rows, series, {label: value}).collect()} == want
+    assert timeseries.info(rows, series).count() == 6
 
 
 # --- vectors and geo -----------------------------------------------------------------------------------
 
 
 def test_vector_filters_come_first(spark):
-    rows = [(f"dog:{i}", [1.0, i / 100], '{"animal":"dog"}') for i in range(25)] + [("cat:far", [0.0, 1.0], '{"animal":"cat"}')]
+    # rays of a half circle, their colour by turns; the nearest of a colour need not be among the nearest of all
+    rows = [(f"ray{i:02d}", [math.cos(math.pi * i / 40), math.sin(math.pi * i / 40), 0.5], '{"colour":"%s"}' % ("red" if i >= 30 else "blue")) for i in range(41)]
     v = spark.createDataFrame(rows, "key string, embedding array<float>, metadata string")
-    assert [r["key"] for r in vectors.search(v, [1, 0], 1, where=("animal", "cat")).collect()] == ["cat:far"]
-    assert vectors.search(v, [0, 0], 3).count() == 0
-    new = spark.createDataFrame([("cat:far", [1.0, 0.0], "{}")], v.schema)
-    assert vectors.upsert(v, new).filter("key = 'cat:far'").first()["embedding"] == [1.0, 0.0]
+    assert [r["key"] for r in vectors.search(v, [1, 0, 0.5], 2, where=("colour", "red")).collect()] == ["ray30", "ray31"]
+    assert [r["key"] for r in vectors.search(v, [1, 0, 0.5], 2).collect()] == ["ray00", "ray01"] and vectors.search(v, [0, 0, 0], 3).count() == 0
+    new = spark.createDataFrame([("ray40", [0.0, 0.0, 2.0], "{}")], v.schema)
+    assert vectors.upsert(v, new).filter("key = 'ray40'").first()["embedding"] == [0.0, 0.0, 2.0]
 
 
 def test_search_many_equals_one_by_one(spark):
@@ -307,3 +316,20 @@ def test_streams(spark):
     after, entries, gone = streams.auto_claim(acked, streams.delete(st, st.filter("ms = 3")), "s", "g", "c3", 0, 2000)
     assert ids(entries) == [(2, 0)] and ids(gone) == [(3, 0)] and [r["consumer"] for r in after.collect()] == ["c3"]
     assert streams.info(st).first()["length"] == 6
+
+
+def test_ann_recall_and_exact_way_out(spark):
+    rng = random.Random(3)
+    centre = [[rng.gauss(0, 1) for _ in range(12)] for _ in range(20)]
+    rows = [(i, [x + rng.gauss(0, 0.4) for x in centre[i % 20]]) for i in range(1500)] + [(9000, [0.0] * 12), (9001, None), (9002, [1.0])]
+    v = spark.createDataFrame(rows, "key long, embedding array<float>")
+    asked = v.filter("key % 50 = 0 and key < 9000").withColumnRenamed("key", "query")
+    c = ann.fit(v)
+    lists = ann.index(v, c)
+    assert lists.count() == 1500 and len(c) == 39
+    exact = vectors.search_many(asked, v.filter("key < 9000"), 10)
+    assert ann.recall(ann.search(lists, c, asked, 10, 8), exact) >= 0.9
+    whole = {(r["query"], r["rank"]): r["similarity"] for r in ann.search(lists, c, asked, 10, len(c)).collect()}
+    assert all(abs(whole[r["query"], r["rank"]] - r["similarity"]) < 1e-5 for r in exact.collect())
+    none = v.limit(0)
+    assert ann.fit(none).size == 0 and ann.index(none, c).count() == 0 and ann.search(lists, c, none.withColumnRenamed("key", "query"), 3, 4).count() == 0
