@@ -26,7 +26,7 @@ class Query:
         self.tables, self.spec = tables, spec
 
     def _with(self, **changes) -> Query:
-        return Query(self.tables, replace(self.spec, **changes))
+        return type(self)(self.tables, replace(self.spec, **changes))
 
     def select(self, columns: str = "*") -> Query:
         return self._with(items=select_items(columns))
@@ -141,5 +141,50 @@ class Query:
         return row
 
 
+class TableQuery(Query):
+    """A query of a database's table with the verbs that write to it; conditions choose the rows."""
+
+    def __init__(self, db, spec: QuerySpec):
+        super().__init__(db.visible(), spec)
+        self.db = db
+
+    def _with(self, **changes) -> TableQuery:
+        return TableQuery(self.db, replace(self.spec, **changes))
+
+    def df(self) -> DataFrame:
+        return self.db.select_spec(self.spec)
+
+    run = df
+
+    def similar(self, field: str, vector: Sequence[float], k: int, threshold: float | None = None) -> DataFrame:
+        """The k rows most similar to a vector."""
+        return self.near(field, vector, k, threshold).df()
+
+    def insert(self, *rows: Mapping[str, Any]) -> DataFrame:
+        """Insert rows; the inserted ones come back."""
+        columns = list(dict.fromkeys(c for r in rows for c in r))
+        data = [tuple(None if r.get(c) is None else _text(r[c]) for c in columns) for r in rows]
+        return self.db.insert(self.spec.table, self.db.spark.createDataFrame(data, ", ".join(f"`{c}` string" for c in columns)))
+
+    def update(self, **values: Any) -> DataFrame:
+        """Set columns of the rows that match; without a condition nothing is done."""
+        return self.db.update(self.spec.table, {k: None if v is None else _text(v) for k, v in values.items()}, self._conditions())
+
+    def delete(self) -> DataFrame:
+        """Delete the rows that match; without a condition nothing is done."""
+        return self.db.delete(self.spec.table, self._conditions())
+
+    def _conditions(self) -> tuple:
+        if not self.spec.where:
+            raise DialectError("a write needs a condition")
+        return self.spec.where
+
+    def create_index(self, path: str, kind: str) -> str:
+        return self.db.execute(["TINDEX", self.spec.table, path, kind])
+
+    def drop_index(self, path: str) -> str:
+        return self.db.execute(["TDROPINDEX", self.spec.table, path])
+
+
 def query(tables: Mapping[str, DataFrame], table: str) -> Query:
     return Query(tables, QuerySpec(table))
