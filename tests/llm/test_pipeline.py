@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline as p
@@ -58,6 +59,68 @@ def test_run_equals_the_operators_by_hand(spark, data):
     assert set(out) == kept - bad and out[1003] == 0
 
 
+def shingle_set(text):
+    w = (text or "").lower().split()
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+
+
+def least_edits(item, text):
+    """Least edit distance of the item to any stretch of the text, by the plain table."""
+    row = np.zeros(len(text) + 1, int)
+    codes = np.array([ord(c) for c in text])
+    for c in item:
+        new = np.minimum(row[1:] + 1, row[:-1] + (codes != ord(c)))
+        row = np.minimum.accumulate(np.concatenate([[row[0] + 1], new]) - np.arange(len(text) + 1)) + np.arange(len(text) + 1)
+    return int(row.min())
+
+
+def test_run_equals_brute_force(spark, data):
+    """Toxic by the planted words, all pairs of sets, edit distances by the table, ids by the library."""
+    import tokenizers
+
+    rows = {r["doc_id"]: r["text"] for r in p.table(spark, data, "documents").select("doc_id", "text").collect()}
+    items = [r["text"] for r in p.table(spark, data, "benchmark").collect()]
+    clean = {i: t for i, t in rows.items() if "snarlish" not in (t or "")}
+    sets, root = {i: shingle_set(t) for i, t in clean.items()}, {i: i for i in clean}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    ids = sorted(clean)
+    for k, i in enumerate(ids):
+        for j in ids[k + 1 :]:
+            both = len(sets[i] & sets[j])
+            if both and 100 * both >= 85 * len(sets[i] | sets[j]):
+                x, y = sorted((find(i), find(j)))
+                root[y] = x
+    one = {i for i in clean if find(i) == i}
+    squeeze = lambda t: "".join(c for c in (t or "").lower() if c.isalnum())
+    held = {i for i in one if any(least_edits(squeeze(x), squeeze(clean[i])) <= len(squeeze(x)) // 10 for x in items)}
+    library = tokenizers.Tokenizer.from_file(p.tokenizer_path())
+    want = {i: library.encode(clean[i] or "", add_special_tokens=False).ids for i in one - held}
+    got = {r["doc_id"]: list(r["ids"]) for r in p.run(spark, data).collect()}
+    assert got == want and held and len(one) < len(clean)
+
+
+def test_odd_rows_of_every_stage(spark, data):
+    """Null ids, null and very long texts, repeated rows, and extra columns of clashing names."""
+    long = "word " * 60_000
+    rows = [(None, "a text of no id at all", "x"), (None, "a text of no id at all", "x"), (1, None, "y"), (2, "", None), (3, long, "z"), (4, "five plain words stand here", "x"), (4, "five plain words stand here", "x")]
+    odd = spark.createDataFrame(rows, "doc_id long, text string, ids string").selectExpr("*", "doc_id AS n_tokens", "'en' AS score", "1 AS kept", "2 AS b")
+    for name, step in p.STAGES:
+        out = step(spark, odd, data)
+        got = out.collect()
+        if name == "bpe":
+            assert set(out.columns) == {"doc_id", "ids", "n_tokens", "score", "kept", "b"} and len(got) == 7 and sorted(r["n_tokens"] for r in got)[:2] == [0, 0]
+            continue
+        assert out.columns == odd.columns
+        texts = sorted((r["doc_id"] or 0, r["text"] or "") for r in got)
+        every = sorted((i or 0, t or "") for i, t, _ in rows)
+        assert texts == (every if name != "near_dedup" else sorted([*every[:2], *dict.fromkeys(every[2:])]))
+
+
 def test_empty_documents(spark, data, tmp_path):
     docs = p.table(spark, data, "documents").limit(0)
     for _, step in p.STAGES:
