@@ -14,17 +14,25 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 
-def blocking_pops(commands: DataFrame) -> DataFrame:
-    """(key, client, value, at): what each waiting pop gets, first come first served; NULL where it timed out."""
+def blocking_pops(commands: DataFrame, wall_clock: bool = False) -> DataFrame:
+    """(key, client, value, at): what each waiting pop gets, first come first served; NULL where it timed out.
+
+    A pop times out when a later command of its key says so by its ``at``; with ``wall_clock``, whose ``at`` are
+    milliseconds of the processing clock, also when that clock passes, without any further command.
+    """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         items, waiting = json.loads(state.get[0]) if state.exists else ([], [])
         out = []
-        rows = pd.concat(list(batches)).sort_values("at", kind="stable")
-        for c in rows.itertuples(index=False):
-            for w in [w for w in waiting if w[2] and c.at >= w[2]]:
+
+        def give_up(now: int) -> None:
+            for w in [w for w in waiting if w[2] and now >= w[2]]:
                 waiting.remove(w)
                 out.append((key[0], w[0], None, w[2]))
+
+        rows = [] if state.hasTimedOut else pd.concat(list(batches)).sort_values("at", kind="stable").itertuples(index=False)
+        for c in rows:
+            give_up(c.at)
             if c.kind == "push":
                 items.insert(0, c.value) if c.side == "left" else items.append(c.value)
                 while items and waiting:
@@ -35,10 +43,16 @@ def blocking_pops(commands: DataFrame) -> DataFrame:
             else:
                 limit = int(c.timeout_ms) if c.timeout_ms == c.timeout_ms and c.timeout_ms is not None else 0
                 waiting.append([c.client, c.side, int(c.at) + limit if limit else 0])
+        if wall_clock:
+            now = state.getCurrentProcessingTimeMs()
+            give_up(now)
         state.update((json.dumps([items, waiting]),))
+        if wall_clock and (due := [w[2] for w in waiting if w[2]]):
+            state.setTimeoutDuration(max(1, min(due) - now))
         yield pd.DataFrame(out, columns=["key", "client", "value", "at"])
 
-    return commands.groupBy("key").applyInPandasWithState(step, "key string, client string, value string, at long", "held string", "append", "NoTimeout")
+    timeout = "ProcessingTimeTimeout" if wall_clock else "NoTimeout"
+    return commands.groupBy("key").applyInPandasWithState(step, "key string, client string, value string, at long", "held string", "append", timeout)
 
 
 def consumer_group(commands: DataFrame) -> DataFrame:

@@ -1,3 +1,4 @@
+import time
 import json
 
 import pytest
@@ -65,6 +66,24 @@ def test_blocking_pops(spark, tmp_path):
     assert {r["client"]: r["value"] for r in got} == {"c1": "a", "c2": None, "c3": "b"}
 
 
+def test_waiting_pops_time_out_by_the_clock(spark, tmp_path):
+    """No further command comes; the clock alone ends one wait, the other goes on."""
+    schema = "key string, at long, kind string, side string, value string, client string, timeout_ms long"
+    now = int(time.time() * 1000)
+    rows = [("q", now, "pop", "left", None, "c1", 300), ("q", now, "pop", "left", None, "c2", 600_000)]
+    made = queues.blocking_pops(feed(spark, tmp_path, rows, schema), wall_clock=True)
+    seen = []
+    q = made.writeStream.foreachBatch(lambda df, n: seen.extend(df.collect())).option("checkpointLocation", str(tmp_path / "ck")).trigger(processingTime="200 milliseconds").start()
+    try:
+        for _ in range(150):
+            if seen:
+                break
+            time.sleep(0.2)
+    finally:
+        q.stop()
+    assert [(r["client"], r["value"]) for r in seen] == [("c1", None)]
+
+
 def test_consumer_group(spark, tmp_path):
     schema = "key string, at long, kind string, consumer string, ms long, seq long, min_idle long"
     rows = [("s", 1, "add", None, 1, 0, 0), ("s", 2, "add", None, 2, 0, 0), ("s", 3, "read", "a", 0, 0, 0), ("s", 4, "ack", None, 1, 0, 0), ("s", 100, "claim", "b", 0, 0, 50)]
