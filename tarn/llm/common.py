@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterable
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +46,21 @@ def small_batches(spark: SparkSession, rows: int = 2000) -> None:
         spark.conf.set(name, rows)
 
 
+_STAGED: list[DataFrame] = []
+
+
+@contextmanager
+def scratch(*keep_out: DataFrame):
+    """Delete what was staged inside when it ends, and ``keep_out``, but for the frames given to the yielded function."""
+    first, kept = len(_STAGED), []
+    try:
+        yield lambda df: kept.append(df) or df
+    finally:
+        done = [*_STAGED[first:], *keep_out]
+        del _STAGED[first:]
+        unstage(*(df for df in done if not any(df is k for k in kept)))
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
@@ -52,6 +68,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tarn_path = path
+    _STAGED.append(out)
     return out
 
 

@@ -121,6 +121,17 @@ def test_odd_rows_of_every_stage(spark, data):
         assert texts == (every if name != "near_dedup" else sorted([*every[:2], *dict.fromkeys(every[2:])]))
 
 
+def test_staged_tables_go(spark, data, tmp_path):
+    """Of what a run stages, its last input alone stays."""
+    import os
+
+    folder = f"{p.shared_dir(spark)}/tarn-stage"
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    out = p.run(spark, data)
+    left = set(os.listdir(folder)) - before
+    assert len(left) == 1 and next(iter(left)).startswith("decontamination") and out.count() > 100
+
+
 def test_empty_documents(spark, data, tmp_path):
     docs = p.table(spark, data, "documents").limit(0)
     for _, step in p.STAGES:
