@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tarn.llm import bpe, decontaminate, near_dedup, toxicity
-from tarn.llm.common import stage, table
+from tarn.llm.common import scratch, shared_dir, stage, table  # noqa: F401  # shared_dir: for the tests
 from tarn.llm.queries import tokenizer_path
 
 
@@ -48,5 +48,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written to the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
     for name, step in STAGES[:-1]:
-        docs = stage(step(spark, docs, sf_dir), name)
+        with scratch(docs) as keep:  # what a stage and its operator staged goes, once the next table is there
+            docs = keep(stage(step(spark, docs, sf_dir), name))
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -22,8 +22,8 @@ from .plans.dialect import parse_select
 from .plans.schema import EXPIRES, parse_table
 from .queries import _E, _L, _ST, _Z, Tables, _add, _elements, _flat, _hash, _list, _pending, _places, _set, _stream, _zset
 from .session import ensure_checkpoint_dir
-from .sources import edge, snapshots
-from .streaming import live
+from .sources import edge, routes, snapshots
+from .streaming import live, queues
 
 _BOTH = "CAST(encode({0}) AS BIT)"
 
@@ -778,3 +778,36 @@ def _(spark, t):
     found = ann.search(lists_, centroids, asked, 10, max(1, len(centroids) * 2 // 3))
     enough = ann.recall(found, vectors.search_many(asked, v, 10)) >= 0.9
     return lists_.agg(F.count(F.lit(1)).alias("indexed")).select(F.lit(enough).alias("enough"), "indexed")
+
+
+@_add("q191_blocking_pops_stream", "SELECT p.key, 'c' || p.id AS client, 'v' || v.id AS value, greatest(p.id, v.id) AS at FROM (SELECT CAST(user_id AS VARCHAR) AS key, event_id AS id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events WHERE event_type = 'click') p JOIN (SELECT CAST(user_id AS VARCHAR) AS key, event_id AS id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events WHERE event_type = 'view') v USING (key, n)")
+def _(spark, t):
+    """Views push onto a user's list, clicks wait for them, in a stateful stream: the n-th pop gets the n-th push."""
+    e = t["events"].filter(F.col("event_type").isin("click", "view"))
+    push, n = F.col("event_type") == "view", F.col("event_id").cast("string")
+    rows = e.select(F.col("user_id").cast("string").alias("key"), F.col("event_id").cast("long").alias("at"), F.when(push, "push").otherwise("pop").alias("kind"), F.when(push, "right").otherwise("left").alias("side"), F.when(push, F.concat(F.lit("v"), n)).alias("value"), F.when(~push, F.concat(F.lit("c"), n)).alias("client"), F.lit(None).cast("long").alias("timeout_ms"))
+    folder = _folder(spark)
+    rows.write.parquet(f"{folder}/in")
+    out = queues.blocking_pops(spark.readStream.schema(rows.schema).parquet(f"{folder}/in"))
+    keep = lambda df, number: df.write.mode("append").parquet(f"{folder}/out")
+    out.writeStream.foreachBatch(keep).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{folder}/out")
+
+
+@_add("q192_migrations", "SELECT * FROM (VALUES ('1', 'applied', 2), ('2', 'changed', 2), ('3', 'pending', 2)) AS v(name, state, n)")
+def _(spark, t):
+    """Files applied in order and held against a ledger."""
+    db = Database(spark)
+    files = {"1": "TCREATE wells id INT PRIMARY KEY, depth INT", "2": "TINSERT wells depth 4; TINSERT wells depth 5;"}
+    routes.apply(db, files)
+    later = files | {"2": files["2"] + " ", "3": "TDROP wells"}
+    return spark.createDataFrame([(n, s, db.execute("TCOUNT wells")) for n, s in routes.plan(db, later)], "name string, state string, n long")
+
+
+@_add("q193_requests", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey <= 50 AND o_totalprice > 100000 ORDER BY o_orderkey LIMIT 7")
+def _(spark, t):
+    db = Database(spark)
+    db.register("orders", t["orders"].select("o_orderkey", "o_totalprice"), "o_orderkey")
+    status, rows = routes.request(db, "GET", "/v1/tables/orders", {"select": "o_orderkey,o_totalprice", "where": "o_orderkey <= 50 AND o_totalprice > 100000", "order": "o_orderkey:asc", "limit": "7"})
+    assert status == 200
+    return rows

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from ..functions.text import glob, glob_regex
 
 
+PREFIX = 16
+
+
 def subscriptions(spark: SparkSession, exact: list[tuple[str, str]] = (), patterns: list[tuple[str, str]] = ()) -> DataFrame:
     """A table (subscriber, kind, pattern, regex) from (subscriber, channel) and (subscriber, glob) pairs."""
     rows = [(s, "exact", c, None) for s, c in exact] + [(s, "pattern", p, glob_regex(p)) for s, p in patterns]
@@ -15,14 +18,17 @@ def subscriptions(spark: SparkSession, exact: list[tuple[str, str]] = (), patter
 
 
 def deliver(messages: DataFrame, subs: DataFrame, channel: str = "channel") -> DataFrame:
-    """Each message once for every matching subscription; exact ones by an equi-join, patterns by regex.
-
-    Patterns have no key to join on; their table is the registry of live subscriptions and is broadcast.
-    """
+    """Each message once for every matching subscription: exact ones by an equi-join on the channel, patterns by one on
+    what they begin with up to a wildcard (at most ``PREFIX`` characters), before their regex is tried."""
     exact = subs.filter("kind = 'exact'").select("subscriber", F.col("pattern").alias(channel)).withColumn("pattern", F.lit(None).cast("string"))
-    globs = subs.filter("kind = 'pattern'").select("subscriber", "pattern", "regex")
+    begins = F.substring(F.regexp_extract("pattern", r"^[^*?\[\\]*", 0), 1, PREFIX)
+    globs = subs.filter("kind = 'pattern'").select("subscriber", "pattern", "regex", begins.alias("_begins"))
+    sizes = sorted(r[0] for r in globs.select(F.length("_begins")).distinct().collect())  # PREFIX + 1 numbers at most
+    c = F.col(f"`{channel}`")
+    tried = F.array_compact(F.array(*[F.when(F.length(c) >= n, F.substring(c, 1, n)) for n in sizes])) if sizes else F.array().cast("array<string>")
     by_name = messages.join(exact, channel).select("subscriber", "pattern", *messages.columns)
-    by_glob = messages.join(F.broadcast(globs), F.expr(f"`{channel}` rlike regex")).select("subscriber", "pattern", *messages.columns)
+    met = messages.withColumn("_begins", F.explode(tried)).join(globs, "_begins")
+    by_glob = met.filter(F.expr(f"`{channel}` rlike regex")).select("subscriber", "pattern", *messages.columns)
     return by_name.unionByName(by_glob)
 
 
