@@ -13,9 +13,31 @@ def _order(descending: bool = False) -> list[Column]:
     return [c.desc() if descending else c.asc() for c in names]
 
 
+#: Members from which on a key is ranked by parts.
+LARGE = 1_000_000
+
+
 def ranked(zset: DataFrame, descending: bool = False) -> DataFrame:
-    """ZRANK and ZREVRANK of every member: 0-based ``rank`` in its key."""
-    return zset.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy(*_order(descending))) - 1)
+    """ZRANK and ZREVRANK of every member: 0-based ``rank`` in its key.
+
+    A key of more than ``LARGE`` members is cut at quantiles of its scores into parts that are ranked on their own
+    and offset by the sizes of the parts before; only members of one score are never parted.
+    """
+    counts = zset.groupBy("key").agg(F.count(F.lit(1)).alias("_size")).filter(F.col("_size") > LARGE)
+    hot = [(r["key"], -(-2 * r["_size"] // LARGE)) for r in counts.collect()]  # at most rows / LARGE keys
+    nth = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(*_order(descending)))
+    if not hot:
+        return zset.withColumn("rank", nth("key") - 1)
+    most = max(n for _, n in hot)
+    some = zset.filter(F.col("key").isin(*[k for k, _ in hot]))
+    cuts = F.broadcast(some.groupBy("key").agg(F.percentile_approx("score", [i / most for i in range(1, most)], 10 * most).alias("_cuts")))
+    behind = F.size(F.filter("_cuts", lambda c: c > F.col("score") if descending else c < F.col("score")))
+    parted = zset.join(cuts, "key", "left").withColumn("_part", F.when(F.col("_cuts").isNull(), 0).otherwise(behind)).drop("_cuts")
+    sizes = parted.filter(F.col("key").isin(*[k for k, _ in hot])).groupBy("key", "_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = F.broadcast(sizes.select("key", "_part", F.coalesce(before, F.lit(0)).alias("_before")))
+    placed = parted.withColumn("_nth", nth("key", "_part")).join(offsets, ["key", "_part"], "left")
+    return placed.select(*zset.columns, (F.col("_nth") - 1 + F.coalesce("_before", F.lit(0))).alias("rank"))
 
 
 def add(state: DataFrame, delta: DataFrame, mode: str = "", compare: str = "") -> DataFrame:

@@ -333,3 +333,18 @@ def test_ann_recall_and_exact_way_out(spark):
     assert all(abs(whole[r["query"], r["rank"]] - r["similarity"]) < 1e-5 for r in exact.collect())
     none = v.limit(0)
     assert ann.fit(none).size == 0 and ann.index(none, c).count() == 0 and ann.search(lists, c, none.withColumnRenamed("key", "query"), 3, 4).count() == 0
+
+
+@pytest.mark.parametrize("descending", [False, True])
+def test_hot_keys_rank_by_parts(spark, monkeypatch, descending):
+    rng = random.Random(4)
+    rows = [("hot", f"m{i:04d}", float(rng.choice([0, 1, 2, 3.5, rng.randint(4, 400)]))) for i in range(900)] + [("cold", f"m{i}", float(i % 3)) for i in range(9)]
+    z = spark.createDataFrame(rows, "key string, member string, score double").repartition(5)
+    want = {(r["key"], r["member"]): r["rank"] for r in zsets.ranked(z, descending).collect()}
+    monkeypatch.setattr(zsets, "LARGE", 50)
+    parted = zsets.ranked(z, descending)
+    assert parted.columns == ["key", "member", "score", "rank"] and {(r["key"], r["member"]): r["rank"] for r in parted.collect()} == want
+    order = sorted((r for r in rows if r[0] == "hot"), key=lambda r: (r[2], r[1]), reverse=descending)
+    assert all(want["hot", m] == i for i, (_, m, _) in enumerate(order))
+    top = zsets.by_rank(z, 0, 9, descending).filter("key = 'hot'").collect()
+    assert sorted(r["member"] for r in top) == sorted(m for _, m, _ in order[:10])
