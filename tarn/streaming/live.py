@@ -7,12 +7,13 @@ A change feed has rows (pk, op, at, row): op is insert, update or delete, ``at``
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.vectors import search
 from ..plans.spec import QuerySpec
 
 
@@ -101,6 +102,11 @@ def run_on_change(feed: DataFrame, query: Callable[[], DataFrame], key: str, emi
     return feed.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
 
 
+def near_on_change(feed: DataFrame, vectors: Callable[[], DataFrame], query: Sequence[float], k: int, emit: Callable[[DataFrame, int], None], checkpoint: str, threshold: float | None = None):
+    """A live vector subscription: each micro-batch of changes searches again and emits what entered, left or moved."""
+    return run_on_change(feed, lambda: search(vectors(), query, k, threshold).select("key", F.round("similarity", 6).alias("similarity")), "key", emit, checkpoint)
+
+
 def _versions(spark, path: str) -> list[int]:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(spark._jsc.hadoopConfiguration())

@@ -34,3 +34,36 @@ def test_guard():
             e.guard(parse_select(bad), T)
     with pytest.raises(ValueError):
         e.Keyring({})
+
+
+def test_blind_index_is_an_hmac(spark):
+    import hashlib
+    import hmac
+
+    ring = e.Keyring({"k": b"key"})
+    got = spark.createDataFrame([("é a@x",), (None,)], "v string").select(ring.blind(F.col("v")).alias("b")).collect()
+    assert got[0]["b"] == hmac.new(ring.index_key, "é a@x".encode(), hashlib.sha256).hexdigest() == ring.blind_value("é a@x") and got[1]["b"] is None
+
+
+def test_stored_columns_are_sealed_and_rewrapped(spark, tmp_path):
+    from tarn.database import Database
+
+    path = str(tmp_path / "db")
+    db = Database(spark, path)
+    db.execute("TCREATE letters id INT PRIMARY KEY, body STR ENCRYPTED SEARCHABLE, place STR")
+    db.execute("TINSERT letters body hello place here")
+    with pytest.raises(ValueError):
+        db.commit()
+    assert db.execute("ENC INIT k1 one") == "OK" and db.execute("ENC STATUS") == {"keys": 1, "newest": "k1"}
+    db.commit()
+    stored = lambda: db.store.load("table-letters").first()["body"]
+    assert stored().startswith("k1:") and "hello" not in stored()
+    assert Database.open(spark, path).execute("TGET letters 1").first()["body"] is None
+    assert Database.open(spark, path, ring=db.ring).execute("TGET letters 1").first()["body"] == "hello"
+    db.execute("ENC ROTATE k2 two")
+    db.execute("ENC REWRAP")
+    assert stored().startswith("k2:") and db.execute("ENC LIST") == ["k1", "k2"] and db.execute("ENC RETIRE k1") == "OK"
+    assert Database.open(spark, path, ring=db.ring).execute("TGET letters 1").first()["body"] == "hello"
+    for bad in ("ENC RETIRE k2", "ENC INIT k3 x", "ENC NONE"):
+        with pytest.raises(DialectError):
+            db.execute(bad)

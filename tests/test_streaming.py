@@ -59,6 +59,20 @@ def test_queries_run_again_on_change(spark, tmp_path):
     assert [(r["op"], r["id"]) for r in seen] == [("insert", 1)]
 
 
+def test_vector_subscription(spark, tmp_path):
+    """The two nearest change when the vectors do; each change is told once."""
+    schema = "key string, embedding array<float>, metadata string"
+    frames = [[("a", [1.0, 0.0], None), ("b", [0.9, 0.1], None), ("c", [0.0, 1.0], None)], [("a", [1.0, 0.0], None), ("b", [0.0, 1.0], None), ("d", [0.95, 0.05], None), ("c", [0.0, 1.0], None)]]
+    now, seen = [0], []
+    stream = feed(spark, tmp_path, [("a", "insert", 1, "{}")], ChangeLog.SCHEMA)
+    start = lambda: live.near_on_change(stream, lambda: spark.createDataFrame(frames[now[0]], schema), [1, 0], 2, lambda d, n: seen.append({(r["op"], r["key"]) for r in d.collect()}), str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination()
+    start()
+    now[0] = 1
+    spark.createDataFrame([("d", "insert", 2, "{}")], ChangeLog.SCHEMA).write.mode("append").parquet(str(tmp_path / "in"))
+    start()
+    assert seen == [{("insert", "a"), ("insert", "b")}, {("delete", "b"), ("insert", "d")}]
+
+
 def test_blocking_pops(spark, tmp_path):
     schema = "key string, at long, kind string, side string, value string, client string, timeout_ms long"
     rows = [("q", 1, "pop", "left", None, "c1", 0), ("q", 2, "pop", "left", None, "c2", 5), ("q", 10, "push", "right", "a", None, None), ("q", 11, "push", "right", "b", None, None), ("q", 12, "pop", "right", None, "c3", 0)]
