@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -14,6 +15,21 @@ def _table(pairs: list[tuple[str, str]]) -> Column:
     return F.create_map(*[F.lit(x) for p in pairs for x in p])
 
 
+def _with(value: Column, use: Callable[[Column], Column]) -> Column:
+    """An expression of a value that is computed once, however often the expression names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _word_places(size: Column) -> Column:
+    """The places of the first bytes of a value's words of 8 bytes; one word for an empty value."""
+    return F.sequence(F.lit(0), F.greatest(size - 1, F.lit(0)), F.lit(8))
+
+
+def _word(value: Column, at: Column) -> Column:
+    """8 bytes from a place as a long, zeros beyond the end."""
+    return F.conv(F.rpad(F.hex(F.substring(value, at + 1, F.lit(8))), 16, "0"), 16, -10).cast("long")
+
+
 def bits(value: Column) -> Column:
     """The bits of a binary value as text of 0 and 1; NULL is empty."""
     digits = F.filter(F.split(F.hex(F.coalesce(value, F.lit(b""))), ""), lambda d: d != "")
@@ -66,6 +82,8 @@ def _window(value: Column, start: int | None, end: int | None, unit: str) -> tup
 
 def bit_count(value: Column, start: int | None = None, end: int | None = None, unit: str = "BYTE") -> Column:
     """Ones in the value or in an inclusive range of bytes or bits."""
+    if start is None:
+        return F.bitmap_count(F.coalesce(value, F.lit(b""))).cast("long")
     part, _ = _window(value, start, end, unit)
     return F.length(F.replace(part, F.lit("0"), F.lit(""))).cast("long")
 
@@ -82,15 +100,16 @@ def bit_position(value: Column, bit: int, start: int | None = None, end: int | N
 def bit_op(op: str, values: list[Column]) -> Column:
     """AND, OR, XOR of binary columns, or NOT of one; shorter values are padded by zeros."""
     op = op.upper()
-    arrays = [F.transform(F.filter(F.split(F.regexp_replace(F.hex(F.coalesce(v, F.lit(b""))), "(..)", "$1 "), " "), lambda x: x != ""), lambda x: F.conv(x, 16, 10).cast("int")) for v in values]
-    if op == "NOT":
-        made = F.transform(arrays[0], lambda x: F.lit(255) - x)
-    else:
-        size = F.greatest(*[F.size(a) for a in arrays]) if len(arrays) > 1 else F.size(arrays[0])
-        arrays = [F.concat(a, F.array_repeat(F.lit(0), size - F.size(a))) for a in arrays]
-        step = {"AND": lambda x, y: x.bitwiseAND(y), "OR": lambda x, y: x.bitwiseOR(y), "XOR": lambda x, y: x.bitwiseXOR(y)}[op]
-        made = reduce(lambda a, b: F.zip_with(a, b, step), arrays)
-    return F.unhex(F.array_join(F.transform(made, lambda x: F.lpad(F.hex(x.cast("long")), 2, "0")), ""))
+    steps = {"AND": lambda x, y: x.bitwiseAND(y), "OR": lambda x, y: x.bitwiseOR(y), "XOR": lambda x, y: x.bitwiseXOR(y)}
+
+    def made(held: Column) -> Column:
+        parts = [held[f"v{i}"] for i in range(len(values))]
+        size = F.greatest(*[F.octet_length(v) for v in parts]) if len(parts) > 1 else F.octet_length(parts[0])
+        one = (lambda at: F.bitwise_not(_word(parts[0], at))) if op == "NOT" else lambda at: reduce(steps[op], [_word(v, at) for v in parts])
+        digits = F.transform(_word_places(size), lambda at: F.lpad(F.hex(one(at)), 16, "0"))
+        return F.substring(F.unhex(F.array_join(digits, "")), F.lit(1), size)
+
+    return _with(F.struct(*[F.coalesce(v, F.lit(b"")).alias(f"v{i}") for i, v in enumerate(values)]), made)
 
 
 def field_get(value: Column, kind: str, offset: int) -> Column:

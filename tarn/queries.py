@@ -682,9 +682,9 @@ def _(spark, t):
 
 @_add("q94_bitop", "SELECT p_partkey, strlen(p_name) * 8 - CAST(" + _BITS.format("p_name") + " AS BIGINT) AS zeros, CAST(" + _BITS.format("p_name") + " AS BIGINT) AS same FROM part")
 def _(spark, t):
-    b = F.col("p_name").cast("binary")
-    flipped = bits.bit_op("NOT", [b])
-    return t["part"].select("p_partkey", bits.bit_count(flipped).alias("zeros"), bits.bit_count(bits.bit_op("AND", [b, bits.bit_op("XOR", [flipped, bits.bit_op("OR", [b, flipped])])])).alias("same"))
+    b, flipped = F.col("b"), F.col("flipped")
+    named = t["part"].select("p_partkey", F.col("p_name").cast("binary").alias("b")).withColumn("flipped", bits.bit_op("NOT", [b]))
+    return named.select("p_partkey", bits.bit_count(flipped).alias("zeros"), bits.bit_count(bits.bit_op("AND", [b, bits.bit_op("XOR", [flipped, bits.bit_op("OR", [b, flipped])])])).alias("same"))
 
 
 def _bound(make: Make) -> Callable[[SparkSession, str], DataFrame]:

@@ -258,6 +258,31 @@ def test_write_range_and_bits(spark):
     assert bytes(one(bits.field_set(F.lit(b"\0\0"), "i8", 4, F.lit(-1)))) == b"\x0f\xf0"
 
 
+def test_bit_op_by_words(spark):
+    rng = random.Random(94)
+    pairs = [(None, b"\xff\x00\x01"), (b"", b""), (b"\x80" + b"\0" * 7, b"\xff" * 16), (rng.randbytes(9001), rng.randbytes(8999))]
+    pairs += [(rng.randbytes(i), rng.randbytes(j)) for i, j in [(7, 8), (8, 8), (9, 16), (0, 17), (33, 1)]]
+    v, w = F.col("v"), F.col("w")
+    ops = {"AND": lambda x, y: x & y, "OR": lambda x, y: x | y, "XOR": lambda x, y: x ^ y}
+    made = [bits.bit_op(k, [v, w]).alias(k) for k in ops] + [bits.bit_op("NOT", [v]).alias("NOT"), bits.bit_op("XOR", [v, w, v]).alias("three"), bits.bit_count(v).alias("n")]
+    for r in spark.createDataFrame(pairs, "v binary, w binary").select("v", "w", *made).collect():
+        a, b = bytes(r["v"] or b""), bytes(r["w"])
+        size = max(len(a), len(b))
+        pad = lambda x: x.ljust(size, b"\0")
+        for k, f in ops.items():
+            assert bytes(r[k]) == bytes(f(x, y) for x, y in zip(pad(a), pad(b))), (k, a, b)
+        assert bytes(r["NOT"]) == bytes(255 - x for x in a) and bytes(r["three"]) == pad(b) and r["n"] == sum(x.bit_count() for x in a)
+
+
+def test_bit_op_computes_operands_once(spark):
+    chain = F.col("v")
+    for _ in range(5):
+        chain = bits.bit_op("XOR", [chain, F.col("w")])
+    df = spark.createDataFrame([(b"ab", b"abc")], "v binary, w binary").select(chain.alias("r"))
+    assert bytes(df.first()["r"]) == b"\0\0c"
+    assert df._jdf.queryExecution().optimizedPlan().apply(0).expressions().toString().count("coalesce(v#") == 1
+
+
 def test_text(spark):
     assert lcs("ohmytext", "mynewtext") == "mytext" and lcs_matches("ohmytext", "mynewtext") == [(4, 7, 5, 8, 4), (2, 3, 0, 1, 2)] and len(lcs_matches("ohmytext", "mynewtext", 4)) == 1
     df = spark.createDataFrame([("ohmytext", "mynewtext"), (None, "x"), ("", "x")], "a string, b string")
